@@ -9,8 +9,89 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenekiln.llm import sharding
 from scenekiln.llm.bpe import BpeOperator
-from scenekiln.session import table
+from scenekiln.llm.chat import Template, digest_chats, format_chats
+from scenekiln.llm.mixing import Mix
+from scenekiln.llm.url_filter import Rule, filter_urls
+from scenekiln.session import materialize, table
+
+#: The url rules that op2 judges by.
+URL_RULES = [Rule.parse(line) for line in ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url; urls that no rule fits are allowed."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP2_SQL = f"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules(verdict, h, p) AS (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}),
+fits AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
+"""
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes, by the slot map after one rebalancing."""
+    records = materialize(sharding.digest(table(spark, sf_dir, "documents")), "shard-records")
+    slot_map = sharding.SlotMap.initial(8).rebalance(sharding.slot_bytes(records))
+    placed = sharding.positions(records, slot_map)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    taken = Mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).taken()
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The conversation that op7 adds to the table.
+ADDED_CHAT = r"\### Assistant: </turn> ok"
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text."""
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ADDED_CHAT).alias("text")
+    )
+    return digest_chats(format_chats(chats.unionByName(added)))
+
+
+def _op7_sql() -> str:
+    t = Template()
+    escaped = f"replace(text, '{t.escape}', '{t.escape * 2}')"
+    for control in t.controls:
+        escaped = f"replace({escaped}, '{control}', '{t.escape}{control}')"
+    heads = " ".join(f"WHEN '{role}' THEN {len(head)}" for role, head in t.headers.items())
+    named = f"replace(role, '{t.escape}', '{t.escape * 2}')"
+    for control in t.controls:
+        named = f"replace({named}, '{control}', '{t.escape}{control}')"
+    named = f"replace({named}, '{t.close}', '{t.escape}{t.close}')"
+    allowed = " OR ".join(f"(before = '{a}' AND role IN ({', '.join(repr(b) for b in sorted(bs))}))" for a, bs in t.follows.items())
+    return f"""
+WITH chats AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{ADDED_CHAT}' UNION ALL SELECT -7, 1, 'assistant', '{ADDED_CHAT}'),
+steps AS (SELECT *, coalesce(lag(role) OVER w, '') AS before, lead(role) OVER w IS NULL AS last FROM chats WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(CASE role {heads} ELSE {len(t.other + t.close)} + length({named}) END + length({escaped}) + {len(t.end)})::BIGINT AS formatted_chars,
+  bool_and(({allowed}) AND (NOT last OR role IN ({', '.join(repr(r) for r in sorted(t.final))}))) AS valid
+FROM steps GROUP BY conv_id
+"""
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +102,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
+    "op3_sharding": op3_sharding,
+    "op4_mixing": op4_mixing,
+    "op7_chat": op7_chat,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": OP2_SQL,
+    "op7_chat": _op7_sql(),
+}
