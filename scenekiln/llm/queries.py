@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scenekiln.llm import sharding
 from scenekiln.llm.bpe import BpeOperator
 from scenekiln.llm.chat import Template, digest_chats, format_chats
+from scenekiln.llm.minhash import NearDuplicates
 from scenekiln.llm.mixing import Mix
 from scenekiln.llm.url_filter import Rule, filter_urls
 from scenekiln.session import materialize, table
@@ -94,6 +95,29 @@ FROM steps GROUP BY conv_id
 """
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on shingles of four words."""
+    return NearDuplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=80).result()
+
+
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i+3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s
+  FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+linked AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM sets UNION SELECT reach.doc_id, v FROM reach JOIN linked ON u = r)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r) AS component_id, s.doc_id = min(r) AS kept
+FROM sets s JOIN reach USING (doc_id) GROUP BY s.doc_id, s.s
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     bpe = BpeOperator(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -106,10 +130,12 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op7_chat": op7_chat,
+    "op9_minhash": op9_minhash,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": OP2_SQL,
     "op7_chat": _op7_sql(),
+    "op9_minhash": OP9_SQL,
 }
