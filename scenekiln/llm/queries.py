@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scenekiln.llm import sharding
 from scenekiln.llm.bpe import BpeOperator
 from scenekiln.llm.chat import Template, digest_chats, format_chats
+from scenekiln.llm.langid import held_out, identify, learn
 from scenekiln.llm.minhash import NearDuplicates
 from scenekiln.llm.mixing import Mix
 from scenekiln.llm.url_filter import Rule, filter_urls
@@ -95,6 +96,14 @@ FROM steps GROUP BY conv_id
 """
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = learn(docs.select("doc_id", "text", "lang"), ~held_out())
+    out = identify(docs.select("doc_id", "text"), profiles)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on shingles of four words."""
     return NearDuplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=80).result()
@@ -130,6 +139,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op7_chat": op7_chat,
+    "op8_langid": op8_langid,
     "op9_minhash": op9_minhash,
     "op10_bpe": op10_bpe,
 }
