@@ -3,9 +3,10 @@
 The merges are compiled into a transducer over bytes. A BPE encoding has two properties that make one possible:
 a token sequence is the encoding of its bytes exactly if each adjacent pair is the encoding of its own bytes, and
 the encoding of a prefix that ends where a token starts never changes afterwards. So a state needs only the longest
-suffix that some token still continues, and, for each place in it where a token may start, the tokens that lead there.
-What all those token paths have in common is settled and is emitted on the transition: the lookahead is bounded by the
-longest token. States and transitions are made when first met and kept, up to a limit, per Python worker.
+suffix that some token still continues, and, for each place in it where a token may start, the token that ends there.
+A transition gives the token that ends at its byte. Tokens that the paths to all open places share are settled; an open
+place is never further back than the longest token, which bounds the lookahead. States and transitions are made when
+first met and kept, up to a limit, per Python worker.
 
 Rows: null text counts as empty (no ids), repeated rows are encoded alike, an empty table gives an empty table, texts
 of any length are streamed through the transducer in linear time. A column of the input that is named like the new
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of what a worker keeps: transitions of the transducer, encodings of pieces, and bytes of a kept piece.
-MAX_TRANSITIONS, MAX_PIECES, MAX_KEPT_BYTES = 400_000, 200_000, 64
+MAX_TRANSITIONS, MAX_PIECES, MAX_KEPT_BYTES = 250_000, 200_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,74 +44,139 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
+        self.unended = {token[:n] for token in ranks for n in range(1, len(token))}
         self.pair_ok: dict[tuple[int, int], bool] = {}
+        self.spines: dict[tuple[int, int], list[tuple[bytes, float]] | None] = {}
         self._forget()
 
     def _forget(self) -> None:
-        #: state: window, last settled token or -1, unsettled tokens up to each place in the window
-        self.states: list[tuple] = [(b"", -1, ((),))]
+        #: state: for each place from which some token goes on, longest first, what has been read since and the token
+        #: that ends there (-1: the start); the same for the end of what has been read
+        self.states: list[tuple] = [((b"", -1),)]
         self.ids: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.moves: dict[int, tuple[int, int]] = {}
 
-    def _merged(self, data: bytes) -> list[int]:
-        """The definition: merge the adjacent pair of least rank, leftmost first, until none is left."""
+    def _merged(self, data: bytes, below: float = math.inf) -> list[bytes]:
+        """The definition: merge the adjacent pair of least rank (under `below`), leftmost first, until none is left."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while True:
             best = min(((self.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ranks), default=None)
-            if best is None:
-                return [self.ranks[p] for p in parts]
+            if best is None or best[0] >= below:
+                return parts
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
+    def _spine(self, token: int, side: int) -> list[tuple[bytes, float]] | None:
+        """What stands at one end (0: left, 1: right) of a token while its bytes merge, each with the rank that ends it.
+
+        None: the merges never form the token.
+        """
+        known = self.spines.get((token, side), False)
+        if known is False:
+            data, known = self.tokens[token], []
+            ends: float = math.inf
+            while True:
+                known.append((data, ends))
+                if len(data) == 1:
+                    known.reverse()
+                    break
+                halves = self._merged(data, below=self.ranks[data])
+                if len(halves) != 2:
+                    known = None
+                    break
+                data, ends = halves[side], self.ranks[data]
+            self.spines[token, side] = known
+        return known
+
     def _follows(self, before: int, token: int) -> bool:
-        """Whether `token` may stand after `before` (-1: at the start)."""
+        """Whether `token` may stand after `before` (-1: at the start).
+
+        Both grow towards their common border in order of rank; they may not stand together if what stands on either
+        side of the border merges across it first. Of equal ranks the leftmost goes first.
+        """
         known = self.pair_ok.get((before, token))
         if known is None:
-            data = self.tokens[token] if before < 0 else self.tokens[before] + self.tokens[token]
-            known = self.pair_ok[before, token] = self._merged(data) == ([token] if before < 0 else [before, token])
+            right = self._spine(token, 0)
+            left = right and (right if before < 0 else self._spine(before, 1))
+            known = bool(left)
+            if known and before >= 0:
+                i = j = 0
+                while True:
+                    (x, x_ends), (y, y_ends) = left[i], right[j]
+                    across = self.ranks.get(x + y, math.inf)
+                    if across < x_ends and across <= y_ends and across < math.inf:
+                        known = False
+                        break
+                    if x_ends == y_ends == math.inf:
+                        break
+                    if x_ends <= y_ends:
+                        i += 1
+                    else:
+                        j += 1
+            self.pair_ok[before, token] = known
         return known
 
-    def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        window, settled, paths = self.states[state]
-        grown = window + bytes((byte,))
-        for start in range(len(grown)):
-            token, path = self.ranks.get(grown[start:]), paths[start]
-            if token is not None and self._follows(path[-1] if path else settled, token):
-                reached = (*path, token)
-                break
-        else:
+    def _make(self, state: int, byte: int) -> tuple[int, int]:
+        last, places, token = bytes((byte,)), [], -1
+        for since, before in self.states[state]:
+            grown = since + last
+            if token < 0 and grown in self.ranks and self._follows(before, self.ranks[grown]):
+                token = self.ranks[grown]
+            if grown in self.unended:
+                places.append((grown, before))
+        if token < 0:
             raise ValueError(f"no token covers byte {byte}")
-        start = next(i for i in range(len(grown) + 1) if i == len(grown) or grown[i:] in self.prefixes)
-        paths = (*paths[start:], reached)
-        common = 0
-        while all(len(p) > common and p[common] == reached[common] for p in paths):
-            common += 1
-        out = reached[:common]
-        key = (grown[start:], out[-1] if out else settled, tuple(p[common:] for p in paths))
+        key = (*places, (b"", token))
         if len(self.moves) >= MAX_TRANSITIONS:
             self._forget()
             self.ids[key] = 1
             self.states.append(key)
-            return 1, out
+            return 1, token
         at = self.ids.setdefault(key, len(self.states))
         if at == len(self.states):
             self.states.append(key)
-        self.moves[state << 8 | byte] = at, out
-        return at, out
-
-    def stream(self, data: Iterable[int]) -> Iterator[int]:
-        """Ids of the bytes, each as soon as nothing that follows can change it."""
-        state = 0
+        self.moves[state << 8 | byte] = at, token
+        return at, token
+
+    def _back(self, ends: list[int], at: int) -> list[int]:
+        """The tokens up to place `at`, from the token that ends at each place."""
+        out = []
+        while at > 0:
+            out.append(ends[at - 1])
+            at -= len(self.tokens[ends[at - 1]])
+        return out[::-1]
+
+    def stream(self, data: Iterable[int], lookahead: int = 4096) -> Iterator[int]:
+        """Ids of the bytes. After each `lookahead` bytes what all open places have in common is emitted."""
+        state, ends = 0, []
         for byte in data:
             move = self.moves.get(state << 8 | byte) or self._make(state, byte)
             state = move[0]
-            yield from move[1]
-        yield from self.states[state][2][-1]
+            ends.append(move[1])
+            if len(ends) >= lookahead:
+                paths = [self._back(ends, len(ends) - len(since)) for since, _ in self.states[state]]
+                settled = 0
+                while all(len(p) > settled and p[settled] == paths[0][settled] for p in paths):
+                    settled += 1
+                yield from paths[0][:settled]
+                del ends[: sum(len(self.tokens[t]) for t in paths[0][:settled])]
+        yield from self._back(ends, len(ends))
 
     def piece(self, data: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(data)
-        return tuple(self.stream(data)) if whole is None else (whole,)
+        if whole is not None:
+            return (whole,)
+        if len(data) > MAX_KEPT_BYTES:
+            return tuple(self.stream(data))
+        state, ends, moves = 0, [], self.moves
+        for byte in data:
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                move = self._make(state, byte)
+                moves = self.moves
+            state = move[0]
+            ends.append(move[1])
+        return tuple(self._back(ends, len(ends)))
 
 
 @lru_cache(maxsize=4)
@@ -120,12 +187,12 @@ def unlike(pattern: str) -> str:
     """
     import tiktoken
 
-    found = []
-    own = {c: tiktoken.Encoding(c, pat_str=c, mergeable_ranks={bytes((i,)): i for i in range(256)}, special_tokens={}) for c in (r"\p{L}", r"\p{N}")}
-    for c in map(chr, range(0x80, 0x110000)):
-        if unicodedata.category(c) == "Cn" and any(bool(regex.match(k, c)) != bool(e.encode_ordinary(c)) for k, e in own.items()):
-            found.append(c)
-    return "".join(found)
+    unknown = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn")
+    found: set[str] = set()
+    for kind in (r"\p{L}", r"\p{N}"):
+        library = tiktoken.Encoding(kind, pat_str=kind, mergeable_ranks={bytes((i,)): i for i in range(256)}, special_tokens={})
+        found |= set(bytes(library.encode_ordinary(unknown)).decode()) ^ set(regex.findall(kind, unknown))
+    return "".join(sorted(found))
 
 
 class Codec:
