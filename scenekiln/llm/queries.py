@@ -13,6 +13,7 @@ from scenekiln.llm import sharding
 from scenekiln.llm.bpe import BpeOperator
 from scenekiln.llm.chat import Template, digest_chats, format_chats
 from scenekiln.llm.langid import held_out, identify, learn
+from scenekiln.llm.license_scan import BASE, LOWER, NOTICES, THRESHOLD, UPPER, WORD, scan
 from scenekiln.llm.minhash import NearDuplicates
 from scenekiln.llm.mixing import Mix
 from scenekiln.llm.url_filter import Rule, filter_urls
@@ -22,6 +23,30 @@ from scenekiln.session import materialize, table
 URL_RULES = [Rule.parse(line) for line in ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _op1_sql() -> str:
+    stride = max(len(t.words) for t in BASE + NOTICES)
+    rows = ", ".join(f"('{t.label}', {sorted(set(t.words))}, {t.words}, {t.needed(THRESHOLD)}, {t.exact})" for t in BASE + NOTICES)
+    return rf"""
+WITH templates(label, own, phrase, needed, exact) AS (VALUES {rows}),
+docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+blocks AS (SELECT doc_id, list_distinct(w[k*{stride}+1:k*{stride}+{2 * stride}]) AS b FROM (SELECT doc_id, w, unnest(range(0, (len(w) + {stride - 1}) // {stride})) AS k FROM docs)),
+met AS (SELECT doc_id, label, exact, len(list_intersect(b, own)) / len(own)::DOUBLE AS share FROM blocks, templates WHERE len(list_intersect(b, own)) >= needed),
+places AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM docs), templates WHERE exact AND w[i+1] = phrase[1] AND w[i+1:i+len(phrase)] = phrase),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM places GROUP BY 1),
+named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM (SELECT doc_id, label FROM met WHERE NOT exact UNION SELECT doc_id, label FROM places) GROUP BY 1),
+top AS (SELECT doc_id, max(share) AS share FROM met GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
+  coalesce(base.l, '') AS base_labels, coalesce(named.l, '') AS labels, coalesce(share, 0.0) AS score
+FROM docs d LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN top USING (doc_id)
+"""
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url; urls that no rule fits are allowed."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -135,6 +160,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
@@ -145,6 +171,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": _op1_sql(),
     "op2_url_filter": OP2_SQL,
     "op7_chat": _op7_sql(),
     "op9_minhash": OP9_SQL,
