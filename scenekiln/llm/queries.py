@@ -16,7 +16,9 @@ from scenekiln.llm.langid import held_out, identify, learn
 from scenekiln.llm.license_scan import BASE, LOWER, NOTICES, THRESHOLD, UPPER, WORD, scan
 from scenekiln.llm.minhash import NearDuplicates
 from scenekiln.llm.mixing import Mix
+from scenekiln.llm.mtree import top_products
 from scenekiln.llm.url_filter import Rule, filter_urls
+from scenekiln.llm.vptree import nearest_neighbours
 from scenekiln.session import materialize, table
 
 #: The url rules that op2 judges by.
@@ -82,6 +84,28 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest by cosine of every vector whose id is divisible by 50, as the relaxed search finds them."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five largest integer inner products of every vector whose id is divisible by 50."""
+    return top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
+OP6_SQL = """
+WITH clean AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM clean q JOIN clean c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 #: The conversation that op7 adds to the table.
 ADDED_CHAT = r"\### Assistant: </turn> ok"
 
@@ -164,6 +188,8 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
+    "op5_ann": op5_ann,
+    "op6_topk": op6_topk,
     "op7_chat": op7_chat,
     "op8_langid": op8_langid,
     "op9_minhash": op9_minhash,
@@ -173,6 +199,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _op1_sql(),
     "op2_url_filter": OP2_SQL,
+    "op6_topk": OP6_SQL,
     "op7_chat": _op7_sql(),
     "op9_minhash": OP9_SQL,
 }
