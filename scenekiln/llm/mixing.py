@@ -110,7 +110,9 @@ class Mix:
         block = F.lit(self.block)
         ranges = F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / SLOT_RANGE)))
         df = self.sources.filter("slots > 0").withColumn("r", ranges)
-        df = df.repartition("source", "r").withColumn("i", F.explode(F.sequence(F.col("r") * SLOT_RANGE, F.least("slots", (F.col("r") + 1) * SLOT_RANGE) - 1)))
+        total = self.sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+        # a number of partitions by the slots they will make: what is dealt out here is small only before
+        df = df.repartition(1 + total // (4 * SLOT_RANGE), "source", "r").withColumn("i", F.explode(F.sequence(F.col("r") * SLOT_RANGE, F.least("slots", (F.col("r") + 1) * SLOT_RANGE) - 1)))
         second = F.col("i") >= F.col("slots0")
         j, at = F.when(second, F.col("i") - F.col("slots0")).otherwise(F.col("i")), F.when(second, F.col("at1")).otherwise(F.col("at0"))
         words = F.when(second, F.col("quota") - F.col("source_size")).otherwise(F.least("quota", "source_size"))
@@ -119,7 +121,6 @@ class Mix:
         size = F.when(F.col("j") == F.col("at"), F.col("short")).otherwise(block)
         df = df.withColumn("index", permuted(F.col("j"), F.col("blocks"), F.col("salt")))
         df = df.withColumn("take", F.least(size, F.col("words") - start))
-        total = self.sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
         place = permuted(F.col("first_slot") + F.col("i"), F.lit(max(1, total)), F.xxhash64(self.seed))
         df = df.withColumn("place", place)
         return df.select("source", "index", "take", F.floor(F.col("place") / self.per_shard).alias("shard"), F.pmod("place", F.lit(self.per_shard)).alias("slot"))
@@ -131,7 +132,7 @@ class Mix:
         sums = self.narrow.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
         sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("chunk")) - F.col("words"))
         sums = sums.select(F.col("source").alias("__s"), F.col("chunk").alias("__c"), "before")
-        df = df.join(sums, F.col("source").eqNullSafe(F.col("__s")) & (F.col("chunk") == F.col("__c")), "left").drop("__s", "__c")
+        df = df.join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("chunk") == F.col("__c")), "left").drop("__s", "__c")
         return df.withColumn("offset", F.col("before") + F.col("inner")).drop("before", "inner")
 
     def pieces(self) -> DataFrame:
@@ -144,7 +145,7 @@ class Mix:
         df = df.withColumns({"a": F.greatest(F.col("offset"), start) - start, "b": F.least(F.col("offset") + F.col("size"), start + block) - start})
         taken = self.slots().groupBy("source", "index").agg(F.sort_array(F.collect_list("take"), asc=False).alias("takes"))  # two at most
         taken = taken.select(F.col("source").alias("__s"), F.col("index").alias("__i"), "takes")
-        df = df.join(taken, F.col("source").eqNullSafe(F.col("__s")) & (F.col("index") == F.col("__i")), "left").drop("__s", "__i")
+        df = df.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("index") == F.col("__i")), "left").drop("__s", "__i")
         return df.withColumn("takes", F.transform(F.coalesce("takes", F.array().cast("array<long>")), lambda t: F.greatest(F.least(t, F.col("b")) - F.col("a"), F.lit(0))))
 
     def taken(self) -> DataFrame:
@@ -169,7 +170,7 @@ class Mix:
         keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64(self.seed, "doc_id", "h"), F.lit(CHUNKS)))
         within = Window.partitionBy("source", "chunk").orderBy("doc_id", "h", "size")
         keyed = keyed.withColumn("n", F.row_number().over(within))
-        df = keyed.join(per, F.col("source").eqNullSafe(F.col("__s")) & (F.col("chunk") == F.col("__c")) & (F.col("n") == F.col("__n")))
+        df = keyed.join(per.hint("merge"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("chunk") == F.col("__c")) & (F.col("n") == F.col("__n")))
         words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
         cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("__words"), (s["from"] + 1).cast("int"), s["n"].cast("int")))), "")
         whole = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["n"]) == F.col("size")
