@@ -25,7 +25,12 @@ MEMBERS = "shard string, ord long, key string, ext string, payload binary"
 def read_members(spark: SparkSession, folder: str, exts: list[str] | None = None, payload: bool = True) -> DataFrame:
     """MEMBERS of every `*.tar` in `folder`: regular files whose name has a dot. `exts` and `payload` are applied while
     a shard is read, so an index of classes never carries images."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(folder).select("path", "content")
+    return members_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(folder), exts, payload)
+
+
+def members_of(shards: DataFrame, exts: list[str] | None = None, payload: bool = True) -> DataFrame:
+    """MEMBERS of shard files (path, content), read at once or as a stream."""
+    files = shards.select("path", "content")
     wanted = None if exts is None else frozenset(exts)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
