@@ -7,8 +7,11 @@
    hub, not with each other: a bucket of n gives n - 1 candidates. Packed signatures are compared by bit counts, and
    the share of equal minima, corrected for chance collisions, drops pairs that are far below the threshold.
 4. Candidates are confirmed on full sets, and components are found by alternating star joins.
-5. Buckets whose members are not all in one component yet get the rest: pairs of members in different components,
-   again estimated and confirmed. So a link between texts that share a band is never lost, whatever the bucket's size.
+5. Buckets whose members are not all in one component yet get the rest, in tiles: a bucket is cut into blocks of bounded
+   size, and each two blocks are compared in a task of their own, first by signatures, then, for those members that are
+   left, on full sets. A pair is compared only in the first band it shares, and not once its components have met; a tile
+   gives the links that join components, never all pairs. So a link between texts that share a band is never lost,
+   whatever the bucket's size.
 
 Two sets of similarity 0.8 share none of the 24 bands with probability 3e-6, and fall under the estimate's margin with
 probability 2e-6; that is the method's only loss. Nothing is collected but counts.
@@ -25,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +42,8 @@ LONGS = MINIMA * BITS // 64
 MARGIN = 0.2
 #: Sets of ids up to this size (8 bytes each) are broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_IDS = 500_000
+#: Most members of a block of a bucket, and most shingles of one (a single long text may exceed them).
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 400_000
 #: Bytes of text that are hashed at once, shingles that are permuted at once.
 CHUNK_BYTES, CHUNK_SHINGLES = 1 << 20, 2048
 
@@ -142,6 +148,98 @@ def _linked(k: int, percent: int):
     return linked
 
 
+def _sets(k: int):
+    @F.arrow_udf("binary")
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([own.tobytes() for own in shingle_sets(texts, k)], pa.binary())
+
+    return sets
+
+
+def near_pairs(rows: pd.DataFrame, least: float, percent: int) -> Iterator[tuple[int, int]]:
+    """Places of the pairs of a tile that signatures leave: in different components, first met in this band."""
+    band, sig, bands = int(rows["band"].iloc[0]), np.stack(rows["sig"]).astype(np.int64).view(np.uint64), np.stack(rows["bands"])
+    n, comp, block = rows["n"].to_numpy(), rows["x"].to_numpy(), rows["block"].to_numpy()
+    one = rows["lo"].iloc[0] == rows["hi"].iloc[0]
+    first, second = (np.arange(len(rows)),) * 2 if one else (np.flatnonzero(block == rows["lo"].iloc[0]), np.flatnonzero(block == rows["hi"].iloc[0]))
+    for at in range(0, len(first), 64):
+        own = first[at : at + 64]
+        unequal = np.zeros((len(own), len(second)), np.int64)
+        for i in range(LONGS):
+            x = sig[own, i][:, None] ^ sig[second, i][None]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            unequal += np.bitwise_count(x & np.uint64(0x1111111111111111))
+        chance = 2.0**-BITS
+        near = ((1 - unequal / MINIMA) - chance) / (1 - chance) >= least
+        near &= comp[own][:, None] != comp[second][None]
+        near &= 100 * np.minimum(n[own][:, None], n[second][None]) >= percent * np.maximum(n[own][:, None], n[second][None])
+        if one:
+            near &= own[:, None] < second[None]
+        for i in range(band):
+            near &= bands[own, i][:, None] != bands[second, i][None]
+        for i, j in np.argwhere(near):
+            yield int(own[i]), int(second[j])
+
+
+def tile_members(rows: pd.DataFrame, least: float, percent: int) -> pd.DataFrame:
+    """The rows of a tile that are in any pair its signatures leave."""
+    left = np.zeros(len(rows), bool)
+    for i, j in near_pairs(rows, least, percent):
+        left[i] = left[j] = True
+    return rows[left]
+
+
+def tile_links(rows: pd.DataFrame, least: float, percent: int) -> pd.DataFrame:
+    """Links of a tile, confirmed on full sets, as far as they join components."""
+    sets = [np.frombuffer(b, np.uint64) for b in rows["set"]]
+    comp, rep = rows["x"].to_list(), rows["rep"].to_list()
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while c in root:
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in near_pairs(rows, least, percent):
+        x, y = find(comp[i]), find(comp[j])
+        if x != y:
+            a, b = sets[i], sets[j]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                root[y] = x
+                out.append((rep[i], rep[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+TILE = ["band", "key", "lo", "hi"]
+
+
+def _by_tile(df: DataFrame, use, schema: str, *args) -> DataFrame:
+    """`use` on each tile, one after the other from sorted partitions. A task holds one tile, and its batch of rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        at = None
+        for batch in batches:
+            keys = batch[TILE].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(batch)]):
+                if a == b:
+                    continue
+                key = tuple(keys[a])
+                if key != at and held:
+                    yield use(pd.concat(held) if len(held) > 1 else held[0], *args)
+                    held = []
+                at = key
+                held.append(batch.iloc[a:b].reset_index(drop=True))
+        if held:
+            yield use(pd.concat(held) if len(held) > 1 else held[0], *args)
+
+    return df.repartition(*TILE).sortWithinPartitions(*TILE).mapInPandas(run, schema)
+
+
 def estimated(a: Column, b: Column) -> Column:
     """Similarity from two packed signatures: minima whose low bits agree, less those that agree by chance."""
     unequal = F.lit(0)
@@ -191,7 +289,7 @@ class NearDuplicates:
         self.docs, self.k, self.percent, self.least = docs.select(F.col("doc_id").cast("long"), "text"), k, percent, percent / 100 - margin
         self.features = materialize(self.docs.select("doc_id", _features(k)("text").alias("f")).select("doc_id", "f.*"), "features")
         full = self.features.filter("n > 0 AND doc_id IS NOT NULL")
-        self.texts = materialize(full.groupBy("digest", "sig", "bands").agg(F.min("doc_id").alias("rep")), "texts")
+        self.texts = materialize(full.groupBy("digest", "n", "sig", "bands").agg(F.min("doc_id").alias("rep")), "texts")
         self.components = self._components()
 
     def _signed(self, pairs: DataFrame) -> DataFrame:
@@ -218,17 +316,26 @@ class NearDuplicates:
         df = members.join(comp("rep", "x"), "rep", "left").join(comp("hub", "y"), "hub", "left")
         df = df.select("band", "key", "rep", F.coalesce("x", "rep").alias("x"), F.coalesce("y", "hub").alias("y"))
         df = materialize(df, "labelled")
-        mixed_ones = df.filter("x != y").select("band", "key").distinct()
-        rest = df.join(mixed_ones, ["band", "key"], "left_semi").join(self.texts.select("rep", "sig"), "rep")
-        a, b = rest.alias("a"), rest.alias("b")
-        near = estimated(F.col("a.sig"), F.col("b.sig")) >= self.least
-        met = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.x") != F.col("b.x"))
-        pairs = a.join(b, met & near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-        more = self._confirmed(pairs)
+        more = self._rest(df)
         if more.isEmpty():
             return found
         return components(links.union(more))
 
+    def _rest(self, labelled: DataFrame) -> DataFrame:
+        """Links (a, b) between members of different components that are in one bucket; those with hubs are known."""
+        full = self.texts.select("rep", "n", "sig", "bands")
+        open_ones = labelled.filter("x != y").select("band", "key").distinct()
+        rows = labelled.join(open_ones, ["band", "key"], "left_semi").select("band", "key", "rep", "x").join(full, "rep")
+        sizes = rows.groupBy("band", "key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"), F.count("*").alias("c")).filter("c > 1").drop("c")
+        rows = rows.join(sizes, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.select("band", "key", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", "rep", "x", "n", "sig", "bands")
+        schema = "band int, key long, lo long, hi long, block long, rep long, x long, n long, sig array<long>, bands array<long>"
+        left = materialize(_by_tile(rows, tile_members, schema, self.least, self.percent), "tiles")
+        ids = left.select(F.col("rep").alias("doc_id")).distinct()
+        sets = limited(self.docs, ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), _sets(self.k)("text").alias("set"))
+        return materialize(_by_tile(left.join(sets, "rep"), tile_links, "a long, b long", self.least, self.percent).distinct(), "links")
+
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept of every row."""
         comp = self.components.select(F.col("node").alias("rep"), "comp")

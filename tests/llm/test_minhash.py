@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from scenekiln.llm import minhash
 from scenekiln.llm.minhash import NearDuplicates, components, shingle_sets, signature
 
 
@@ -60,6 +61,23 @@ def test_against_brute_force(spark):
     assert NearDuplicates(docs.limit(0)).result().count() == 0
 
 
+def test_tiles_of_large_buckets(spark, monkeypatch):
+    """Many variants of one text, few of them linked with the smallest: links that only tiles find."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.choice([0, 2, 4, 6, 9]) if i else 8):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4)
+    for members in (1024, 7):
+        monkeypatch.setattr(minhash, "BLOCK_MEMBERS", members)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in NearDuplicates(docs, k=4).result().collect()} == want
+
+
 def test_sets_and_signatures():
     rng = random.Random(4)
     base = [f"t{rng.randrange(10**6)}" for _ in range(3000)]
