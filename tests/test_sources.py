@@ -3,7 +3,6 @@ import tarfile
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from scenekiln.cli import main, parser
 from scenekiln.config import Settings
