@@ -81,7 +81,7 @@ def search(rows: DataFrame, is_query, k: int, build: Build, find: Search, score_
                     out += [pd.DataFrame({"query_id": q, "vec_id": i, "score": s}) for q, i, s in find(made[dim], ids, m)]
         return pd.concat(out)
 
-    joined = pairs.join(indexes, "shard")
+    joined = pairs.join(indexes.hint("merge"), "shard")
     best = joined.groupBy("shard", "part").applyInPandas(found, f"query_id long, vec_id long, score {score_type}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
