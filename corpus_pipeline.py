@@ -42,9 +42,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether decoding gives the text back."""
     op = BpeOperator(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = op.decode(op.encode(docs.select("doc_id", "lang", "source", "text"), "text", "token_ids"), "token_ids", "decoded")
-    intact = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", intact.alias("intact"))
+    out = op.encode(docs.select("doc_id", "lang", "source", "text"), "text", "token_ids", "intact")
+    return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "intact")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", bpe)]

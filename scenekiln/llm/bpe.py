@@ -27,9 +27,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Bounds of what a worker keeps: transitions of the transducer, encodings of pieces, and bytes of a kept piece.
-MAX_TRANSITIONS, MAX_PIECES, MAX_KEPT_BYTES = 250_000, 200_000, 64
+from scenekiln.llm.worker import kept
+
+#: Bounds of what a worker keeps: transitions of the transducer, encodings of pieces in each of two generations, and
+#: letters of a kept piece. In all about 200 MB.
+MAX_TRANSITIONS, MAX_PIECES, MAX_KEPT = 600_000, 60_000, 48
+#: Rows that are put out at once.
+OUT_ROWS = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,6 +44,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class State(dict):
+    """A state: byte to (state, token that ends there). `places`: for each place from which some token goes on, longest
+    first, what has been read since and the token that ends there (-1: the start); the same for the end of the input."""
+
+    __slots__ = ("places",)
+
+
 class Transducer:
     """Encodes pieces of bytes by the ranks; see the module's text."""
 
@@ -45,16 +58,14 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.unended = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.pair_ok: dict[tuple[int, int], bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[bytes, float]] | None] = {}
         self._forget()
 
     def _forget(self) -> None:
-        #: state: for each place from which some token goes on, longest first, what has been read since and the token
-        #: that ends there (-1: the start); the same for the end of what has been read
-        self.states: list[tuple] = [((b"", -1),)]
-        self.ids: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.start = State()
+        self.start.places = ((b"", -1),)
+        self.states: dict[tuple, State] = {self.start.places: self.start}
+        self.moves = 0
 
     def _merged(self, data: bytes, below: float = math.inf) -> list[bytes]:
         """The definition: merge the adjacent pair of least rank (under `below`), leftmost first, until none is left."""
@@ -94,49 +105,44 @@ class Transducer:
         Both grow towards their common border in order of rank; they may not stand together if what stands on either
         side of the border merges across it first. Of equal ranks the leftmost goes first.
         """
-        known = self.pair_ok.get((before, token))
-        if known is None:
-            right = self._spine(token, 0)
-            left = right and (right if before < 0 else self._spine(before, 1))
-            known = bool(left)
-            if known and before >= 0:
-                i = j = 0
-                while True:
-                    (x, x_ends), (y, y_ends) = left[i], right[j]
-                    across = self.ranks.get(x + y, math.inf)
-                    if across < x_ends and across <= y_ends and across < math.inf:
-                        known = False
-                        break
-                    if x_ends == y_ends == math.inf:
-                        break
-                    if x_ends <= y_ends:
-                        i += 1
-                    else:
-                        j += 1
-            self.pair_ok[before, token] = known
-        return known
+        right = self._spine(token, 0)
+        left = right and (right if before < 0 else self._spine(before, 1))
+        if not left or before < 0:
+            return bool(left)
+        i = j = 0
+        while True:
+            (x, x_ends), (y, y_ends) = left[i], right[j]
+            across = self.ranks.get(x + y, math.inf)
+            if across < x_ends and across <= y_ends and across < math.inf:
+                return False
+            if x_ends == y_ends == math.inf:
+                return True
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
 
-    def _make(self, state: int, byte: int) -> tuple[int, int]:
+    def _make(self, state: State, byte: int) -> tuple[State, int]:
         last, places, token = bytes((byte,)), [], -1
-        for since, before in self.states[state]:
+        ranks, unended = self.ranks, self.unended
+        for since, before in state.places:
             grown = since + last
-            if token < 0 and grown in self.ranks and self._follows(before, self.ranks[grown]):
-                token = self.ranks[grown]
-            if grown in self.unended:
+            if token < 0 and grown in ranks and self._follows(before, ranks[grown]):
+                token = ranks[grown]
+            if grown in unended:
                 places.append((grown, before))
         if token < 0:
             raise ValueError(f"no token covers byte {byte}")
         key = (*places, (b"", token))
-        if len(self.moves) >= MAX_TRANSITIONS:
+        if self.moves >= MAX_TRANSITIONS:
             self._forget()
-            self.ids[key] = 1
-            self.states.append(key)
-            return 1, token
-        at = self.ids.setdefault(key, len(self.states))
-        if at == len(self.states):
-            self.states.append(key)
-        self.moves[state << 8 | byte] = at, token
-        return at, token
+        after = self.states.get(key)
+        if after is None:
+            after = self.states[key] = State()
+            after.places = key
+        state[byte] = after, token
+        self.moves += 1
+        return after, token
 
     def _back(self, ends: list[int], at: int) -> list[int]:
         """The tokens up to place `at`, from the token that ends at each place."""
@@ -148,13 +154,15 @@ class Transducer:
 
     def stream(self, data: Iterable[int], lookahead: int = 4096) -> Iterator[int]:
         """Ids of the bytes. After each `lookahead` bytes what all open places have in common is emitted."""
-        state, ends = 0, []
+        state, ends = self.start, []
         for byte in data:
-            move = self.moves.get(state << 8 | byte) or self._make(state, byte)
-            state = move[0]
-            ends.append(move[1])
+            try:
+                state, token = state[byte]
+            except KeyError:
+                state, token = self._make(state, byte)
+            ends.append(token)
             if len(ends) >= lookahead:
-                paths = [self._back(ends, len(ends) - len(since)) for since, _ in self.states[state]]
+                paths = [self._back(ends, len(ends) - len(since)) for since, _ in state.places]
                 settled = 0
                 while all(len(p) > settled and p[settled] == paths[0][settled] for p in paths):
                     settled += 1
@@ -166,16 +174,15 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
-        if len(data) > MAX_KEPT_BYTES:
+        if len(data) > MAX_KEPT:
             return tuple(self.stream(data))
-        state, ends, moves = 0, [], self.moves
+        state, ends = self.start, []
         for byte in data:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                move = self._make(state, byte)
-                moves = self.moves
-            state = move[0]
-            ends.append(move[1])
+            try:
+                state, token = state[byte]
+            except KeyError:
+                state, token = self._make(state, byte)
+            ends.append(token)
         return tuple(self._back(ends, len(ends)))
 
 
@@ -210,6 +217,7 @@ class Codec:
                 merged.append([a, b])
         self.odd = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in merged) + "]") if merged else None
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
         if self.odd is None or text.isascii() or not self.odd.search(text):
@@ -219,16 +227,18 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        kept = self.kept
+        known = self.kept
         for piece in self.pieces(text):
-            ids = kept.get(piece)
+            ids = known.get(piece)
             if ids is None:
-                data = piece.encode()
-                ids = self.transducer.piece(data)
-                if len(data) <= MAX_KEPT_BYTES:
-                    if len(kept) >= MAX_PIECES:
-                        kept.clear()
-                    kept[piece] = ids
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = self.transducer.piece(piece.encode())
+                if len(piece) <= MAX_KEPT:
+                    if len(known) >= MAX_PIECES:  # what is used again is taken over from the older ones
+                        self.older, self.kept = known, {}
+                        known = self.kept
+                    known[piece] = ids
             out += ids
         return out
 
@@ -281,15 +291,13 @@ class StreamingDecoder:
         return held.decode("utf-8", errors="replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(key: str, spec) -> Codec:
     """The worker's codec, kept across tasks so that the transducer's states are made once."""
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(*spec.value)
-    return _CODECS[key]
+    store = kept("bpe")
+    if key not in store:
+        store.clear()
+        store[key] = Codec(*spec.value)
+    return store[key]
 
 
 class BpeOperator:
@@ -359,9 +367,33 @@ class BpeOperator:
 
         return digests(ids)
 
-    def encode(self, df: DataFrame, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-        """`df` with the ids of `text_col` in `ids_col`."""
-        return df.withColumn(ids_col, self.ids(F.col(f"`{text_col}`")))
+    def encode(self, df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", intact_col: str | None = None) -> DataFrame:
+        """`df` with the ids of `text_col` in `ids_col` and, if named, whether decoding gives the text back.
+
+        A task holds one batch of its input and few rows of output.
+        """
+        key, spec = self.key, self.spec
+        added = [c for c in (ids_col, intact_col) if c]
+        rest = df.drop(*[c for c in added if c != text_col])
+        source = rest.withColumn("__text", F.col(f"`{text_col}`"))
+        source = source.drop(text_col) if text_col in added else source
+        schema = T.StructType([f for f in source.schema.fields if f.name != "__text"] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(intact_col, T.BooleanType())] if intact_col else []))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codec = _codec(key, spec)
+            decoder = StreamingDecoder(codec.transducer.tokens)
+            for batch in batches:
+                for at in range(0, batch.num_rows, OUT_ROWS):
+                    part = batch.slice(at, OUT_ROWS)
+                    texts = [t or "" for t in part.column("__text").to_pylist()]
+                    ids = [codec.encode(t) for t in texts]
+                    columns = {n: part.column(n) for n in part.schema.names if n != "__text"}
+                    columns[ids_col] = pa.array(ids, pa.list_(pa.int32()))
+                    if intact_col:
+                        columns[intact_col] = pa.array([decoder.feed(i) + decoder.finish() == t for i, t in zip(ids, texts)])
+                    yield pa.RecordBatch.from_pydict(columns)
+
+        return source.mapInArrow(run, schema)
 
     def decode(self, df: DataFrame, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
         """`df` with the text of `ids_col` in `text_col`."""

@@ -27,12 +27,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scenekiln.llm.worker import kept
+
 #: Documents a language that are learned from, n-grams of a profile, rows of the filter (a power of two).
-SAMPLE, PROFILE, FILTER_ROWS = 1000, 4000, 1 << 16
+SAMPLE, PROFILE, FILTER_ROWS = 500, 4000, 1 << 16
 SIZES = (3, 4)
 MAX_LANGUAGES = 4096
 #: Characters that are worked through at once.
 CHUNK = 1 << 18
+#: Rows that are judged at once.
+OUT_ROWS = 256
 
 
 @lru_cache(maxsize=1)
@@ -141,6 +145,7 @@ class Profiles:
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _distinct_grams(texts: pa.Array) -> pa.Array:
+    kept("langid")
     out = []
     for text in texts:
         found = [h for piece in _pieces(text.as_py() or "") for h, _ in _grams(_points(piece))]
@@ -151,14 +156,20 @@ def _distinct_grams(texts: pa.Array) -> pa.Array:
 def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Profiles:
     """Profiles from the labelled rows that `learnable` names, `sample` a language at most."""
     rows = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    first = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    chosen = rows.select(F.col(id_col), F.col(lang_col)).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample).select(id_col).distinct()
+    # ids are drawn by their hash; twice the share wanted of each language is cut out before any shuffle
+    drawn = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
+    sizes = rows.groupBy(lang_col).agg(F.count("*").alias("__n"))  # one row a language
+    if sizes.count() > MAX_LANGUAGES:
+        raise ValueError("more languages than the filter's bound")
+    few = rows.select(id_col, lang_col).join(F.broadcast(sizes), lang_col).filter((F.col("__n") <= 4 * sample) | (drawn * F.col("__n") < F.lit((1 << 30) * 2 * sample)))
+    first = Window.partitionBy(lang_col).orderBy(drawn, id_col)
+    chosen = few.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample).select(id_col).distinct()
     texts = rows.join(F.broadcast(chosen), id_col, "left_semi")  # at most sample ids a language
     grams = texts.select(F.col(lang_col).alias("lang"), F.explode(_distinct_grams(text_col)).alias("gram"))
     counts = grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counts.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= PROFILE).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
-    found = {r.lang: np.array(r.grams, np.int64).view(np.uint64) for r in kept.collect()}
+    best = counts.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= PROFILE).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
+    found = {r.lang: np.array(r.grams, np.int64).view(np.uint64) for r in best.collect()}
     known = [r[0] for r in rows.select(lang_col).distinct().collect()] if len(found) < MAX_LANGUAGES else []
     return Profiles({lang: found.get(lang, np.empty(0, np.uint64)) for lang in {*found, *known}})
 
@@ -169,7 +180,12 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def judged(texts: pa.Array) -> pa.Array:
-        named, score = shared.value.decide([t or "" for t in texts.to_pylist()])
+        kept("langid")
+        named, score = [], []
+        for at in range(0, len(texts), OUT_ROWS):
+            some, shares = shared.value.decide([t or "" for t in texts.slice(at, OUT_ROWS).to_pylist()])
+            named += some
+            score += shares.tolist()
         return pa.StructArray.from_arrays([pa.array(named, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     df = docs.withColumn("__judged", judged(F.col(f"`{text_col}`")))

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenekiln.llm.worker import kept
 from scenekiln.session import materialize
 
 BANDS, ROWS, BITS = 24, 4, 4
@@ -123,6 +124,7 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _features(k: int):
     @F.arrow_udf("struct<n:bigint,digest:binary,sig:array<bigint>,bands:array<bigint>>")
     def features(texts: pa.Array) -> pa.Array:
+        kept("minhash")
         sizes, digests, sigs, bands = [], [], [], []
         for own in shingle_sets(texts, k):
             sizes.append(len(own))
@@ -139,6 +141,7 @@ def _features(k: int):
 def _linked(k: int, percent: int):
     @F.arrow_udf("boolean")
     def linked(first: pa.Array, second: pa.Array) -> pa.Array:
+        kept("minhash")
         out = []
         for a, b in zip(shingle_sets(first, k), shingle_sets(second, k)):
             both = len(np.intersect1d(a, b, assume_unique=True))
@@ -220,6 +223,7 @@ def _by_tile(df: DataFrame, use, schema: str, *args) -> DataFrame:
     """`use` on each tile, one after the other from sorted partitions. A task holds one tile, and its batch of rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept("minhash")
         held: list[pd.DataFrame] = []
         at = None
         for batch in batches:
