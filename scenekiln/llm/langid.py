@@ -188,7 +188,8 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
             score += shares.tolist()
         return pa.StructArray.from_arrays([pa.array(named, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
-    df = docs.withColumn("__judged", judged(F.col(f"`{text_col}`")))
+    # a filter on the result would else be pushed below it and judge each text twice
+    df = docs.withColumn("__judged", judged.asNondeterministic()(F.col(f"`{text_col}`")))
     return df.withColumns({"lang_pred": F.col("__judged.lang_pred"), "score": F.col("__judged.score")}).drop("__judged")
 
 

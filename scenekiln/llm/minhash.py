@@ -45,8 +45,8 @@ MARGIN = 0.2
 MAX_BROADCAST_IDS = 500_000
 #: Most members of a block of a bucket, and most shingles of one (a single long text may exceed them).
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 400_000
-#: Bytes of text that are hashed at once, shingles that are permuted at once.
-CHUNK_BYTES, CHUNK_SHINGLES = 1 << 20, 2048
+#: Rows that are taken from a batch and bytes of text that are hashed at once, shingles that are permuted at once.
+CHUNK_ROWS, CHUNK_BYTES, CHUNK_SHINGLES = 256, 1 << 20, 2048
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLY = _RNG.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,9 +74,11 @@ def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text. A-Z count as a-z; words end at ASCII white space."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    if len(texts) == 0:
-        return
+    for at in range(0, len(texts), CHUNK_ROWS):
+        yield from _sets_of(texts.slice(at, CHUNK_ROWS).cast(pa.large_string()).fill_null(""), k)
+
+
+def _sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     for first, last in _chunks(offsets):
