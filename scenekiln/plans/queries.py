@@ -15,6 +15,7 @@ from scenekiln.operators import ranking, sampling, scenes
 from scenekiln.plans import shapes
 from scenekiln.plans.sql import NAMES, PLACED, SHARED, scenes_sql, shoelace, with_shapes
 from scenekiln.session import table
+from scenekiln.sources.shards import distinct_names
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -437,9 +438,9 @@ def key_ext_split(spark, sf_dir):
 
 @query("SELECT DISTINCT trim(line) AS name FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 10 = 0) WHERE trim(line) <> '' AND length(line) < 20")
 def name_list(spark, sf_dir):
-    """Short lines of every tenth text as a list of names: stripped, without blanks, distinct."""
-    lines = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select(F.explode(F.split("text", "\n")).alias("line")).filter("length(line) < 20")
-    return lines.select(t.stripped(F.col("line")).alias("name")).filter("name != ''").distinct()
+    """Lines of all texts as a list of names: stripped, without blanks, distinct."""
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return distinct_names(lines, F.col("line"))
 
 
 @query("""WITH n AS (SELECT p_brand, p_partkey, count(*) OVER (PARTITION BY p_brand) AS c, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS e FROM part),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from scenekiln.functions.text import is_image
+from scenekiln.functions.text import is_image, stripped
 
 MEMBERS = "shard string, ord long, key string, ext string, payload binary"
 
@@ -74,8 +74,12 @@ def relative(path: Column, root: str) -> Column:
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """Distinct names of a text file: stripped, without blanks."""
-    name = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
-    return spark.read.text(path).select(name.alias("name")).filter("name != ''").distinct()
+    return distinct_names(spark.read.text(path), F.col("value"))
+
+
+def distinct_names(lines: DataFrame, line: Column) -> DataFrame:
+    """Lines as a list of names: stripped, without blanks, distinct."""
+    return lines.select(stripped(line).alias("name")).filter("name != ''").distinct()
 
 
 class _FileWriter(DataSourceWriter):

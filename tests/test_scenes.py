@@ -180,3 +180,10 @@ def test_all_later_occluders(spark):
     assert 1 not in z(occluders="all_later")
     with pytest.raises(ValueError):
         scenes.with_occluder(df, "x")
+
+
+def test_name_list_reads_every_line_of_every_text(spark, duck):
+    texts = [r[0] for r in duck.execute("SELECT text FROM documents").fetchall()]
+    want = {line.strip() for text in texts for line in text.split("\n")} - {""}
+    rows = [r.name for r in QUERIES["name_list"](spark, SF).collect()]
+    assert len(rows) == len(want) and set(rows) == want and any(len(n) >= 20 for n in want)
