@@ -61,8 +61,8 @@ def label_manifest(spark, sf_dir):
 
 @query(scenes_sql("SELECT scene, string_agg(printf('%d %.6f %.6f %.6f %.6f', id, cx, cy, w, h) || chr(10), '' ORDER BY z, corner) AS text FROM corner_labels JOIN names USING (class) WHERE scene % 3 = 0 GROUP BY scene"))
 def yolo_label_lines(spark, sf_dir):
-    """Label files of the scenes divisible by three, as a run over one part of the scenes writes them."""
-    return scenes.label_files(_labels(spark, sf_dir).filter("scene % 3 = 0"), _names(spark, sf_dir))
+    """Label files of all scenes that have labels."""
+    return scenes.label_files(_labels(spark, sf_dir), _names(spark, sf_dir))
 
 
 @query(scenes_sql("SELECT class, count(*) AS labels, count(*) FILTER (id BETWEEN 0 AND 31 AND cx BETWEEN 0 AND 1 AND cy BETWEEN 0 AND 1 AND w > 0 AND w <= 1 AND h > 0 AND h <= 1) AS valid FROM corner_labels LEFT JOIN names USING (class) GROUP BY class"))

@@ -12,6 +12,7 @@ from scenekiln.functions import geometry as g
 from scenekiln.functions import text as t
 from scenekiln.operators import ranking, sampling, scenes
 from scenekiln.plans.queries import ORACLE_SQL, QUERIES
+from scenekiln.plans.sql import scenes_sql
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -187,3 +188,10 @@ def test_name_list_reads_every_line_of_every_text(spark, duck):
     want = {line.strip() for text in texts for line in text.split("\n")} - {""}
     rows = [r.name for r in QUERIES["name_list"](spark, SF).collect()]
     assert len(rows) == len(want) and set(rows) == want and any(len(n) >= 20 for n in want)
+
+
+def test_every_labelled_scene_has_a_label_file(spark, duck):
+    select = "SELECT scene, string_agg(printf('%d %.6f %.6f %.6f %.6f', id, cx, cy, w, h) || chr(10), '' ORDER BY z, corner) AS text FROM corner_labels JOIN names USING (class) GROUP BY scene"
+    want = dict(duck.execute(scenes_sql(select)).fetchall())
+    rows = [(r.scene, r.text) for r in QUERIES["yolo_label_lines"](spark, SF).collect()]
+    assert len(rows) == len(want) and dict(rows) == want and {scene % 3 for scene in want} == {0, 1, 2}
