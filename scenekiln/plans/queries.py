@@ -296,12 +296,12 @@ def focus_filter(spark, sf_dir):
 one AS (SELECT a.scene, [trunc(b.grid[i] * ((255 - i * 3) / 255.0::DOUBLE) + a.grid[i] * (1 - (255 - i * 3) / 255.0::DOUBLE))::INTEGER FOR i IN range(1, 65)] AS grid FROM layers a JOIN layers b ON a.scene = b.scene AND a.vec_id % 3 = 0 AND b.vec_id % 3 = 1)
 SELECT scene, list_sum(grid)::BIGINT AS total FROM one""")
 def alpha_composite_grid(spark, sf_dir):
-    """A grid laid over another with a sloping alpha; sums of the pixels."""
+    """All grids of a scene, laid over its first in their order with a sloping alpha; sums of the pixels."""
     alpha = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: 255 - i * 3)
-    df = shapes.grids(spark, sf_dir).withColumns({"scene": F.floor(F.col("vec_id") / 3), "k": F.col("vec_id") % 3})
-    base, over = df.filter("k = 0").select("scene", F.col("grid").alias("base")), df.filter("k = 1").select("scene", F.col("grid").alias("over"))
-    mixed = scenes.composited(F.col("base"), F.col("over"), alpha)
-    return base.join(over, "scene").select("scene", F.aggregate(mixed, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    layers = F.array_sort(F.collect_list(F.struct("vec_id", "grid")))  # three at most, as scenes are threes of ids
+    df = shapes.grids(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 3).alias("scene")).agg(F.transform(layers, lambda s: s["grid"]).alias("layers"))
+    mixed = F.aggregate(F.slice("layers", 2, F.size("layers")), F.get("layers", F.lit(0)), lambda base, over: scenes.composited(base, over, alpha))
+    return df.select("scene", F.aggregate(mixed, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
 # Files, members and shards

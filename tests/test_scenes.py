@@ -195,3 +195,16 @@ def test_every_labelled_scene_has_a_label_file(spark, duck):
     want = dict(duck.execute(scenes_sql(select)).fetchall())
     rows = [(r.scene, r.text) for r in QUERIES["yolo_label_lines"](spark, SF).collect()]
     assert len(rows) == len(want) and dict(rows) == want and {scene % 3 for scene in want} == {0, 1, 2}
+
+
+def test_all_layers_of_a_scene_are_composited(spark, duck):
+    layers = {}
+    for vec_id, embedding in duck.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall():
+        layers.setdefault(vec_id // 3, []).append([int((float(x) + 1) * 127.5) for x in embedding])
+    want = {}
+    for scene, (base, *others) in layers.items():
+        for over in others:
+            base = [max(0, min(255, int(o * (a / 255.0) + b * (1 - a / 255.0)))) for o, b, a in zip(over, base, range(252, 60, -3))]
+        want[scene] = sum(base)
+    rows = [(r.scene, r.total) for r in QUERIES["alpha_composite_grid"](spark, SF).collect()]
+    assert len(rows) == len(want) and dict(rows) == want and {len(v) for v in layers.values()} == {2, 3}
