@@ -99,6 +99,31 @@ def safe_area(points: Column) -> Column:
     return F.when(F.size(points) >= 3, let(area, lambda a: F.when(a.isNotNull() & ~convex(points), fails).otherwise(a)))
 
 
+def crossing(points: Column) -> Column:
+    """Whether edges that are not neighbours meet. Points that repeat the one before count once."""
+
+    def meet(e: Column, f: Column) -> Column:
+        side = lambda s, p: (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])
+        parted = lambda s, r: F.signum(side(s, r["a"])) * F.signum(side(s, r["b"])) <= 0
+        low, high = (lambda s, c: F.least(s["a"][c], s["b"][c])), (lambda s, c: F.greatest(s["a"][c], s["b"][c]))
+        near = lambda c: (low(e, c) <= high(f, c)) & (low(f, c) <= high(e, c))
+        return near("x") & near("y") & parted(e, f) & parted(f, e)
+
+    def any_meet(edges: Column) -> Column:
+        numbered, n = F.transform(edges, lambda e, i: F.struct(e.alias("e"), i.alias("i"))), F.size(edges)
+        apart = lambda s, r: (r["i"] > s["i"] + 1) & (r["i"] - s["i"] < n - 1)
+        return let(numbered, lambda es: F.exists(es, lambda s: F.exists(es, lambda r: apart(s, r) & meet(s["e"], r["e"]))))
+
+    own = F.filter(points, lambda p, i: p != F.get(points, (i + F.size(points) - 1) % F.size(points)))
+    return let(let(own, _pairs), any_meet)
+
+
+def simple_area(points: Column) -> Column:
+    """Area of a usable polygon, convex or not; null for under three points, no area, or edges that cross."""
+    area = let(polygon_area(points), lambda a: F.when(a > 0, a))
+    return F.when(F.size(points) >= 3, F.when(~crossing(points), area))
+
+
 def centroid(points: Column) -> Column:
     """Centre of gravity of the polygon; null without area."""
     area = signed_area(points)

@@ -173,9 +173,9 @@ def polygon_area(spark, sf_dir):
 
 @query(f"WITH {with_shapes('point_sets')}, thin AS (SELECT vec_id, points[1:vec_id % 5] AS p FROM point_sets) SELECT vec_id, CASE WHEN len(p) = 3 AND {shoelace('p')} <> 0 THEN round(abs({shoelace('p')}), 4) END AS area FROM thin WHERE len(p) < 4")
 def safe_polygon(spark, sf_dir):
-    """Areas of usable polygons; null for fewer than three points."""
-    df = shapes.point_sets(spark, sf_dir).withColumn("p", F.slice("points", F.lit(1), (F.col("vec_id") % 5).cast("int"))).filter("size(p) < 4")
-    return df.select("vec_id", F.round(g.safe_area(F.col("p")), 4).alias("area"))
+    """Areas of usable polygons of up to four points; null for fewer than three, without area, or where edges cross."""
+    df = shapes.point_sets(spark, sf_dir).withColumn("p", F.slice("points", F.lit(1), (F.col("vec_id") % 5).cast("int")))
+    return df.select("vec_id", F.round(g.simple_area(F.col("p")), 4).alias("area"))
 
 
 CROSS = "(p[i].x * p[i % 3 + 1].y - p[i % 3 + 1].x * p[i].y)"

@@ -208,3 +208,28 @@ def test_all_layers_of_a_scene_are_composited(spark, duck):
         want[scene] = sum(base)
     rows = [(r.scene, r.total) for r in QUERIES["alpha_composite_grid"](spark, SF).collect()]
     assert len(rows) == len(want) and dict(rows) == want and {len(v) for v in layers.values()} == {2, 3}
+
+
+def test_safe_polygon_returns_every_point_set(spark, duck):
+    def crossed(p):
+        turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        cut = lambda a, b, c, d: turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0
+        return len(p) == 4 and (cut(*p) or cut(*p[1:], p[0]))
+
+    want, odd = {}, 0
+    for vec_id, e in duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall():
+        p = [(360 + 700 * float(e[2 * i]), 360 + 700 * float(e[2 * i + 1])) for i in range(vec_id % 5)]
+        area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1]))) / 2
+        want[vec_id] = area if len(p) > 2 and area > 0 and not crossed(p) else None
+        odd += crossed(p)
+    rows = [(r.vec_id, r.area) for r in QUERIES["safe_polygon"](spark, SF).collect()]
+    assert len(rows) == len(want) and odd and any(a is not None and i % 5 == 4 for i, a in want.items())
+    assert dict(rows) == {i: a if a is None else pytest.approx(a, abs=1e-3) for i, a in want.items()}
+
+
+def test_simple_areas(spark):
+    area = lambda *p: one(spark, g.simple_area(pts(list(p))))
+    assert area((0, 0), (10, 0), (10, 10), (0, 10)) == 100 and area((0, 0), (10, 0), (1, 1), (0, 10)) == 10
+    assert area((0, 0), (10, 10), (10, 0), (0, 5)) is None and area((0, 0), (1, 1), (2, 2)) is None and area() is None
+    assert area((0, 0), (10, 0), (10, 0), (10, 10), (0, 10), (0, 0)) == 100
+    assert area((0, 0), (6, 0), (6, 4), (4, 4), (4, 2), (2, 2), (2, 4), (0, 4)) == 20
