@@ -20,12 +20,16 @@ from scenekiln.session import materialize, table
 
 #: A document of which less than this share of n-grams belongs to any learned language is rejected.
 LEAST_KNOWN = 0.2
+#: Texts with fewer letters have too few n-grams for such a share; one that is known is enough.
+FEW_LETTERS = 200
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; a missing label is filled in. Text without letters goes."""
+    """Documents in a language that was learned; a missing label is filled in. Text without letters or a known n-gram goes,
+    and longer text with too few of them."""
     judged = identify(docs, learn(docs.select("doc_id", "text", "lang"), ~held_out()))
-    known = judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_KNOWN))
+    few = F.length(F.regexp_replace("text", r"\P{L}+", "")) < FEW_LETTERS
+    known = judged.filter((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_KNOWN) | ((F.col("score") > 0) & few)))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

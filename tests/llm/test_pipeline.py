@@ -45,3 +45,12 @@ def test_stages_against_brute_force(spark):
 def test_run(spark):
     assert cp.ORACLE_SQL is None
     assert cp.run(spark, SF).count() > 50
+
+
+def test_short_documents_in_a_learned_language_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    short = ["Dr. John Smith", "def foo(x): return x", "Quick xylophone jazz", "All rights reserved."]
+    texts = short + ["日本語テキスト", "qzx", "qzx " * 400]
+    odd = spark.createDataFrame([(10_000 + i, t, None, None, len(t)) for i, t in enumerate(texts)], docs.schema)
+    out = cp.language_id(spark, materialize(docs.union(odd)), SF)
+    assert {r.text for r in out.filter("doc_id >= 10000").collect()} == set(short)
