@@ -17,7 +17,8 @@ Two sets of similarity 0.8 share none of the 24 bands with probability 3e-6, and
 probability 2e-6; that is the method's only loss. Nothing is collected but counts.
 
 Rows: a null or empty text, or one of white space, has an empty set and is linked with nothing; a null doc_id belongs to
-no group and is kept; repeated rows are copies of one document and get equal results; rows of one doc_id with different
+no group and is kept; repeated rows are copies of one document and get equal results, of which `kept` leaves one, as it
+does of rows without a doc_id that have one set; rows of one doc_id with different
 texts count as one node of the link graph where that doc_id stands for its text; an empty table gives no rows. Texts are
 hashed in pieces of bounded memory. The result has the columns named here, so other columns cannot clash.
 """
@@ -353,6 +354,17 @@ class NearDuplicates:
         return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
     def kept(self, docs: DataFrame) -> DataFrame:
-        """`docs` without the documents that another one of their group stands for."""
+        """`docs` without the documents that another one of their group stands for, and of rows that repeat a doc_id and
+        a set of shingles only the smallest. Rows without an id are such repeats of each other by their set alone."""
         gone = self.result().filter("NOT kept").select("doc_id").distinct()
-        return limited(docs, gone, "doc_id", "left_anti")
+        rest = limited(docs, gone, "doc_id", "left_anti")
+        again = self.features.filter("n > 0").groupBy("doc_id", "digest").agg(F.count("*").alias("c")).filter("c > 1")
+        again = materialize(again.select("doc_id").distinct(), "repeated")
+        if again.isEmpty():
+            return rest
+        named, ids = rest.filter("doc_id IS NOT NULL"), again.filter("doc_id IS NOT NULL")
+        few = limited(named, ids, "doc_id", "left_semi").union(rest.filter("doc_id IS NULL"))
+        few = few.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("__id"), _features(self.k)("text").alias("f"))
+        # a minimum, not a window: copies are thinned out before they are shuffled
+        first = few.filter("f.n > 0").groupBy("__id", "f.digest").agg(F.min("row").alias("row"))
+        return limited(named, ids, "doc_id", "left_anti").union(first.select("row.*")).union(few.filter("f.n = 0").select("row.*"))

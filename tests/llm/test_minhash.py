@@ -99,3 +99,13 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert {n: got.get(n, n) for n in root} == root
+
+
+def test_repeated_rows_leave_one(spark):
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g", "h i j k l m n"]
+    rows = [(7, texts[0])] * 3 + [(7, "ONE two three four five six"), (8, texts[0]), (7, texts[1]), (9, texts[2]), (6, "")]
+    rows += [(None, texts[3])] * 3 + [(None, texts[2]), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    left = [tuple(r) for r in NearDuplicates(docs, k=5).kept(docs).collect()]
+    want = [(7, "ONE two three four five six"), (7, texts[1]), (9, texts[2]), (6, ""), (None, texts[3]), (None, texts[2]), (None, ""), (None, None)]
+    assert sorted(map(repr, left)) == sorted(map(repr, want))
