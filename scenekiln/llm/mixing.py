@@ -128,26 +128,39 @@ class Mix:
     def packed(self, rows: DataFrame) -> DataFrame:
         """`rows` (as made by _keyed) with their number within (source, chunk) and their first word in the source."""
         within = Window.partitionBy("source", "chunk").orderBy("doc_id", "h", "size")
-        df = rows.withColumns({"n": F.row_number().over(within), "inner": F.sum("size").over(within) - F.col("size")})
+        df = rows.withColumns({"n": F.row_number().over(within), "inner": F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
         sums = self.narrow.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
         sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("chunk")) - F.col("words"))
         sums = sums.select(F.col("source").alias("__s"), F.col("chunk").alias("__c"), "before")
         df = df.join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("chunk") == F.col("__c")), "left").drop("__s", "__c")
         return df.withColumn("offset", F.col("before") + F.col("inner")).drop("before", "inner")
 
-    def pieces(self) -> DataFrame:
-        """One row a document and block it touches: the words [a, b) of the block, and how often each word is taken."""
+    def spread(self) -> DataFrame:
+        """One row a document and block it touches: the words [a, b) of the block."""
         block = F.lit(self.block)
         df = self.packed(self.narrow)
         blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block)))
         df = df.withColumn("index", F.explode_outer(blocks))
         start = F.col("index") * block
-        df = df.withColumns({"a": F.greatest(F.col("offset"), start) - start, "b": F.least(F.col("offset") + F.col("size"), start + block) - start})
+        return df.withColumns({"a": F.greatest(F.col("offset"), start) - start, "b": F.least(F.col("offset") + F.col("size"), start + block) - start})
+
+    def pieces(self) -> DataFrame:
+        """`spread` with how often each word is taken."""
+        df = self.spread()
         taken = self.slots().groupBy("source", "index").agg(F.sort_array(F.collect_list("take"), asc=False).alias("takes"))  # two at most
         taken = taken.select(F.col("source").alias("__s"), F.col("index").alias("__i"), "takes")
         df = df.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("index") == F.col("__i")), "left").drop("__s", "__i")
         return df.withColumn("takes", F.transform(F.coalesce("takes", F.array().cast("array<long>")), lambda t: F.greatest(F.least(t, F.col("b")) - F.col("a"), F.lit(0))))
 
+    def dealt(self) -> DataFrame:
+        """The mix as it is dealt: for each output shard and slot the documents whose words fill it, `first` the number in
+        the document of the first of `words` words, `at` their place in the slot."""
+        slots = self.slots().select(F.col("source").alias("__s"), F.col("index").alias("__i"), "take", "shard", "slot")
+        df = self.spread().filter(F.col("index").isNotNull())
+        df = df.join(slots.hint("merge"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("index") == F.col("__i")))
+        df = df.withColumn("words", F.least("take", "b") - F.col("a")).filter("words > 0")
+        return df.select("shard", "slot", F.col("a").alias("at"), "source", "doc_id", (F.col("index") * self.block + F.col("a") - F.col("offset")).alias("first"), "words")
+
     def taken(self) -> DataFrame:
         """doc_id, size, source, source_size, target and taken of every document."""
         words = F.aggregate("takes", F.lit(0).cast("long"), lambda s, t: s + t)

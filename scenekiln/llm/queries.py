@@ -84,6 +84,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_mixing_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that fill every slot of every output shard of the same mix."""
+    return Mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).dealt()
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest by cosine of every vector whose id is divisible by 50, as the relaxed search finds them."""
     return nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
@@ -188,6 +193,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
+    "op4_mixing_dealt": op4_mixing_dealt,
     "op5_ann": op5_ann,
     "op6_topk": op6_topk,
     "op7_chat": op7_chat,

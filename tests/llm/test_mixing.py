@@ -81,3 +81,22 @@ def test_shards_have_fixed_size(spark, rows):
     mix = Mix(docs, block=16, per_shard=50)
     counts = [r["count"] for r in mix.slots().groupBy("shard").count().orderBy("shard").collect()]
     assert all(n == 50 for n in counts[:-1]) and 0 < counts[-1] <= 50
+
+
+def test_slots_are_dealt_to_shards(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    mix = Mix(docs, block=16, per_shard=50)
+    slots = {(r.shard, r.slot): (r.source, r.take) for r in mix.slots().collect()}
+    filled, by_doc = defaultdict(list), defaultdict(int)
+    for r in mix.dealt().collect():
+        filled[r.shard, r.slot].append(r)
+        by_doc[r.doc_id] += r.words
+    assert filled.keys() == slots.keys() and len({shard for shard, _ in filled}) > 1
+    for k, own in filled.items():
+        own.sort(key=lambda r: r["at"])
+        assert (own[0].source, sum(r.words for r in own)) == slots[k] and {r.source for r in own} == {slots[k][0]}
+        assert [r["at"] for r in own] == [sum(r.words for r in own[:i]) for i in range(len(own))]
+    taken = defaultdict(int)
+    for r in mix.taken().collect():
+        taken[r.doc_id] += r.taken
+    assert {i: n for i, n in taken.items() if n} == by_doc
