@@ -308,7 +308,7 @@ class BpeOperator:
         if len(ranks) > 1_000_000:
             raise ValueError("a rank file of over a million tokens is not broadcast")
         self.spec = spark.sparkContext.broadcast((ranks, pattern, unlike(pattern)))
-        self.key = hashlib.sha256(repr((sorted(ranks.items())[:: max(1, len(ranks) // 997)], len(ranks), pattern)).encode()).hexdigest()
+        self.key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
 
     def ids(self, text: Column | str) -> Column:
         """array<int> of the ids of a string column; null: no ids."""

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 
@@ -61,3 +62,17 @@ def test_operator(spark):
     digests = df.select("doc_id", op.digest(op.ids("text")).alias("d")).orderBy("doc_id").collect()
     assert [r.d.decoded_sha256 for r in digests] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
     assert op.encode(df.limit(0)).count() == 0
+
+
+def test_vocabularies_that_differ_in_two_ranks(spark, tmp_path):
+    """A worker that is used again must not encode with the ranks of the vocabulary before."""
+    step = len(RANKS) // 997
+    a, b = [t for i, t in enumerate(sorted(RANKS)) if i % step and t[:1] == b" " and t[1:].isalpha() and t.isascii()][:2]
+    other = RANKS | {a: RANKS[b], b: RANKS[a]}
+    path = tmp_path / "other.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in sorted(other.items(), key=lambda x: x[1])))
+    ops = [BpeOperator(spark, str(p), P.PATTERN) for p in (P.path("byte_bpe_50k.tiktoken"), path)]
+    text = a.decode() + b.decode()
+    df = spark.createDataFrame([(text,)], "text string").coalesce(1)
+    first, second = (op.encode(df).first().token_ids for op in ops)
+    assert ops[0].key != ops[1].key and first == [RANKS[a], RANKS[b]] and second == first[::-1]
