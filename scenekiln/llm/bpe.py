@@ -6,7 +6,7 @@ the encoding of a prefix that ends where a token starts never changes afterwards
 suffix that some token still continues, and, for each place in it where a token may start, the token that ends there.
 A transition gives the token that ends at its byte. Tokens that the paths to all open places share are settled; an open
 place is never further back than the longest token, which bounds the lookahead. States and transitions are made when
-first met and kept, up to a limit, per Python worker.
+first met and kept, up to a bound in bytes, per Python worker; so are encoded pieces.
 
 Rows: null text counts as empty (no ids), repeated rows are encoded alike, an empty table gives an empty table, texts
 of any length are streamed through the transducer in linear time. A column of the input that is named like the new
@@ -18,9 +18,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
-import unicodedata
+import re
+import struct
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,23 @@ from pyspark.sql import types as T
 
 from scenekiln.llm.worker import kept
 
-#: Bounds of what a worker keeps: transitions of the transducer, encodings of pieces in each of two generations, and
-#: letters of a kept piece. In all about 200 MB.
-MAX_TRANSITIONS, MAX_PIECES, MAX_KEPT = 600_000, 60_000, 48
-#: Rows that are put out at once.
-OUT_ROWS = 256
+#: Bounds of what a worker keeps. The transducer: slots of 8 bytes for transitions and of 4 for states (powers of two, two
+#: thirds of them are filled), and bytes of the states' keys; 24 MB in all. Bytes of each of two generations of encoded
+#: pieces, what a piece takes besides its letters and ids, and most letters of one that is kept.
+MOVE_SLOTS, STATE_SLOTS, KEY_BYTES = 1 << 20, 1 << 19, 12 << 20
+STORE_BYTES, PER_PIECE, MAX_KEPT = 12 << 20, 56, 48
+#: Rows that are put out at once, pieces that are joined at once, letters up to which a text's pieces are listed at once.
+OUT_ROWS, JOINED, LISTED = 256, 1 << 16, 1 << 20
+
+#: Letters and numbers of a newer Unicode than the tokenizer library knows, which are neither to it. First
+#: and last code point of each range.
+NEWER = """
+0558-0558 058b-058c 088f-088f 0c5c-0c5c 0cdc-0cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2
+a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1
+1246f-1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2
+18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de
+1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,28 +59,57 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class State(dict):
-    """A state: byte to (state, token that ends there). `places`: for each place from which some token goes on, longest
-    first, what has been read since and the token that ends there (-1: the start); the same for the end of the input."""
-
-    __slots__ = ("places",)
-
-
 class Transducer:
-    """Encodes pieces of bytes by the ranks; see the module's text."""
+    """Encodes pieces of bytes by the ranks; see the module's text.
+
+    A state is a number. Its key holds the places where a token may start and from which some token still goes on: what
+    has been read since the earliest of them, and for each how many bytes that is and the token that ends there (-1: the
+    start); the last place is the end of the input. Keys lie one after the other in one array, found by an open hash
+    table. A transition, state and byte to the next state, is one number of such a table; the token that ends at the byte
+    is the next state's last.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.unended = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.spines: dict[tuple[int, int], list[tuple[bytes, float]] | None] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.start = State()
-        self.start.places = ((b"", -1),)
-        self.states: dict[tuple, State] = {self.start.places: self.start}
-        self.moves = 0
+        self.moves, self.n_moves = array("Q", bytes(8 * MOVE_SLOTS)), 0
+        self.slots, self.keys, self.ends = array("I", bytes(4 * STATE_SLOTS)), bytearray(), array("I", [0])
+        self.last = array("i", [0])  # number 0 is no state, as 0 marks a free slot
+        self.start = self._state(self._key(b"", [(0, -1)]), -1)
+
+    def _state(self, key: bytes, token: int) -> int:
+        """The number of the state of that key."""
+        at = hash(key) & (STATE_SLOTS - 1)
+        while state := self.slots[at]:
+            if self.keys[self.ends[state - 1] : self.ends[state]] == key:
+                return state
+            at = (at + 1) & (STATE_SLOTS - 1)
+        self.slots[at] = state = len(self.last)
+        self.keys += key
+        self.ends.append(len(self.keys))
+        self.last.append(token)
+        return state
+
+    def _full(self) -> bool:
+        return 3 * self.n_moves > 2 * MOVE_SLOTS or 3 * len(self.last) > 2 * STATE_SLOTS or len(self.keys) > KEY_BYTES
+
+    @staticmethod
+    def _key(since: bytes, places: list[tuple[int, int]]) -> bytes:
+        n = len(places)
+        return struct.pack(f"<H{n}H{n}i", n, *(size for size, _ in places), *(before for _, before in places)) + since
+
+    def places(self, state: int) -> list[tuple[bytes, int]]:
+        """What has been read since each open place, longest first, and the token that ends there."""
+        key = self.keys[self.ends[state - 1] : self.ends[state]]
+        n = key[0] | key[1] << 8
+        numbers, since = struct.unpack_from(f"<{n}H{n}i", key, 2), bytes(key[2 + 6 * n :])
+        return [(since[len(since) - size :], before) for size, before in zip(numbers[:n], numbers[n:])]
 
     def _merged(self, data: bytes, below: float = math.inf) -> list[bytes]:
         """The definition: merge the adjacent pair of least rank (under `below`), leftmost first, until none is left."""
@@ -77,27 +121,30 @@ class Transducer:
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
+    def _parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes `token`; (-1, -1) for a byte, None if the merges never form it."""
+        known = self.halves.get(token, False)
+        if known is False:
+            data = self.tokens[token]
+            merged = self._merged(data, below=token)
+            known = (-1, -1) if len(data) == 1 else (self.ranks[merged[0]], self.ranks[merged[1]]) if len(merged) == 2 else None
+            self.halves[token] = known
+        return known
+
     def _spine(self, token: int, side: int) -> list[tuple[bytes, float]] | None:
         """What stands at one end (0: left, 1: right) of a token while its bytes merge, each with the rank that ends it.
 
         None: the merges never form the token.
         """
-        known = self.spines.get((token, side), False)
-        if known is False:
-            data, known = self.tokens[token], []
-            ends: float = math.inf
-            while True:
-                known.append((data, ends))
-                if len(data) == 1:
-                    known.reverse()
-                    break
-                halves = self._merged(data, below=self.ranks[data])
-                if len(halves) != 2:
-                    known = None
-                    break
-                data, ends = halves[side], self.ranks[data]
-            self.spines[token, side] = known
-        return known
+        found, ends = [], math.inf
+        while True:
+            parts = self._parts(token)
+            if parts is None:
+                return None
+            found.append((self.tokens[token], ends))
+            if parts[side] < 0:
+                return found[::-1]
+            token, ends = parts[side], token
 
     def _follows(self, before: int, token: int) -> bool:
         """Whether `token` may stand after `before` (-1: at the start).
@@ -122,125 +169,157 @@ class Transducer:
             else:
                 j += 1
 
-    def _make(self, state: State, byte: int) -> tuple[State, int]:
-        last, places, token = bytes((byte,)), [], -1
+    def _make(self, state: int, byte: int, at: int) -> int:
+        """The state after `state` at `byte`; the transition is kept in the free slot `at`."""
+        last, longest, places, token = bytes((byte,)), b"", [], -1
         ranks, unended = self.ranks, self.unended
-        for since, before in state.places:
+        for since, before in self.places(state):
             grown = since + last
             if token < 0 and grown in ranks and self._follows(before, ranks[grown]):
                 token = ranks[grown]
             if grown in unended:
-                places.append((grown, before))
+                longest = longest or grown
+                places.append((len(grown), before))
         if token < 0:
             raise ValueError(f"no token covers byte {byte}")
-        key = (*places, (b"", token))
-        if self.moves >= MAX_TRANSITIONS:
+        key = self._key(longest, [*places, (0, token)])
+        if self._full():  # the state that is left is forgotten too
             self._forget()
-        after = self.states.get(key)
-        if after is None:
-            after = self.states[key] = State()
-            after.places = key
-        state[byte] = after, token
-        self.moves += 1
-        return after, token
+            return self._state(key, token)
+        after = self._state(key, token)
+        self.moves[at] = (state << 8 | byte) << 24 | after
+        self.n_moves += 1
+        return after
+
+    def _read(self, state: int, data: Iterable[int], ends: list[int]) -> int:
+        """The state after `data`; the token that ends at each byte goes to `ends`."""
+        moves, last = self.moves, self.last
+        for byte in data:
+            key = state << 8 | byte
+            at = key * 0x9E3779B1 >> 12 & (MOVE_SLOTS - 1)
+            while (move := moves[at]) >> 24 != key:
+                if not move:
+                    state = self._make(state, byte, at)
+                    moves, last = self.moves, self.last
+                    break
+                at = at + 1 & (MOVE_SLOTS - 1)
+            else:
+                state = move & 0xFFFFFF
+            ends.append(last[state])
+        return state
 
     def _back(self, ends: list[int], at: int) -> list[int]:
         """The tokens up to place `at`, from the token that ends at each place."""
-        out = []
+        out, sizes = [], self.sizes
         while at > 0:
-            out.append(ends[at - 1])
-            at -= len(self.tokens[ends[at - 1]])
-        return out[::-1]
+            token = ends[at - 1]
+            out.append(token)
+            at -= sizes[token]
+        out.reverse()
+        return out
 
-    def stream(self, data: Iterable[int], lookahead: int = 4096) -> Iterator[int]:
+    def stream(self, data: bytes, lookahead: int = 4096) -> Iterator[int]:
         """Ids of the bytes. After each `lookahead` bytes what all open places have in common is emitted."""
         state, ends = self.start, []
-        for byte in data:
-            try:
-                state, token = state[byte]
-            except KeyError:
-                state, token = self._make(state, byte)
-            ends.append(token)
-            if len(ends) >= lookahead:
-                paths = [self._back(ends, len(ends) - len(since)) for since, _ in state.places]
-                settled = 0
-                while all(len(p) > settled and p[settled] == paths[0][settled] for p in paths):
-                    settled += 1
-                yield from paths[0][:settled]
-                del ends[: sum(len(self.tokens[t]) for t in paths[0][:settled])]
+        for at in range(0, len(data), lookahead):
+            state = self._read(state, data[at : at + lookahead], ends)
+            paths = [self._back(ends, len(ends) - len(since)) for since, _ in self.places(state)]
+            settled = 0
+            while all(len(p) > settled and p[settled] == paths[0][settled] for p in paths):
+                settled += 1
+            yield from paths[0][:settled]
+            del ends[: sum(self.sizes[t] for t in paths[0][:settled])]
         yield from self._back(ends, len(ends))
 
-    def piece(self, data: bytes) -> tuple[int, ...]:
+    def piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
-            return (whole,)
+            return [whole]
         if len(data) > MAX_KEPT:
-            return tuple(self.stream(data))
-        state, ends = self.start, []
-        for byte in data:
-            try:
-                state, token = state[byte]
-            except KeyError:
-                state, token = self._make(state, byte)
-            ends.append(token)
-        return tuple(self._back(ends, len(ends)))
-
-
-@lru_cache(maxsize=4)
-def unlike(pattern: str) -> str:
-    """Code points that the pattern's library classes otherwise than Python's `regex`, as newer Unicode adds some.
-
-    Only code points that Python's own table does not know can differ; the tokenizer library is asked about each.
-    """
-    import tiktoken
-
-    unknown = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn")
-    found: set[str] = set()
-    for kind in (r"\p{L}", r"\p{N}"):
-        library = tiktoken.Encoding(kind, pat_str=kind, mergeable_ranks={bytes((i,)): i for i in range(256)}, special_tokens={})
-        found |= set(bytes(library.encode_ordinary(unknown)).decode()) ^ set(regex.findall(kind, unknown))
-    return "".join(sorted(found))
+            return list(self.stream(data))
+        ends: list[int] = []
+        self._read(self.start, data, ends)
+        return self._back(ends, len(ends))
+
+
+def for_latin(pattern: str) -> re.Pattern:
+    """The pattern for texts of code points below 256: each class escape stands for the ones of them that it matches."""
+
+    def listed(escape: str) -> str:
+        return "".join(f"\\x{i:02x}" for i in range(256) if regex.fullmatch(escape, chr(i)))
+
+    out, at, inside = [], 0, False
+    for found in regex.finditer(r"\\[pP]\{[^}]*\}|\\[sSdDwW]|\\.|\[|\]", pattern, flags=regex.DOTALL):
+        out.append(pattern[at : found.start()])
+        at, token = found.end(), found.group()
+        if token[0] == "\\" and token[1] in "pPsSdDwW":
+            token = listed(token) if inside else f"[{listed(token)}]"
+        elif token in "[]":
+            inside = token == "["
+        out.append(token)
+    return re.compile("".join(out) + pattern[at:])
+
+
+class Store(dict):
+    """Pieces to their ids as little-endian unsigned 32-bit integers, in two generations of bounded bytes."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer, self.older, self.room = transducer, {}, STORE_BYTES
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.transducer.piece(piece.encode())
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(piece) <= MAX_KEPT:
+            self.room -= PER_PIECE + sys.getsizeof(piece) + sys.getsizeof(ids)
+            if self.room < 0:  # what is used again is taken over from the older ones
+                self.older, self.room = dict(self), STORE_BYTES
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Codec:
-    """Splits texts by the pattern and encodes each piece; decodes ids."""
+    """Splits texts by the pattern and encodes each piece."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, unlike_chars: str = ""):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
-        self.pattern = regex.compile(pattern)
-        spans = [(ord(c), ord(c)) for c in unlike_chars]
-        merged: list[list[int]] = []
-        for a, b in spans:
-            if merged and merged[-1][1] + 1 == a:
-                merged[-1][1] = b
-            else:
-                merged.append([a, b])
-        self.odd = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in merged) + "]") if merged else None
-        self.kept: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if self.odd is None or text.isascii() or not self.odd.search(text):
-            return self.pattern.findall(text)
-        plain = self.odd.sub("͸", text)  # neither letter, number nor space to either library
-        return [text[m.start() : m.end()] for m in self.pattern.finditer(plain)]
+        self.pattern, self.latin = regex.compile(pattern), for_latin(pattern)
+        ends = [[int(x, 16) for x in span.split("-")] for span in NEWER.split()]
+        self.newer = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ends) + "]")
+        self.beyond = regex.compile(f"[\\U{ends[0][0]:08x}-\\U0010ffff]")  # most texts have none of these
+        self.store = Store(self.transducer)
+
+    def pieces(self, text: str) -> Iterator[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            found = text
+            if self.beyond.search(text) and self.newer.search(text):
+                found = self.newer.sub("͸", text)  # neither letter, number nor space to either library
+            return (text[m.start() : m.end()] for m in self.pattern.finditer(found))
+        if len(text) > LISTED:
+            return (m.group() for m in self.latin.finditer(text))
+        return self.latin.findall(text)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.kept
-        for piece in self.pieces(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.older.get(piece)
-                if ids is None:
-                    ids = self.transducer.piece(piece.encode())
-                if len(piece) <= MAX_KEPT:
-                    if len(known) >= MAX_PIECES:  # what is used again is taken over from the older ones
-                        self.older, self.kept = known, {}
-                        known = self.kept
-                    known[piece] = ids
-            out += ids
-        return out
+        return np.frombuffer(self.packed(text), "<u4").tolist()
+
+    def packed(self, text: str) -> bytes:
+        """Ids of the text as little-endian unsigned 32-bit integers."""
+        found = map(self.store.__getitem__, self.pieces(text))
+        if len(text) <= LISTED:
+            return b"".join(found)
+        return b"".join(iter(lambda: b"".join(islice(found, JOINED)), b""))
+
+
+def _ids(parts: list[bytes]) -> pa.ListArray:
+    """The ids of several texts as one Arrow array."""
+    ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int32)
+    values = np.frombuffer(b"".join(parts), "<i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
 
 
 def utf8_step(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:
@@ -307,7 +386,9 @@ class BpeOperator:
         ranks = read_ranks(ranks_path)
         if len(ranks) > 1_000_000:
             raise ValueError("a rank file of over a million tokens is not broadcast")
-        self.spec = spark.sparkContext.broadcast((ranks, pattern, unlike(pattern)))
+        if max(ranks.values()) >= 1 << 24:
+            raise ValueError("a transition holds ids below 2^24")
+        self.spec = spark.sparkContext.broadcast((ranks, pattern))
         self.key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
 
     def ids(self, text: Column | str) -> Column:
@@ -317,13 +398,7 @@ class BpeOperator:
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
             codec = _codec(key, spec)
-            ends, parts = [0], []
-            for text in texts:
-                ids = np.array(codec.encode(text.as_py() or ""), dtype=np.int32)
-                parts.append(ids)
-                ends.append(ends[-1] + len(ids))
-            values = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+            return _ids([codec.packed(text.as_py() or "") for text in texts])
 
         return encode(text)
 
@@ -386,11 +461,11 @@ class BpeOperator:
                 for at in range(0, batch.num_rows, OUT_ROWS):
                     part = batch.slice(at, OUT_ROWS)
                     texts = [t or "" for t in part.column("__text").to_pylist()]
-                    ids = [codec.encode(t) for t in texts]
+                    ids = [codec.packed(t) for t in texts]
                     columns = {n: part.column(n) for n in part.schema.names if n != "__text"}
-                    columns[ids_col] = pa.array(ids, pa.list_(pa.int32()))
+                    columns[ids_col] = _ids(ids)
                     if intact_col:
-                        columns[intact_col] = pa.array([decoder.feed(i) + decoder.finish() == t for i, t in zip(ids, texts)])
+                        columns[intact_col] = pa.array([decoder.feed(np.frombuffer(i, "<u4").tolist()) + decoder.finish() == t for i, t in zip(ids, texts)], pa.bool_())
                     yield pa.RecordBatch.from_pydict(columns)
 
         return source.mapInArrow(run, schema)

@@ -1,14 +1,18 @@
 import base64
 import hashlib
 import random
+import unicodedata
 
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scenekiln.llm.bpe import BpeOperator, Codec, StreamingDecoder, read_ranks, unlike
+from scenekiln.llm import bpe
+from scenekiln.llm.bpe import NEWER, BpeOperator, Codec, StreamingDecoder, read_ranks
+from scenekiln.llm.queries import op10_bpe
 
 RANKS = read_ranks(P.path("byte_bpe_50k.tiktoken"))
 REF = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -16,7 +20,17 @@ REF = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special
 
 @pytest.fixture(scope="module")
 def codec():
-    return Codec(RANKS, P.PATTERN, unlike(P.PATTERN))
+    return Codec(RANKS, P.PATTERN)
+
+
+def unlike() -> str:
+    """Code points that the tokenizer library classes otherwise than `regex`; only those new to Python's table can differ."""
+    unknown = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn")
+    found: set[str] = set()
+    for kind in (r"\p{L}", r"\p{N}"):
+        library = tiktoken.Encoding(kind, pat_str=kind, mergeable_ranks={bytes((i,)): i for i in range(256)}, special_tokens={})
+        found |= set(bytes(library.encode_ordinary(unknown)).decode()) ^ set(regex.findall(kind, unknown))
+    return "".join(sorted(found))
 
 
 @settings(max_examples=300, deadline=None)
@@ -37,7 +51,9 @@ def test_letters_and_long_pieces(codec):
 
 
 def test_newer_letters(codec):
-    for c in unlike(P.PATTERN)[::997]:
+    ends = [[int(x, 16) for x in span.split("-")] for span in NEWER.split()]
+    assert unlike() == "".join(chr(c) for a, b in ends for c in range(a, b + 1))
+    for c in unlike()[::997]:
         text = f"ab{c}cd {c} 1{c}"
         assert codec.encode(text) == REF.encode_ordinary(text)
 
@@ -76,3 +92,30 @@ def test_vocabularies_that_differ_in_two_ranks(spark, tmp_path):
     df = spark.createDataFrame([(text,)], "text string").coalesce(1)
     first, second = (op.encode(df).first().token_ids for op in ops)
     assert ops[0].key != ops[1].key and first == [RANKS[a], RANKS[b]] and second == first[::-1]
+
+
+def test_small_stores(monkeypatch):
+    """What does not fit is made again: same ids, and no more kept than the bounds say."""
+    for name in ("MOVE_SLOTS", "STATE_SLOTS"):
+        monkeypatch.setattr(bpe, name, 256)
+    monkeypatch.setattr(bpe, "STORE_BYTES", 10_000)
+    monkeypatch.setattr(bpe, "LISTED", 2_000)
+    monkeypatch.setattr(bpe, "JOINED", 50)
+    small, rng = Codec(RANKS, P.PATTERN), random.Random(2)
+    for alphabet in ("abcdeéß ", "etaoin shrdlu", "日本語 テキスト", "0123456789 =-_#*\n"):
+        text = "".join(rng.choice(alphabet) for _ in range(5000))
+        assert small.encode(text) == REF.encode_ordinary(text)
+        assert small.transducer.n_moves < 256 and len(small.transducer.last) < 256 and len(small.store) + len(small.store.older) <= 200
+
+
+def test_query_against_library(spark):
+    """op10_bpe over a whole table against the tokenizer library."""
+    rows = {r.doc_id: r for r in op10_bpe(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for doc in docs:
+        data = (doc.text or "").encode()
+        ids = REF.encode_ordinary(doc.text or "")
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        expected = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(data).hexdigest())
+        assert (rows[doc.doc_id].n_tokens, rows[doc.doc_id].ids_sha256, rows[doc.doc_id].decoded_sha256) == expected
