@@ -6,13 +6,14 @@ rows, and the AND of an n-gram's three rows is the mask of all languages that co
 up, each language's hits are counted, the hits expected by chance from how full the language's slice is are taken off,
 and the language with most left is the text's.
 
-Learning takes a bounded sample: for each language the SAMPLE documents of smallest hashed id. Only counts of the
-sample's n-grams are shuffled, and only the profiles (at most PROFILE n-grams a language) come to the driver. Prediction
-is one pass over whole texts with no shuffle; texts are worked through in pieces of bounded memory.
+Learning takes a bounded sample: for each language the SAMPLE distinct texts of smallest hash, by one rule at every size:
+a text whose hash is in twice the wanted share of the language's distinct texts (an estimate over all of them) goes into
+the draw. Only the sample and counts of its n-grams are shuffled, and only the profiles (at most PROFILE n-grams a
+language) come to the driver. Prediction is one pass over whole texts with no shuffle; texts are worked through in pieces of bounded memory.
 
 Rows: a null text and one without a letter give `und` with score 0, and so does every text if nothing was learned; ties
-go to the first language by code point; repeated rows are judged alike; an empty table gives an empty table; rows with a
-null id are never learned from. Columns of the input named lang_pred or score are replaced, other columns stay.
+go to the first language by code point; repeated rows are judged alike and learned from once, whatever their ids; an empty table gives an empty table; rows with a
+null id are never learned from. Columns of the input named as the results are replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from scenekiln.llm.worker import kept
 
-#: Documents a language that are learned from, n-grams of a profile, rows of the filter (a power of two).
+#: Distinct texts a language that are learned from, n-grams of a profile, rows of the filter (a power of two).
 SAMPLE, PROFILE, FILTER_ROWS = 500, 4000, 1 << 16
 SIZES = (3, 4)
 MAX_LANGUAGES = 4096
@@ -154,28 +155,31 @@ def _distinct_grams(texts: pa.Array) -> pa.Array:
 
 
 def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Profiles:
-    """Profiles from the labelled rows that `learnable` names, `sample` a language at most."""
-    rows = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    # ids are drawn by their hash; twice the share wanted of each language is cut out before any shuffle
-    drawn = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
-    sizes = rows.groupBy(lang_col).agg(F.count("*").alias("__n"))  # one row a language
-    if sizes.count() > MAX_LANGUAGES:
+    """Profiles from the labelled rows that `learnable` names, `sample` distinct texts a language at most."""
+    lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    rows = docs.filter(learnable & lang.isNotNull() & F.col(f"`{id_col}`").isNotNull() & text.isNotNull())
+    rows = rows.select(lang.alias("lang"), text.alias("text"), F.xxhash64(text).alias("h"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError("more languages than the filter's bound")
-    few = rows.select(id_col, lang_col).join(F.broadcast(sizes), lang_col).filter((F.col("__n") <= 4 * sample) | (drawn * F.col("__n") < F.lit((1 << 30) * 2 * sample)))
-    first = Window.partitionBy(lang_col).orderBy(drawn, id_col)
-    chosen = few.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample).select(id_col).distinct()
-    texts = rows.join(F.broadcast(chosen), id_col, "left_semi")  # at most sample ids a language
-    grams = texts.select(F.col(lang_col).alias("lang"), F.explode(_distinct_grams(text_col)).alias("gram"))
+    # texts are drawn by their hash; twice the share wanted of each language's distinct ones is cut out before any shuffle
+    sized = docs.sparkSession.createDataFrame([tuple(r) for r in sizes], "lang string, n long")
+    drawn = F.pmod("h", F.lit(1 << 30))
+    few = rows.select("lang", "h").join(F.broadcast(sized), "lang").filter(drawn * F.col("n") < F.lit((1 << 30) * 2 * sample))
+    first = Window.partitionBy("lang").orderBy(drawn, "h")
+    chosen = few.select("lang", "h").distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample).select("lang", "h")
+    # at most `sample` hashes a language; copies of a text become one before they are shuffled
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
+    grams = texts.select("lang", F.explode(_distinct_grams("text")).alias("gram"))
     counts = grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= PROFILE).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
     found = {r.lang: np.array(r.grams, np.int64).view(np.uint64) for r in best.collect()}
-    known = [r[0] for r in rows.select(lang_col).distinct().collect()] if len(found) < MAX_LANGUAGES else []
-    return Profiles({lang: found.get(lang, np.empty(0, np.uint64)) for lang in {*found, *known}})
+    return Profiles({r.lang: found.get(r.lang, np.empty(0, np.uint64)) for r in sizes})
 
 
-def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score."""
+def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """`docs` with the language in `pred_col` and its score in `score_col`."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
@@ -190,7 +194,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
 
     # a filter on the result would else be pushed below it and judge each text twice
     df = docs.withColumn("__judged", judged.asNondeterministic()(F.col(f"`{text_col}`")))
-    return df.withColumns({"lang_pred": F.col("__judged.lang_pred"), "score": F.col("__judged.score")}).drop("__judged")
+    return df.withColumns({pred_col: F.col("__judged.lang_pred"), score_col: F.col("__judged.score")}).drop("__judged")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

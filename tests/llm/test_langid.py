@@ -41,3 +41,22 @@ def test_many_languages_and_odd_rows(spark):
     assert by[9000].lang_pred == by[9001].lang_pred == "und" and by[9000].score == 0 and by[9002].lang_pred == "l000" and by[9003].lang_pred in words
     none = langid.learn(docs.limit(0), F.lit(True))
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"} and langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_repeated_ids_and_texts_lose_no_language(spark):
+    """The draw goes by texts, by one rule at every size: neither one id nor one text in most rows hides a language."""
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    text = lambda letters: " ".join(word(letters) for _ in range(12))
+    for repeated in range(8):
+        rows = [(repeated, text("abcde"), "aa") for _ in range(3000)] + [(100 + i, text("mnopq"), "mm") for i in range(3000)]
+        rows += [(repeated, text("uvwxy"), "uu"), *[(repeated, "zuzu zizi zazu", "zz")] * 3000]
+        model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), F.lit(True))
+        asked = spark.createDataFrame([(text("abcde"), "aa"), (text("mnopq"), "mm"), (rows[6000][1], "uu"), ("zazu zuzu", "zz")], "text string, want string")
+        assert all(r.lang_pred == r.want and r.score > 0 for r in langid.identify(asked, model).collect())
+
+
+def test_named_results_leave_columns_alone(spark):
+    docs = spark.createDataFrame([(1, "the house", "en", "mine", 7), (2, "", "en", "mine", 8)], "doc_id long, text string, lang string, lang_pred string, score int")
+    out = langid.identify(docs, langid.learn(docs, F.lit(True)), pred_col="__p", score_col="__s").collect()
+    assert [(r.lang_pred, r.score) for r in out] == [("mine", 7), ("mine", 8)] and [r["__p"] for r in out] == ["en", "und"]
