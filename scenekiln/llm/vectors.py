@@ -1,14 +1,16 @@
 """What both vector searches share: clean vectors dealt to shards, packed query blocks, and the merge of shard results.
 
 Vectors are dealt to shards of a bounded size by a hash of their id; each shard becomes one row with its index. The
-queries are packed into blocks of a bounded size, and each block meets each shard by a join on the shard's number: a
-stated query set against all rows, in blocks. A task holds one shard and one block at a time.
+queries are packed into blocks of a bounded number of rows, and blocks are broadcast in groups of bounded bytes, one
+group after the other, to the tasks that read the indexes: a stated query set against all rows, in blocks, for which
+neither blocks nor indexes are copied through a shuffle. A task holds one group of blocks and one shard at a time.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from scenekiln.session import materialize
 
 SHARD_ROWS, BLOCK_ROWS = 2048, 512
+#: Bytes of query blocks that are broadcast at once (a single block may exceed them).
+GROUP_BYTES = 16 << 20
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, zero_ok: bool) -> DataFrame:
@@ -63,25 +67,39 @@ def search(rows: DataFrame, is_query, k: int, build: Build, find: Search, score_
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "index": [pickle.dumps(made)]})
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [pickle.dumps({m.shape[1]: (ids, prepare(m)) for ids, m in by_dimension(pdf)})]})
+        return pd.DataFrame({"block": [pickle.dumps({m.shape[1]: (ids, prepare(m)) for ids, m in by_dimension(pdf)})], "b": [int(pdf["b"].iloc[0])]})
 
-    indexes = materialize(dealt.groupBy("shard").applyInPandas(built, "shard int, index binary"), "vector-index")
+    # a number of partitions by the shards, so that each is a file and tasks read few of them
+    indexes = materialize(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(built, "shard int, index binary"), "vector-index")
     asked = rows.filter(is_query)
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
     asked = asked.withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
-    queries = materialize(asked.groupBy("b").applyInPandas(packed, "block binary"), "vector-queries")
-    pairs = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("part", F.monotonically_increasing_id())
-
-    def found(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64" if score_type == "double" else "int64")})]
-        for index, block in zip(pdf["index"], pdf["block"]):
-            made, asks = pickle.loads(index), pickle.loads(block)
-            for dim, (ids, m) in asks.items():
-                if dim in made:
-                    out += [pd.DataFrame({"query_id": q, "vec_id": i, "score": s}) for q, i, s in find(made[dim], ids, m)]
-        return pd.concat(out)
-
-    joined = pairs.join(indexes.hint("merge"), "shard")
-    best = joined.groupBy("shard", "part").applyInPandas(found, f"query_id long, vec_id long, score {score_type}")
+    queries = materialize(asked.groupBy("b").applyInPandas(packed, "block binary, b int"), "vector-queries")
+    groups, room = [[]], GROUP_BYTES
+    for row in queries.select("b", F.octet_length("block").alias("n")).orderBy("b").collect():  # two numbers a block
+        if groups[-1] and row.n > room:
+            groups.append([])
+            room = GROUP_BYTES
+        groups[-1].append(row.b)
+        room -= row.n
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    parts = []
+    for group in groups:
+        shared = rows.sparkSession.sparkContext.broadcast([bytes(r.block) for r in queries.filter(F.col("b").between(group[0], group[-1]) if group else F.lit(False)).collect()])
+
+        def found(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            asks = [pickle.loads(b) for b in shared.value]
+            for index in (i for batch in batches for i in batch["index"]):
+                made = pickle.loads(index)
+                for block in asks:
+                    for dim, (ids, m) in block.items():
+                        if dim in made:
+                            hits = list(find(made[dim], ids, m))
+                            if hits:
+                                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*hits)))))
+
+        best = indexes.select("index").mapInPandas(found, f"query_id long, vec_id long, score {score_type}")
+        ranks = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        parts.append(materialize(ranks.select("query_id", "rank", "vec_id", "score"), "vector-best"))
+        shared.unpersist()
+    return reduce(DataFrame.union, parts)

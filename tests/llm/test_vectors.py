@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scenekiln.llm import vectors
 from scenekiln.llm.mtree import MTree, products, top_products
 from scenekiln.llm.queries import op5_ann
 from scenekiln.llm.vptree import VpTree, cosines, nearest_neighbours
@@ -50,13 +51,31 @@ def test_exact_neighbours_at_factor_one(spark):
     rows = odd_rows(random.Random(1))
     got = listed(nearest_neighbours(frame(spark, rows), F.col("id") % 10 == 0, factor=1.0))
     want = brute(rows, lambda a, b: float(cosines(a, b[None])[0]), False)
-    assert {q: [i for i, _ in v] for q, v in got.items() if q != 1070} == {q: [i for i, _ in v] for q, v in want.items() if v and q != 1070}
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items() if v}
     assert all(s == pytest.approx(t) for q in got for (_, s), (_, t) in zip(got[q], want[q]))
     assert nearest_neighbours(frame(spark, []), F.lit(True)).count() == 0
     with pytest.raises(ValueError):
         nearest_neighbours(frame(spark, rows), F.lit(True), factor=0.5)
 
 
+def test_ties_of_parallel_vectors_go_by_id(spark):
+    rng = random.Random(8)
+    base = [rng.gauss(0, 1) for _ in range(16)]
+    rows = [(i, [2.0 ** (i % 7) * x for x in base]) for i in range(40)] + [(100 + i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(200)]
+    rng.shuffle(rows)
+    got = listed(nearest_neighbours(frame(spark, rows), F.col("id") < 40, factor=1.0))
+    for q in range(40):
+        assert [i for i, _ in got[q]] == [i for i in range(6) if i != q][:5] and all(s == pytest.approx(1.0) for _, s in got[q])
+
+
+def test_groups_of_query_blocks(spark, monkeypatch):
+    rows = odd_rows(random.Random(6))
+    whole = listed(top_products(frame(spark, rows), F.lit(True)))
+    for name, value in (("SHARD_ROWS", 50), ("BLOCK_ROWS", 20), ("GROUP_BYTES", 2000)):
+        monkeypatch.setattr(vectors, name, value)
+    assert listed(top_products(frame(spark, rows), F.lit(True))) == whole and len(whole) > 300
+
+
 def test_exact_products(spark):
     rng = random.Random(2)
     rows = odd_rows(rng) + [(2000 + i, [rng.choice([0.0, 0.004, -0.004]) for _ in range(8)]) for i in range(200)]  # many ties
@@ -78,8 +97,7 @@ def test_recall_on_whole_table(spark):
         want = set(data.vec_id.to_numpy()[np.argsort(-s)[:5]])
         hits += len(want & {i for i, _ in got[data.vec_id[at]]})
         total += 5
-    assert hits / total >= 0.9
-    print("recall", hits / total)
+    assert hits / total >= 0.95
 
 
 def test_tree_leaves_work_out():
