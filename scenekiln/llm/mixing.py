@@ -14,7 +14,8 @@ up by source, slots are made from bounded ranges, and words meet slots by a join
 
 Rows: a null text has size 0 and is taken 0 times; a null source is a source of its own, the last one; repeated rows
 are documents of their own; empty tables give empty tables; long texts span many blocks. Reruns agree, whatever the
-partitions, as all draws are hashes of `seed`. The results carry the columns named here, and so no clashing ones.
+partitions, as all draws are hashes of `seed`. Statistics carry the columns named here, and so no clashing ones;
+`documents` gives the columns of its input, whatever their names (but for names that begin with two underscores).
 """
 
 from __future__ import annotations
@@ -162,11 +163,16 @@ class Mix:
         return df.select("shard", "slot", F.col("a").alias("at"), "source", "doc_id", (F.col("index") * self.block + F.col("a") - F.col("offset")).alias("first"), "words")
 
     def taken(self) -> DataFrame:
-        """doc_id, size, source, source_size, target and taken of every document."""
-        words = F.aggregate("takes", F.lit(0).cast("long"), lambda s, t: s + t)
-        df = self.pieces().withColumn("w", words).groupBy("source", "chunk", "n", "doc_id", "size").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("taken"))
+        """doc_id, size, source, source_size, target and taken of every document, summed over the slots that its words
+        are dealt to: first_shard is the first output shard among them (null: none), slots their number."""
+        slots = self.slots().select(F.col("source").alias("__s"), F.col("index").alias("__i"), "take", "shard")
+        df = self.spread()
+        df = df.join(slots.hint("merge"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("index") == F.col("__i")), "left")
+        df = df.withColumn("words", F.least("take", "b") - F.col("a")).withColumn("dealt", F.col("take").isNotNull() & (F.coalesce("words", F.lit(0)) > 0))
+        sums = {"taken": F.coalesce(F.sum(F.when(F.col("dealt"), F.col("words"))), F.lit(0)), "first_shard": F.min(F.when(F.col("dealt"), F.col("shard"))), "slots": F.count_if("dealt")}
+        df = df.groupBy("source", "chunk", "n", "doc_id", "size").agg(*[column.alias(name) for name, column in sums.items()])
         df = self._with_sources(df, "source_size", "target")
-        return df.select("doc_id", "size", "source", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "taken")
+        return df.select("doc_id", "size", "source", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), *sums)
 
     def documents(self, docs: DataFrame) -> DataFrame:
         """The mix as documents: for the first and the second time that words of a document are taken, a row with the
@@ -178,16 +184,17 @@ class Mix:
             spans.append(F.struct(F.lit(k).alias("k"), (F.col("index") * self.block + F.col("a") - F.col("offset")).alias("from"), length.alias("n")))
         per = self.pieces().withColumn("s", F.explode(F.array(*spans))).filter("s.n > 0")
         per = per.groupBy("source", "chunk", "n", "s.k").agg(F.sort_array(F.collect_list(F.struct("s.from", "s.n"))).alias("spans"))
-        per = per.select(F.col("source").alias("__s"), F.col("chunk").alias("__c"), F.col("n").alias("__n"), "spans")
-        keyed = docs.withColumns({"h": F.xxhash64("text"), "size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")})
-        keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64(self.seed, "doc_id", "h"), F.lit(CHUNKS)))
-        within = Window.partitionBy("source", "chunk").orderBy("doc_id", "h", "size")
-        keyed = keyed.withColumn("n", F.row_number().over(within))
-        df = keyed.join(per.hint("merge"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("chunk") == F.col("__c")) & (F.col("n") == F.col("__n")))
+        per = per.select(F.col("source").alias("__s"), F.col("chunk").alias("__c"), F.col("n").alias("__m"), F.col("spans").alias("__spans"))
+        size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+        keyed = docs.withColumns({"__h": F.xxhash64("text"), "__size": size})
+        keyed = keyed.withColumn("__chunk", F.pmod(F.xxhash64(self.seed, "doc_id", "__h"), F.lit(CHUNKS)))
+        within = Window.partitionBy("source", "__chunk").orderBy("doc_id", "__h", "__size")
+        keyed = keyed.withColumn("__n", F.row_number().over(within))
+        df = keyed.join(per.hint("merge"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__chunk") == F.col("__c")) & (F.col("__n") == F.col("__m")))
         words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-        cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("__words"), (s["from"] + 1).cast("int"), s["n"].cast("int")))), "")
-        whole = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["n"]) == F.col("size")
+        cut = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["from"] + 1).cast("int"), s["n"].cast("int")))), "")
+        whole = F.aggregate("__spans", F.lit(0).cast("long"), lambda t, s: t + s["n"]) == F.col("__size")
         df = df.withColumn("__words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
         if "n_chars" in docs.columns:
             df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-        return df.select(*docs.columns)
+        return df.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,6 +5,8 @@ Each query reads its whole table and derives the columns that are compared from
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from scenekiln.llm.mixing import Mix
 from scenekiln.llm.mtree import top_products
 from scenekiln.llm.url_filter import Rule, filter_urls
 from scenekiln.llm.vptree import nearest_neighbours
-from scenekiln.session import materialize, table
+from scenekiln.session import shared_dir, table
 
 #: The url rules that op2 judges by.
 URL_RULES = [Rule.parse(line) for line in ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")]
@@ -71,17 +73,20 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight shards of near equal bytes, by the slot map after one rebalancing."""
-    records = materialize(sharding.digest(table(spark, sf_dir, "documents")), "shard-records")
-    slot_map = sharding.SlotMap.initial(8).rebalance(sharding.slot_bytes(records))
+    """Eight shards of near equal bytes, by the stored slot map after one rebalancing."""
+    records = sharding.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    folder = f"{shared_dir(spark).rstrip('/')}/shard-map-{uuid.uuid4().hex}"
+    sharding.SlotMap.initial(8).save(spark, folder)
+    sharding.SlotMap.load(spark, folder, 1).rebalance(sharding.slot_bytes(records)).save(spark, folder)
+    slot_map = sharding.SlotMap.load(spark, folder, 2)
     placed = sharding.positions(records, slot_map)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes from every document."""
+    """Words that the mix takes from every document, and how many output shards and slots they are dealt to."""
     taken = Mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).taken()
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "first_shard", "slots")
 
 
 def op4_mixing_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:

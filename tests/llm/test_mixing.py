@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenekiln.llm.mixing import Mix, permuted
+from scenekiln.llm.queries import op4_mixing, op4_mixing_dealt
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_permutations(spark):
@@ -100,3 +103,28 @@ def test_slots_are_dealt_to_shards(spark, rows):
     for r in mix.taken().collect():
         taken[r.doc_id] += r.taken
     assert {i: n for i, n in taken.items() if n} == by_doc
+
+
+def test_query_deals_to_shards(spark):
+    """op4_mixing's words are those of the slots that its documents are dealt to, and shards hold their fixed number."""
+    taken = {r.doc_id: r for r in op4_mixing(spark, SF).collect()}
+    first, slots, words = {}, defaultdict(int), defaultdict(int)
+    per_shard = defaultdict(set)
+    for r in op4_mixing_dealt(spark, SF).collect():
+        first[r.doc_id] = min(first.get(r.doc_id, r.shard), r.shard)
+        slots[r.doc_id] += 1
+        words[r.doc_id] += r.words
+        per_shard[r.shard].add(r.slot)
+    assert {i: (r.first_shard, r.slots, r.taken) for i, r in taken.items() if r.taken} == {i: (first[i], slots[i], words[i]) for i in first}
+    assert all(r.first_shard is None and r.slots == 0 for r in taken.values() if not r.taken)
+    assert [len(per_shard[k]) for k in sorted(per_shard)][:-1] == [1024] * (len(per_shard) - 1)
+
+
+def test_clashing_columns_stay(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(i % 50 + 1)) for i in range(200)]
+    clash = ("h", "size", "chunk", "n", "spans", "takes", "index", "a.b")
+    docs = spark.createDataFrame([(i, t, "s", *[f"{c}{i}" for c in clash]) for i, t in enumerate(texts)], ["doc_id", "text", "source", *clash])
+    out = Mix(docs, block=16).documents(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert len(rows) > 100 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in clash) and all(set(r.text.split()) <= set(texts[r.doc_id].split()) for r in rows)

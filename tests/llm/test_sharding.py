@@ -1,9 +1,11 @@
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import pytest
 
 from scenekiln.llm import sharding as sh
+from scenekiln.llm.queries import op3_sharding
 
 
 def test_rebalance_moves_few_slots_and_evens():
@@ -37,12 +39,36 @@ def test_positions_and_shards(spark, tmp_path):
         assert own == list(range(len(own)))
     by = [sum(r.size for r in out if r.shard == k) for k in range(8)]
     assert max(by) <= 1.02 * sum(by) / 8
-    placed = {(r.doc_id, r.text_crc32): r.shard for r in out}
-    for r in sh.with_shard(docs, slot_map).collect():
-        assert r.shard == placed[r.doc_id, zlib.crc32((r.text or "").encode())]
+    placed = defaultdict(set)
+    for r in out:
+        placed[r.doc_id, r.text_crc32].add(r.shard)
+    for r in sh.with_shard(docs, slot_map, records).collect():
+        assert r.shard in placed[r.doc_id, zlib.crc32((r.text or "").encode())]
+    assert [k for k, shards in placed.items() if len(shards) > 1] == [(5, zlib.crc32(b"same"))]
     slot_map.save(spark, str(tmp_path))
     assert sh.SlotMap.load(spark, str(tmp_path), 2) == slot_map
     sh.write_shards(docs, slot_map, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/version=2")).count() == len(rows)
     empty = sh.digest(docs.limit(0))
     assert sh.positions(empty, sh.SlotMap.initial(8).rebalance(sh.slot_bytes(empty))).count() == 0
+
+
+def test_one_record_in_a_third_of_all_rows(spark):
+    """The law of near equal bytes holds for copies of one record too, in both ways of placing them."""
+    docs = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same text' ELSE concat('text ', id) END AS text")
+    records = sh.digest(docs)
+    slot_map = sh.SlotMap.initial(8).rebalance(sh.slot_bytes(records))
+    placed = sh.positions(records, slot_map).groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()
+    by = [r["sum(size)"] for r in placed]
+    assert len(by) == 8 and max(by) - min(by) <= 0.001 * sum(by) / 8 and all(r["max(slot)"] + 1 == r["count(1)"] for r in placed)
+    rows = Counter(r.shard for r in sh.with_shard(docs, slot_map, records).collect())
+    assert len(rows) == 8 and max(rows.values()) <= 1.2 * min(rows.values())
+
+
+def test_query(spark):
+    """op3_sharding over a whole table, by the stored map."""
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op3_sharding(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in docs.items()} and len(rows) == len(docs)
+    for k in range(8):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
