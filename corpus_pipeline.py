@@ -27,10 +27,10 @@ FEW_LETTERS = 200
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; a missing label is filled in. Text without letters or a known n-gram goes,
     and longer text with too few of them."""
-    judged = identify(docs, learn(docs.select("doc_id", "text", "lang"), ~held_out()))
+    judged = identify(docs, learn(docs.select("doc_id", "text", "lang"), ~held_out()), pred_col="__lang", score_col="__score")
     few = F.length(F.regexp_replace("text", r"\P{L}+", "")) < FEW_LETTERS
-    known = judged.filter((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_KNOWN) | ((F.col("score") > 0) & few)))
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    known = judged.filter((F.col("__lang") != "und") & ((F.col("__score") >= LEAST_KNOWN) | ((F.col("__score") > 0) & few)))
+    return known.withColumn("lang", F.coalesce("lang", "__lang")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
