@@ -21,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Ranks and suits of the deck.
 RANKS, SUITS = ("A", "K", "Q", "J", "10", "9", "8", "7"), ("h", "d", "c", "s")
 
 
@@ -59,7 +60,7 @@ def label_manifest(spark, sf_dir):
     return _rounded(_labels(spark, sf_dir).select("scene", "z", "corner", "class", "box.*", "yolo.*"))
 
 
-@query(scenes_sql("SELECT scene, string_agg(printf('%d %.6f %.6f %.6f %.6f', id, cx, cy, w, h) || chr(10), '' ORDER BY z, corner) AS text FROM corner_labels JOIN names USING (class) WHERE scene % 3 = 0 GROUP BY scene"))
+@query(scenes_sql("SELECT scene, string_agg(printf('%d %.6f %.6f %.6f %.6f', id, cx, cy, w, h) || chr(10), '' ORDER BY z, corner) AS text FROM corner_labels JOIN names USING (class) GROUP BY scene"))
 def yolo_label_lines(spark, sf_dir):
     """Label files of all scenes that have labels."""
     return scenes.label_files(_labels(spark, sf_dir), _names(spark, sf_dir))
@@ -165,26 +166,38 @@ def hull_to_points(spark, sf_dir):
     return shapes.point_sets(spark, sf_dir).withColumn("moved", moved).select("vec_id", total("x").alias("sx"), total("y").alias("sy"))
 
 
-@query(f"WITH {with_shapes('point_sets')}, quads AS (SELECT vec_id, [points[1], points[2], points[3], points[4]] AS p FROM point_sets) SELECT vec_id, round(abs({shoelace('p')}), 4) AS area FROM quads")
+@query(f"WITH {with_shapes('point_sets')} SELECT vec_id, round(abs({shoelace('points')}), 4) AS area FROM point_sets")
 def polygon_area(spark, sf_dir):
-    """Absolute area of the first four points as a polygon."""
-    return shapes.point_sets(spark, sf_dir).select("vec_id", F.round(g.polygon_area(g.polygon(F.slice("points", 1, 4))), 4).alias("area"))
+    """Absolute area of all points as a polygon."""
+    return shapes.point_sets(spark, sf_dir).select("vec_id", F.round(g.polygon_area(g.polygon(F.col("points"))), 4).alias("area"))
 
 
-@query(f"WITH {with_shapes('point_sets')}, thin AS (SELECT vec_id, points[1:vec_id % 5] AS p FROM point_sets) SELECT vec_id, CASE WHEN len(p) = 3 AND {shoelace('p')} <> 0 THEN round(abs({shoelace('p')}), 4) END AS area FROM thin WHERE len(p) < 4")
+def _turn(a: int, b: int, c: int) -> str:
+    return f"((p[{b}].x - p[{a}].x) * (p[{c}].y - p[{a}].y) - (p[{b}].y - p[{a}].y) * (p[{c}].x - p[{a}].x))"
+
+
+def _cross(a: int, b: int, c: int, d: int) -> str:
+    return f"({_turn(a, b, c)} * {_turn(a, b, d)} < 0 AND {_turn(c, d, a)} * {_turn(c, d, b)} < 0)"
+
+
+@query(f"WITH {with_shapes('point_sets')}, thin AS (SELECT vec_id, points[1:vec_id % 5] AS p FROM point_sets) SELECT vec_id, CASE WHEN len(p) >= 3 AND {shoelace('p')} <> 0 AND NOT coalesce({_cross(1, 2, 3, 4)} OR {_cross(2, 3, 4, 1)}, false) THEN round(abs({shoelace('p')}), 4) END AS area FROM thin")
 def safe_polygon(spark, sf_dir):
     """Areas of usable polygons of up to four points; null for fewer than three, without area, or where edges cross."""
     df = shapes.point_sets(spark, sf_dir).withColumn("p", F.slice("points", F.lit(1), (F.col("vec_id") % 5).cast("int")))
     return df.select("vec_id", F.round(g.simple_area(F.col("p")), 4).alias("area"))
 
 
-CROSS = "(p[i].x * p[i % 3 + 1].y - p[i % 3 + 1].x * p[i].y)"
+CROSS = "(points[i].x * points[i % 32 + 1].y - points[i % 32 + 1].x * points[i].y)"
 
 
-@query(f"WITH {with_shapes('point_sets')}, t AS (SELECT vec_id, points[1:3] AS p FROM point_sets) SELECT vec_id, round(list_sum([(p[i].x + p[i % 3 + 1].x) * {CROSS} FOR i IN range(1, 4)]) / (6 * {shoelace('p')}), 3) AS cx, round(list_sum([(p[i].y + p[i % 3 + 1].y) * {CROSS} FOR i IN range(1, 4)]) / (6 * {shoelace('p')}), 3) AS cy FROM t")
+def _centre(c: str) -> str:
+    return f"round(list_sum([(points[i].{c} + points[i % 32 + 1].{c}) * {CROSS} FOR i IN range(1, 33)]) / (6 * {shoelace('points')}), 3) AS c{c}"
+
+
+@query(f"WITH {with_shapes('point_sets')} SELECT vec_id, {_centre('x')}, {_centre('y')} FROM point_sets")
 def polygon_centroid(spark, sf_dir):
-    """Centres of gravity of triangles."""
-    df = shapes.point_sets(spark, sf_dir).select("vec_id", g.centroid(F.slice("points", 1, 3)).alias("c"))
+    """Centres of gravity of all points as polygons."""
+    df = shapes.point_sets(spark, sf_dir).select("vec_id", g.centroid(F.col("points")).alias("c"))
     return df.select("vec_id", F.round("c.x", 3).alias("cx"), F.round("c.y", 3).alias("cy"))
 
 
@@ -292,9 +305,11 @@ def focus_filter(spark, sf_dir):
     return laplacian_focus(spark, sf_dir).filter(F.col("focus") >= 1000)
 
 
-@query(f"""WITH {with_shapes('grids')}, layers AS (SELECT vec_id, vec_id // 3 AS scene, grid FROM grids),
-one AS (SELECT a.scene, [trunc(b.grid[i] * ((255 - i * 3) / 255.0::DOUBLE) + a.grid[i] * (1 - (255 - i * 3) / 255.0::DOUBLE))::INTEGER FOR i IN range(1, 65)] AS grid FROM layers a JOIN layers b ON a.scene = b.scene AND a.vec_id % 3 = 0 AND b.vec_id % 3 = 1)
-SELECT scene, list_sum(grid)::BIGINT AS total FROM one""")
+@query(f"""WITH {with_shapes('grids')}, pixels AS (SELECT vec_id, vec_id // 3 AS scene, unnest(range(1, 65)) AS i, unnest(grid)::DOUBLE AS v FROM grids),
+mixed AS (
+  SELECT scene, i, list_reduce(list(v ORDER BY vec_id), lambda base, over: least(255, greatest(0, trunc(over * ((255 - i * 3) / 255.0::DOUBLE) + base * (1 - (255 - i * 3) / 255.0::DOUBLE))))) AS v
+  FROM pixels GROUP BY scene, i)
+SELECT scene, sum(v)::BIGINT AS total FROM mixed GROUP BY scene""")
 def alpha_composite_grid(spark, sf_dir):
     """All grids of a scene, laid over its first in their order with a sloping alpha; sums of the pixels."""
     alpha = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: 255 - i * 3)
@@ -436,7 +451,11 @@ def key_ext_split(spark, sf_dir):
     return df.filter("ext IS NOT NULL")
 
 
-@query("SELECT DISTINCT trim(line) AS name FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 10 = 0) WHERE trim(line) <> '' AND length(line) < 20")
+#: Code points of white space.
+WHITE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+
+
+@query(f"SELECT DISTINCT name FROM (SELECT trim(unnest(string_split(text, chr(10))), {' || '.join(f'chr({c})' for c in WHITE)}) AS name FROM documents) WHERE name <> ''")
 def name_list(spark, sf_dir):
     """Lines of all texts as a list of names: stripped, without blanks, distinct."""
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))

@@ -35,28 +35,27 @@ hulls AS (
   SELECT scene, z, class, occluder, 0 AS corner, hull_hl AS hull FROM occluded UNION ALL SELECT scene, z, class, occluder, 1, hull_lr FROM occluded)"""
 
 
-def _cut(p: str, k: int) -> str:
-    """One cut of polygon `p` along edge k of `occluder`, by signed distances d of its corners."""
-    a, b = f"occluder[{k}]", f"occluder[{k % 4 + 1}]"
-    away = f"[side * (({b}.x - {a}.x) * (q.y - {a}.y) - ({b}.y - {a}.y) * (q.x - {a}.x)) FOR q IN {p}]"
-    return f"SELECT * EXCLUDE ({p}), {p} AS p0, {away} AS d FROM "
-
-
-def _cuts() -> str:
-    out = [f"c0 AS (SELECT *, sign({shoelace('occluder')}) AS side, hull AS p FROM hulls WHERE occluder IS NOT NULL)"]
-    for k in range(1, 5):
-        before = "(i + len(p0) - 2) % len(p0) + 1"
-        cross = f"{{'x': p0[{before}].x + (p0[i].x - p0[{before}].x) * (d[{before}] / (d[{before}] - d[i])), 'y': p0[{before}].y + (p0[i].y - p0[{before}].y) * (d[{before}] / (d[{before}] - d[i]))}}"
-        out.append(f"d{k} AS ({_cut('p', k)} c{k - 1})")
-        out.append(
-            f"c{k} AS (SELECT * EXCLUDE (p0, d), flatten([CASE WHEN d[i] >= 0 AND d[{before}] >= 0 THEN [p0[i]] WHEN d[i] >= 0 THEN [{cross}, p0[i]] WHEN d[{before}] >= 0 THEN [{cross}] ELSE [] END FOR i IN range(1, len(p0) + 1)]) AS p FROM d{k})"
-        )
-    out.append(f"shared AS (SELECT scene, z, corner, CASE WHEN len(p) < 3 THEN 0.0::DOUBLE ELSE abs({shoelace('p')}) END AS inter FROM c4)")
-    return ",\n".join(out)
-
-
-#: shared: scene, z, corner, inter for each hull with an occluder.
-SHARED = _cuts()
+def _away(x: str, y: str) -> str:
+    """Signed distance of an edge's end from line j of the polygon that cuts it, positive inside."""
+    return f"turn * ((cutter[j % 4 + 1].x - cutter[j].x) * ({y} - cutter[j].y) - (cutter[j % 4 + 1].y - cutter[j].y) * ({x} - cutter[j].x))"
+
+
+#: shared: scene, z, corner, inter for each hull with an occluder. The border of what both share is made of the parts of
+#: either's edges that lie inside the other (an edge that both have counts once); its area follows by Green's theorem.
+SHARED = f"""pairs AS (SELECT scene, z, corner, hull, occluder, sign({shoelace('hull')}) AS hull_turn, sign({shoelace('occluder')}) AS occluder_turn FROM hulls WHERE occluder IS NOT NULL),
+four AS (SELECT unnest([1, 2, 3, 4]) AS i),
+edges AS (
+  SELECT scene, z, corner, 0 AS of, i, hull_turn AS own, hull[i].x AS ax, hull[i].y AS ay, hull[i % 4 + 1].x AS bx, hull[i % 4 + 1].y AS b_y, occluder AS cutter, occluder_turn AS turn FROM pairs, four
+  UNION ALL
+  SELECT scene, z, corner, 1, i, occluder_turn, occluder[i].x, occluder[i].y, occluder[i % 4 + 1].x, occluder[i % 4 + 1].y, hull, hull_turn FROM pairs, four),
+away AS (SELECT scene, z, corner, of, e.i, own, ax, ay, bx, b_y, {_away('ax', 'ay')} AS d, {_away('bx', 'b_y')} AS e FROM edges e, (SELECT i AS j FROM four)),
+inside AS (
+  SELECT scene, z, corner, own, ax, ay, bx, b_y, max(CASE WHEN (d < 0 AND e < 0) OR (of = 1 AND d <= 0 AND e <= 0) THEN 2.0::DOUBLE WHEN d < 0 THEN d / (d - e) ELSE 0.0::DOUBLE END) AS t,
+    min(CASE WHEN e < 0 AND d >= 0 THEN d / (d - e) ELSE 1.0::DOUBLE END) AS u
+  FROM away GROUP BY scene, z, corner, of, i, own, ax, ay, bx, b_y),
+shared AS (
+  SELECT scene, z, corner, abs(sum(CASE WHEN t < u THEN own * ((ax - 360 + t * (bx - ax)) * (ay - 360 + u * (b_y - ay)) - (ax - 360 + u * (bx - ax)) * (ay - 360 + t * (b_y - ay))) ELSE 0.0::DOUBLE END)) / 2 AS inter
+  FROM inside GROUP BY scene, z, corner)"""
 #: labels: the kept corners with box and fractions on a canvas of 720.
 LABELS = f"""fractions AS (
   SELECT h.*, s.inter, abs({shoelace('h.hull')}) AS area FROM hulls h LEFT JOIN shared s USING (scene, z, corner)),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scenekiln.functions import geometry as g
 from scenekiln.functions import text as t
 from scenekiln.operators import ranking, sampling, scenes
+from scenekiln.plans import sql
 from scenekiln.plans.queries import ORACLE_SQL, QUERIES
 from scenekiln.plans.sql import scenes_sql
 
@@ -233,3 +234,27 @@ def test_simple_areas(spark):
     assert area((0, 0), (10, 10), (10, 0), (0, 5)) is None and area((0, 0), (1, 1), (2, 2)) is None and area() is None
     assert area((0, 0), (10, 0), (10, 0), (10, 10), (0, 10), (0, 0)) == 100
     assert area((0, 0), (6, 0), (6, 4), (4, 4), (4, 2), (2, 2), (2, 4), (0, 4)) == 20
+
+
+def test_plan_and_its_labels_against_plain_python_and_sql(spark, duck):
+    """The planned queries, with draws from generators used in plain loops here, cards looked up and labelled in SQL."""
+    entries = {}
+    for brand, size, key in duck.execute("SELECT p_brand, p_size, printf('%08d', p_partkey) FROM part ORDER BY ALL").fetchall():
+        entries.setdefault(brand, []).append((str(size), key))
+    place, ground, deck = np.random.default_rng(42), np.random.default_rng(43), np.random.default_rng(44)
+    want, names = [], sorted(entries)
+    for scene in range(100):
+        background = int(ground.integers(0, 64))
+        cards = []
+        for _ in range(3):
+            name = names[int(deck.integers(0, len(names)))]
+            cards.append((name, *sorted(entries[name], key=lambda e: (int(e[0]), e[1]))[int(deck.integers(0, len(entries[name])))]))
+        for z, card in enumerate(cards):
+            want.append((scene, z, background, *card, *(float(place.uniform(a, b)) for a, b in ((-30, 30), (0.5, 0.8), (-0.15, 0.15), (-0.15, 0.15)))))
+    got = QUERIES["scene_plan"](spark, SF).collect()
+    assert sorted((r.scene, r.z, r.background, r.name, str(r.shard), r.key, r.angle, r.scale, r.tx, r.ty) for r in got) == sorted(want)
+    rows = ", ".join(f"({w[0]}, {w[1]}, '{w[3]}', " + ", ".join(f"{x!r}::DOUBLE" for x in w[6:]) + ")" for w in want)
+    given = f"placements(scene, z, class, angle, scale, tx, ty) AS (VALUES {rows})"
+    parts = [given, sql.PLACED, sql.SHARED, sql.LABELS]
+    want = duck.execute("WITH " + ",\n".join(parts) + " SELECT scene, z, corner, class, xmin, ymin, xmax, ymax, round(cx, 6), round(cy, 6), round(w, 6), round(h, 6) FROM labels").fetchall()
+    assert sorted(map(tuple, QUERIES["planned_labels"](spark, SF).collect())) == sorted(want) and len(want) > 300
