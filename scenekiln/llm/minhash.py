@@ -7,11 +7,15 @@
    hub, not with each other: a bucket of n gives n - 1 candidates. Packed signatures are compared by bit counts, and
    the share of equal minima, corrected for chance collisions, drops pairs that are far below the threshold.
 4. Candidates are confirmed on full sets, and components are found by alternating star joins.
-5. Buckets whose members are not all in one component yet get the rest, in tiles: a bucket is cut into blocks of bounded
-   size, and each two blocks are compared in a task of their own, first by signatures, then, for those members that are
-   left, on full sets. A pair is compared only in the first band it shares, and not once its components have met; a tile
-   gives the links that join components, never all pairs. So a link between texts that share a band is never lost,
-   whatever the bucket's size.
+5. Buckets whose members are not all in one component yet get the rest, in tiles: members outside the hub's component
+   are cut into blocks of bounded size, and each such block is compared with each other one and with each block of the
+   members inside, first by signatures, then, for those members that are left, on full sets. A pair is compared only in
+   the first band it shares, and not once its components have met; a tile gives the links that join components, never
+   all pairs. So a link between texts that share a band is never lost, whatever the bucket's size.
+
+A hot bucket, star or group of copies is one key of a join. Such joins are merge joins of shuffled sides, whose rows
+Spark's adaptive execution deals to several tasks where a key is hot; texts are fetched by the pair's other member first,
+so that a hub's text meets its pairs last and is never shuffled once a pair.
 
 Two sets of similarity 0.8 share none of the 24 bands with probability 3e-6, and fall under the estimate's margin with
 probability 2e-6; that is the method's only loss. Nothing is collected but counts.
@@ -20,7 +24,8 @@ Rows: a null or empty text, or one of white space, has an empty set and is linke
 no group and is kept; repeated rows are copies of one document and get equal results, of which `kept` leaves one, as it
 does of rows without a doc_id that have one set; rows of one doc_id with different
 texts count as one node of the link graph where that doc_id stands for its text; an empty table gives no rows. Texts are
-hashed in pieces of bounded memory. The result has the columns named here, so other columns cannot clash.
+hashed in pieces of bounded memory; of a long text a worker holds the text and eight bytes for each of its words, a few
+times over. The result has the columns named here, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ MARGIN = 0.2
 #: Sets of ids up to this size (8 bytes each) are broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_IDS = 500_000
 #: Most members of a block of a bucket, and most shingles of one (a single long text may exceed them).
-BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 400_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 200_000
 #: Rows that are taken from a batch and bytes of text that are hashed at once, shingles that are permuted at once.
 CHUNK_ROWS, CHUNK_BYTES, CHUNK_SHINGLES = 256, 1 << 20, 2048
 
@@ -79,35 +84,82 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield from _sets_of(texts.slice(at, CHUNK_ROWS).cast(pa.large_string()).fill_null(""), k)
 
 
+def _lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with A-Z as a-z, and which of them are not white space."""
+    own = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    return own, ~((own == 32) | ((own >= 9) & (own <= 13)))
+
+
+def _word_sums(own: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The polynomial of each word that begins at `starts`."""
+    at = np.arange(len(own)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(own)]))
+    at[: starts[0]] = 0
+    powers = np.multiply.accumulate(np.full(int(at.max()) + 1, _WORD))
+    return np.add.reduceat(np.where(inside, (own.astype(np.uint64) + np.uint64(1)) * powers[at], np.uint64(0)), starts)
+
+
+def _long_words(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one long text, in pieces; the sum of a word that a cut falls into is carried on."""
+    parts, none = [], np.zeros(1, np.uint64)
+    open_sum = shift = none  # shift: the power that the open word has come to
+    for at in range(0, len(data), CHUNK_BYTES):
+        own, inside = _lowered(data[at : at + CHUNK_BYTES])
+        outside = np.flatnonzero(~inside)
+        first = int(outside[0]) if len(outside) else len(own)
+        if shift[0] and first:
+            powers = np.multiply.accumulate(np.full(first, _WORD))
+            open_sum = open_sum + shift * ((own[:first].astype(np.uint64) + np.uint64(1)) * powers).sum(dtype=np.uint64)
+            shift = shift * powers[-1:]
+            if first == len(own):
+                continue
+            own, inside = own[first:], inside[first:]
+        if shift[0]:
+            parts.append(mixed(open_sum))
+            shift = none
+        opens = inside.copy()
+        opens[1:] &= ~inside[:-1]
+        starts = np.flatnonzero(opens)
+        if len(starts):
+            sums = _word_sums(own, inside, starts)
+            if inside[-1]:
+                open_sum, shift = sums[-1:], np.multiply.accumulate(np.full(len(own) - starts[-1], _WORD))[-1:]
+                sums = sums[:-1]
+            parts.append(mixed(sums))
+    if shift[0]:
+        parts.append(mixed(open_sum))
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def _shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of a text's words."""
+    if len(words) == 0:
+        return np.empty(0, np.uint64)
+    size = min(k, len(words))
+    hashes = np.full(len(words) - size + 1, np.uint64(size))
+    for i in range(size):
+        hashes *= _SHINGLE
+        hashes += words[i : i + len(hashes)]
+    return np.unique(mixed(hashes))
+
+
 def _sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     for first, last in _chunks(offsets):
         begins = offsets[first : last + 1] - offsets[first]
-        own = data[offsets[first] : offsets[last]]
-        own = np.where((own >= 65) & (own <= 90), own + 32, own).astype(np.uint8)
-        inside = ~((own == 32) | ((own >= 9) & (own <= 13)))
+        if begins[-1] > CHUNK_BYTES:  # one text
+            yield _shingles(_long_words(data[offsets[first] : offsets[last]]), k)
+            continue
+        own, inside = _lowered(data[offsets[first] : offsets[last]])
         opens = inside.copy()
         opens[1:] &= ~inside[:-1]
         edges = begins[:-1][begins[:-1] < len(own)]
         opens[edges] = inside[edges]
         starts = np.flatnonzero(opens)
         words_of = np.searchsorted(starts, begins)
-        if len(starts):
-            at = np.arange(len(own)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(own)]))
-            at[: starts[0]] = 0
-            powers = np.multiply.accumulate(np.full(int(at.max()) + 1, _WORD))
-            words = mixed(np.add.reduceat(np.where(inside, (own.astype(np.uint64) + np.uint64(1)) * powers[at], np.uint64(0)), starts))
+        words = mixed(_word_sums(own, inside, starts)) if len(starts) else np.empty(0, np.uint64)
         for a, b in zip(words_of, words_of[1:]):
-            n = int(b - a)
-            if n == 0:
-                yield np.empty(0, np.uint64)
-                continue
-            size = min(k, n)
-            hashes = np.full(n - size + 1, np.uint64(size))
-            for i in range(size):
-                hashes = hashes * _SHINGLE + words[a + i : a + i + len(hashes)]
-            yield np.unique(mixed(hashes))
+            yield _shingles(words[a:b], k)
 
 
 def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,14 +323,15 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star joins in turn, each round written to the shared folder, until nothing changes.
     """
     same = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    met = lambda df, least: df.join(materialize(least, "least").hint("merge"), "u")  # noqa: E731  a hub's rows are dealt out
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     last = same(e)
     while last[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(met(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        small = met(large, least).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = materialize(small.select("x.*").filter("u != v").distinct(), "edges")
         now = same(e)
         if now == last:
@@ -302,7 +355,7 @@ class NearDuplicates:
     def _signed(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose signatures come near the threshold."""
         sig = self.texts.select("rep", "sig")
-        df = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
+        df = pairs.join(sig.toDF("a", "sa").hint("merge"), "a").join(sig.toDF("b", "sb"), "b")
         return df.filter(estimated(F.col("sa"), F.col("sb")) >= self.least).select("a", "b").distinct()
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -310,17 +363,17 @@ class NearDuplicates:
         pairs = materialize(pairs, "candidates")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         texts = limited(self.docs, ids, "doc_id", "left_semi")
-        df = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-        return materialize(df.filter(_linked(self.k, self.percent)("ta", "tb")).select("a", "b").distinct(), "links")
+        df = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta").hint("merge"), "a")
+        return materialize(df.filter(_linked(self.k, self.percent)("ta", "tb")).select("a", "b"), "links")
 
     def _components(self) -> DataFrame:
         banded = self.texts.select("rep", F.posexplode("bands").alias("band", "key"))
         hubs = banded.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
-        members = materialize(banded.join(hubs, ["band", "key"]).filter("rep != hub"), "buckets")
+        members = materialize(banded.join(materialize(hubs, "hubs").hint("merge"), ["band", "key"]).filter("rep != hub"), "buckets")
         links = self._confirmed(self._signed(members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()))
         found = components(links)
         comp = lambda at, name: found.select(F.col("node").alias(at), F.col("comp").alias(name))
-        df = members.join(comp("rep", "x"), "rep", "left").join(comp("hub", "y"), "hub", "left")
+        df = members.join(comp("rep", "x"), "rep", "left").join(comp("hub", "y").hint("merge"), "hub", "left")
         df = df.select("band", "key", "rep", F.coalesce("x", "rep").alias("x"), F.coalesce("y", "hub").alias("y"))
         df = materialize(df, "labelled")
         more = self._rest(df)
@@ -331,24 +384,31 @@ class NearDuplicates:
     def _rest(self, labelled: DataFrame) -> DataFrame:
         """Links (a, b) between members of different components that are in one bucket; those with hubs are known."""
         full = self.texts.select("rep", "n", "sig", "bands")
-        open_ones = labelled.filter("x != y").select("band", "key").distinct()
-        rows = labelled.join(open_ones, ["band", "key"], "left_semi").select("band", "key", "rep", "x").join(full, "rep")
-        sizes = rows.groupBy("band", "key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"), F.count("*").alias("c")).filter("c > 1").drop("c")
-        rows = rows.join(sizes, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        open_ones = materialize(labelled.filter("x != y").select("band", "key").distinct(), "open")
+        rows = labelled.join(open_ones.hint("merge"), ["band", "key"], "left_semi")
+        rows = materialize(rows.select("band", "key", "rep", "x", (F.col("x") == F.col("y")).alias("main")).join(full, "rep"), "members")
+        blocks = lambda own: F.greatest(F.ceil(F.count_if(own) / BLOCK_MEMBERS), F.ceil(F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES))
+        sizes = rows.groupBy("band", "key").agg(blocks(~F.col("main")).alias("others"), blocks(F.col("main")).alias("mains"), blocks(F.lit(True)).alias("all"), F.count("*").alias("c"))
+        # a bucket that is one block stays one
+        sizes = sizes.filter("c > 1").select("band", "key", "others", F.when(F.col("all") == 1, 0).otherwise(F.col("mains")).alias("mains"))
+        rows = rows.join(materialize(sizes, "sizes").hint("merge"), ["band", "key"]).withColumn("main", F.col("main") & (F.col("mains") > 0))
+        # blocks of members outside the hub's component come first; those inside are not compared with each other
+        own = F.when(F.col("main"), F.col("others") + F.pmod(F.xxhash64("rep"), "mains")).otherwise(F.pmod(F.xxhash64("rep"), "others"))
+        upto = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
+        rows = rows.withColumn("block", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), upto - 1)))
         rows = rows.select("band", "key", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", "rep", "x", "n", "sig", "bands")
         schema = "band int, key long, lo long, hi long, block long, rep long, x long, n long, sig array<long>, bands array<long>"
         left = materialize(_by_tile(rows, tile_members, schema, self.least, self.percent), "tiles")
         ids = left.select(F.col("rep").alias("doc_id")).distinct()
         sets = limited(self.docs, ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), _sets(self.k)("text").alias("set"))
-        return materialize(_by_tile(left.join(sets, "rep"), tile_links, "a long, b long", self.least, self.percent).distinct(), "links")
+        return materialize(_by_tile(left.join(sets, "rep"), tile_links, "a long, b long", self.least, self.percent), "links")
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept of every row."""
         comp = self.components.select(F.col("node").alias("rep"), "comp")
         named = self.texts.select("digest", "rep").join(comp, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
         alone = F.col("n") == 0
-        full = self.features.filter(~alone & F.col("doc_id").isNotNull()).select("doc_id", "n", "digest").join(named, "digest", "left")
+        full = self.features.filter(~alone & F.col("doc_id").isNotNull()).select("doc_id", "n", "digest").join(materialize(named, "named").hint("merge"), "digest", "left")
         out = full.select("doc_id", "n", "component_id").union(self.features.filter(alone | F.col("doc_id").isNull()).select("doc_id", "n", "doc_id"))
         kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
         return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))

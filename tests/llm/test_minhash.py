@@ -109,3 +109,34 @@ def test_repeated_rows_leave_one(spark):
     left = [tuple(r) for r in NearDuplicates(docs, k=5).kept(docs).collect()]
     want = [(7, "ONE two three four five six"), (7, texts[1]), (9, texts[2]), (6, ""), (None, texts[3]), (None, texts[2]), (None, ""), (None, None)]
     assert sorted(map(repr, left)) == sorted(map(repr, want))
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """A text that is hashed in pieces has the set it has in one, wherever the cuts fall."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abÉ  \n\tZ") for _ in range(rng.randrange(1, 400))) for _ in range(60)] + ["x" * 300, " " * 300, "", "a b", " x" + "y" * 100 + " "]
+    whole = [g.tolist() for g in shingle_sets(pa.array(texts), 4)]
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(minhash, "CHUNK_BYTES", size)
+        assert [g.tolist() for g in shingle_sets(pa.array(texts), 4)] == whole
+
+
+def test_large_bucket_with_few_outsiders(spark, monkeypatch):
+    """Most members are linked with the hub; those that are not meet every block of those that are."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+
+    def changed(words, n, tag):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"{tag}{rng.randrange(10**6)}"
+        return words
+
+    chain = [base]
+    for _ in range(6):  # each linked with the one before, the last not with the first
+        chain.append(changed(chain[-1], 4, "c"))
+    texts = [base] + [changed(base, 2, "x") for _ in range(80)] + chain[::-1] + [changed(base, 12, "far") for _ in range(5)]
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in NearDuplicates(docs, k=4).result().collect()} == brute(rows, 4)
