@@ -135,8 +135,18 @@ def tight_rectangle(points: np.ndarray) -> tuple[np.ndarray, tuple[float, float]
     return best[1], best[2]
 
 
-def find_corner_hull(card: np.ndarray, zone: list[tuple[float, float]] = g.CORNER_HL) -> tuple[np.ndarray, bool, float] | None:
-    """Hull (x, y) of the symbol in a card's corner zone, whether its area is plausible, and the area; None: no symbol."""
+def find_corner_hull(
+    card: np.ndarray,
+    zone: list[tuple[float, float]] = g.CORNER_HL,
+    min_area: float = g.MIN_CONTOUR_AREA,
+    min_solidity: float = g.MIN_SOLIDITY,
+    hull_area: tuple[float, float] = g.HULL_AREA,
+    tolerance: tuple[float, float] = g.CENTRE_TOLERANCE,
+) -> tuple[np.ndarray, bool, float] | None:
+    """Hull (x, y) of the symbol in a card's corner zone, whether its area is plausible, and the area; None: no symbol.
+
+    Outlines count from `min_area`, above `min_solidity`, and if their centre is off the zone's by less than `tolerance`.
+    """
     (x0, y0), (x1, y1) = zone[0], zone[2]
     x0, y0, x1, y1 = map(int, (x0, y0, x1, y1))
     width, height = x1 - x0, y1 - y0
@@ -145,18 +155,18 @@ def find_corner_hull(card: np.ndarray, zone: list[tuple[float, float]] = g.CORNE
     edges = dilate(canny(to_gray(card[y0:y1, x0:x1]), 30, 200))
     kept = []
     for line in outlines(edges):
-        hull_area = area_of(hull_of(line))
+        around = area_of(hull_of(line))
         centre = centre_of(line)
-        if hull_area <= 0 or centre is None:
+        if around <= 0 or centre is None:
             continue
-        central = abs(width / 2 - centre[0]) < width * g.CENTRE_TOLERANCE[0] and abs(height / 2 - centre[1]) < height * g.CENTRE_TOLERANCE[1]
-        if area_of(line) >= g.MIN_CONTOUR_AREA and area_of(line) / hull_area > g.MIN_SOLIDITY and central:
+        central = abs(width / 2 - centre[0]) < width * tolerance[0] and abs(height / 2 - centre[1]) < height * tolerance[1]
+        if area_of(line) >= min_area and area_of(line) / around > min_solidity and central:
             kept.append(line)
     if not kept:
         return None
     hull = hull_of(np.concatenate(kept))
     area = area_of(hull)
-    return (hull + [x0, y0]).astype(np.int64), g.HULL_AREA[0] <= area <= g.HULL_AREA[1], area
+    return (hull + [x0, y0]).astype(np.int64), hull_area[0] <= area <= hull_area[1], area
 
 
 def _filled(points: np.ndarray, width: int, height: int) -> np.ndarray:

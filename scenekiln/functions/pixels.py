@@ -7,6 +7,12 @@ import numpy as np
 from scenekiln.functions.geometry import CARD_HEIGHT, CARD_WIDTH, placement_offset
 
 
+def from_image(row) -> np.ndarray:
+    """Spark's image struct as an array."""
+    own = np.frombuffer(row["data"], np.uint8).reshape(int(row["height"]), int(row["width"]), int(row["nChannels"]))  # floats beside a null
+    return own[:, :, 0] if own.shape[2] == 1 else own
+
+
 def to_bgr(image: np.ndarray) -> np.ndarray:
     if image.ndim == 2:
         return np.repeat(image[:, :, None], 3, axis=2)

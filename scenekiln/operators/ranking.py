@@ -50,6 +50,12 @@ def dictionary(df: DataFrame, column: str) -> DataFrame:
     return names.withColumn("id", F.row_number().over(Window.orderBy(column)) - 1)
 
 
+def listed(names: DataFrame, column: str) -> DataFrame:
+    """One row, text: a dictionary's names in the order of their ids, one a line."""
+    rows = F.array_sort(F.collect_list(F.struct("id", column)))
+    return names.agg(F.array_join(F.transform(rows, lambda r: F.concat(r[column], F.lit("\n"))), "").alias("text"))
+
+
 def encoded(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
     """Inner join with a dictionary: unknown names go. Broadcast only if the dictionary is small."""
     few = names.count() <= MAX_DICTIONARY

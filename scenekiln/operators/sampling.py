@@ -21,6 +21,7 @@ PLAN = "scene long, z int, background long, class_rank int, entry long, angle do
 class AugmentRange:
     """Uniform ranges of a card's turn (degrees), size and move (fractions of the canvas)."""
 
+    #: The public parameters and their defaults.
     rotation_deg: tuple[float, float] = (-30.0, 30.0)
     scale: tuple[float, float] = (0.5, 0.8)
     translate_frac: tuple[float, float] = (-0.15, 0.15)

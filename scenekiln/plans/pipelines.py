@@ -13,10 +13,10 @@ from pyspark.sql import types as T
 
 from scenekiln.functions import contours, pixels
 from scenekiln.functions import geometry as g
-from scenekiln.functions.text import padded
+from scenekiln.functions.text import READ, padded
 from scenekiln.operators import members as m
 from scenekiln.operators import ranking, sampling, scenes
-from scenekiln.session import materialize
+from scenekiln.session import materialize, united
 from scenekiln.sources import png
 from scenekiln.sources import shards as s
 
@@ -24,34 +24,36 @@ POINT_LIST = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.Str
 ROLES = ["cls", "png", "hull_hl.npy", "hull_lr.npy"]
 
 
-def _image(row) -> np.ndarray:
-    """Spark's image struct as an array."""
-    own = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["nChannels"])
-    return own[:, :, 0] if own.shape[2] == 1 else own
-
-
 def pack_backgrounds(spark: SparkSession, images: str, out: str, shard_size: int = 1024, prefix: str = "backgrounds") -> int:
-    """Images to PNG shards. Keys count walked files, so files that do not decode leave gaps. Returns the shards."""
-    df = s.walk_images(spark, images, decode=True)
-    df = ranking.ranked(df, [F.split(s.relative(F.col("path"), images), "/")], F.col("image").isNotNull())
-    df = ranking.shard_slots(df, shard_size).filter("rank IS NOT NULL")
+    """Images to PNG shards. Keys count walked files, so files that do not decode leave gaps. Returns the shards.
+
+    Images are decoded once and written as PNG; only paths are ranked.
+    """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"file": batch["file"], "name": batch["name"], "payload": [png.encode_png(pixels.to_bgr(_image(i))) for i in batch["image"]], "slot": batch["slot"]})
-
-    named = df.select(F.concat(F.lit(f"{prefix}-"), padded(F.col("shard"), 4), F.lit(".tar")).alias("file"), F.concat(padded(F.col("index"), 8), F.lit(".png")).alias("name"), "image", "slot")
+            payload = [png.encode_png(pixels.to_bgr(pixels.from_image(i))) if ok else None for i, ok in zip(batch["image"], batch["ok"])]
+            yield pd.DataFrame({"path": batch["path"], "payload": pd.Series(payload, dtype=object)})
+
+    walked = s.walk_images(spark, images, decode=True).withColumn("ok", F.col("image").isNotNull())
+    encoded = materialize(walked.mapInPandas(encode, "path string, payload binary"), "backgrounds")
+    paths = encoded.select("path", F.col("payload").isNotNull().alias("ok"))
+    ranks = ranking.shard_slots(ranking.ranked(paths, [F.split(s.relative(F.col("path"), images), "/")], F.col("ok")), shard_size).filter("rank IS NOT NULL")
+    file, name = F.concat(F.lit(f"{prefix}-"), padded(F.col("shard"), 4), F.lit(".tar")), F.concat(padded(F.col("index"), 8), F.lit(".png"))
     s.clear_shards(out, prefix)
-    s.write_files(named.mapInPandas(encode, "file string, name string, payload binary, slot long"), out, ["slot"])
-    return -(-df.count() // shard_size)
+    s.write_files(ranks.join(encoded, "path").select(file.alias("file"), name.alias("name"), "payload", "slot"), out, ["slot"])
+    return -(-ranks.count() // shard_size)
 
 
 CARD = "class string, path string, png binary, hl binary, lr binary"
 
 
-def pack_cards(spark: SparkSession, root: str, out: str, shard_size: int = 512, prefix: str = "cards", extract_hulls: bool = True) -> int:
+def pack_cards(spark: SparkSession, root: str, out: str, shard_size: int = 512, prefix: str = "cards", extract_hulls: bool = True, **thresholds) -> int:
     """Cards by class folder to shards of four members each. Only canonical images with plausible hulls are packed, and
-    keys count those. A gray image of the right size is passed over, not an error."""
+    keys count those. A gray image of the right size is passed over, not an error.
+
+    `thresholds` are those of `find_corner_hull`. Hulls are looked for once; only paths are ranked.
+    """
     path = s.relative(F.col("path"), root)
     df = s.walk_images(spark, root, decode=True).filter(F.contains(path, F.lit("/")))
     df = df.filter((F.col("image.height") == g.CARD_HEIGHT) & (F.col("image.width") == g.CARD_WIDTH) & F.col("image.nChannels").isin(3, 4))
@@ -61,21 +63,23 @@ def pack_cards(spark: SparkSession, root: str, out: str, shard_size: int = 512,
         for batch in batches:
             rows = []
             for cls, where, image in zip(batch["class"], batch["rel"], batch["image"]):
-                card = pixels.to_bgra(_image(image))
-                hulls = [contours.find_corner_hull(card, z) for z in zones] if extract_hulls else [(np.array(z, np.int64), True, 0.0) for z in zones]
+                card = pixels.to_bgra(pixels.from_image(image))
+                hulls = [contours.find_corner_hull(card, z, **thresholds) for z in zones] if extract_hulls else [(np.array(z, np.int64), True, 0.0) for z in zones]
                 if all(h is not None and h[1] for h in hulls):
                     rows.append((cls, where, png.encode_png(card), *(png.encode_npy(h[0].reshape(-1, 1, 2)) for h in hulls)))
             yield pd.DataFrame(rows, columns=["class", "path", "png", "hl", "lr"])
 
     cards = df.select(F.split_part(path, F.lit("/"), F.lit(1)).alias("class"), path.alias("rel"), "image").mapInPandas(cut, CARD)
-    df = materialize(ranking.shard_slots(ranking.ranked(cards, [F.split("path", "/")]), shard_size), "cards")
+    cards = materialize(cards, "cards")
+    ranks = ranking.shard_slots(ranking.ranked(cards.select("path"), [F.split("path", "/")]), shard_size)
+    df = ranks.join(cards, "path")
     key = padded(F.col("rank") - 1, 8)
     payloads = zip(ROLES, (F.col("class").cast("binary"), F.col("png"), F.col("hl"), F.col("lr")))
     parts = F.posexplode(F.array(*[F.struct(F.lit(f".{role}").alias("ext"), p.alias("payload")) for role, p in payloads])).alias("part", "m")
     rows = df.select(F.concat(F.lit(f"{prefix}-"), padded(F.col("shard"), 4), F.lit(".tar")).alias("file"), key.alias("key"), "slot", parts)
     s.clear_shards(out, prefix)
     s.write_files(rows.select("file", F.concat("key", "m.ext").alias("name"), "m.payload", "slot", "part"), out, ["slot", "part"])
-    return -(-df.count() // shard_size)
+    return -(-ranks.count() // shard_size)
 
 
 def _points(payload: Column) -> Column:
@@ -98,27 +102,55 @@ def load_cards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_backgrounds(spark: SparkSession, folder: str) -> DataFrame:
-    """background (from 0, in shard and member order) and payload, the first image of each sample."""
-    df = m.runs(s.read_members(spark, folder), ["shard"], ["ord"])
-    first = m.first_images(df, ["shard", "run"])
-    out = ranking.ranked(first, [F.col("shard"), F.col("run")]).select(F.col("index").alias("background"), "payload")
-    if out.isEmpty():
+    """background (from 0, in shard and member order) and payload, the first image of each sample as PNG.
+
+    Samples are found and ranked without their payloads.
+    """
+    df = m.runs(s.read_members(spark, folder, payload=False), ["shard"], ["ord"])
+    first = df.filter(F.col("ext").isin(*READ)).groupBy("shard", "run").agg(F.min("ord").alias("ord"))
+    ranks = ranking.ranked(first, [F.col("shard"), F.col("run")]).select("shard", "ord", F.col("index").alias("background"))
+    if ranks.isEmpty():
         raise ValueError("there are 0 images in the shards")
-    return out
+    return ranks.join(s.read_images(spark, folder), ["shard", "ord"]).select("background", "payload")
+
 
+def background_sample(grounds: DataFrame, seed: int, size: int) -> DataFrame:
+    """One background, drawn by `seed`, as a PNG of `size` by `size`: background, payload."""
+    at = int(np.random.default_rng(seed).integers(0, grounds.count()))
 
-def generate(spark: SparkSession, backgrounds: str, cards: str, out: str, count: int = 10, n_cards: int = 2, canvas: int = g.SCENE_SIZE, seed: int = 42) -> DataFrame:
-    """Scenes, label files and classes.txt into `out`; returns the labels. Pixels are fetched only where scenes are drawn."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(payload=[png.encode_png(pixels.resize(pixels.to_bgr(png.decode_png(p)), size, size)) for p in batch["payload"]])
+
+    return grounds.filter(F.col("background") == at).select("background", "payload").mapInPandas(cut, "background long, payload binary")
+
+
+def generate(
+    spark: SparkSession,
+    backgrounds: str,
+    cards: str,
+    out: str,
+    count: int = 10,
+    n_cards: int = 2,
+    canvas: int = g.SCENE_SIZE,
+    seed: int = 42,
+    aug: sampling.AugmentRange | None = None,
+    hidden: float = g.MAX_HIDDEN,
+) -> DataFrame:
+    """Scenes, label files and classes.txt into `out`; returns the labels. Pixels are fetched only where scenes are drawn.
+
+    `aug`: ranges of turn, size and move; `hidden`: how much of a corner may lie under the next card.
+    """
     if count < 1 or canvas < 64:
         raise ValueError("there is a scene at least, and a canvas of 64 at least")
     index, grounds = load_cards(spark, cards), materialize(load_backgrounds(spark, backgrounds), "backgrounds")
     sizes = [r.n for r in index.groupBy("name").agg(F.count("*").alias("n")).orderBy("name").collect()]  # one row a class
-    plan = sampling.scene_plan(spark, seed, count, n_cards, sizes, grounds.count())
+    plan = sampling.scene_plan(spark, seed, count, n_cards, sizes, grounds.count(), aug)
     drawn = sampling.drawn_cards(plan, index)
-    loaded = m.load_samples(drawn.select("name", "shard", "key").distinct(), s.read_members(spark, cards, ROLES[1:]), ROLES[1:])
+    loaded = m.load_samples(drawn.select("name", "shard", "key").distinct(), s.read_images(spark, cards, tuple(ROLES[2:])), ROLES[1:])
     full = materialize(drawn.join(loaded.select("shard", "key", F.col("png"), F.col("`hull_hl.npy`").alias("hl"), F.col("`hull_lr.npy`").alias("lr")), ["shard", "key"]), "drawn")
     cards_df = full.drop("png").withColumnRenamed("name", "class").withColumns({"phl": _points(F.col("hl")), "plr": _points(F.col("lr"))})
-    labels = materialize(scenes.corner_labels(scenes.placed(cards_df, canvas, F.col("phl"), F.col("plr")), canvas), "labels")
+    labels = materialize(scenes.corner_labels(scenes.placed(cards_df, canvas, F.col("phl"), F.col("plr")), canvas, hidden), "labels")
 
     def draw(keys, rows: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("z")
@@ -132,10 +164,8 @@ def generate(spark: SparkSession, backgrounds: str, cards: str, out: str, count:
     texts = plan.select("scene").distinct().join(scenes.label_files(labels, names), "scene", "left")
     stem = F.concat(F.lit("scene_"), padded(F.col("scene"), 6))
     files = images.select(F.concat(stem, F.lit(".png")).alias("file"), F.lit(None).cast("string").alias("name"), "payload")
-    files = files.union(texts.select(F.concat(stem, F.lit(".txt")), F.lit(None).cast("string"), F.coalesce("text", F.lit("")).cast("binary")))
-    listed = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "class"))), lambda r: F.concat(r["class"], F.lit("\n"))), "").alias("t"))
-    files = files.union(listed.select(F.lit("classes.txt"), F.lit(None).cast("string"), F.col("t").cast("binary")))
-    s.write_files(files, out, [])
+    texts = texts.select(F.concat(stem, F.lit(".txt")), F.lit(None).cast("string"), F.coalesce("text", F.lit("")).cast("binary"))
+    s.write_files(united(files, texts, ranking.listed(names, "class").select(F.lit("classes.txt"), F.lit(None).cast("string"), F.col("text").cast("binary"))), out, [])
     return labels
 
 
@@ -159,7 +189,7 @@ def extract_cards(frames: DataFrame, min_focus: float = g.MIN_FOCUS, min_rectang
         for batch in batches:
             rows = []
             for where, image in zip(batch["path"], batch["image"]):
-                got = contours.extract_card(_image(image), min_focus, min_rectangularity)
+                got = contours.extract_card(pixels.from_image(image), min_focus, min_rectangularity)
                 if got is not None:
                     rows.append((where, got[1], got[2], png.encode_png(got[0])))
             yield pd.DataFrame(rows, columns=["path", "focus", "rectangularity", "png"])
@@ -167,4 +197,4 @@ def extract_cards(frames: DataFrame, min_focus: float = g.MIN_FOCUS, min_rectang
     return frames.filter("image IS NOT NULL").select("path", "image").mapInPandas(run, "path string, focus double, rectangularity double, png binary")
 
 
-__all__ = ["extract_cards", "generate", "load_backgrounds", "load_cards", "pack_backgrounds", "pack_cards", "random_sample"]
+__all__ = ["background_sample", "extract_cards", "generate", "load_backgrounds", "load_cards", "pack_backgrounds", "pack_cards", "random_sample"]

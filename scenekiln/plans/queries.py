@@ -14,7 +14,7 @@ from scenekiln.operators import members as m
 from scenekiln.operators import ranking, sampling, scenes
 from scenekiln.plans import shapes
 from scenekiln.plans.sql import NAMES, PLACED, SHARED, scenes_sql, shoelace, with_shapes
-from scenekiln.session import table
+from scenekiln.session import table, united
 from scenekiln.sources.shards import distinct_names
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +128,13 @@ def occlusion_keep(spark, sf_dir):
     return df.select("scene", "z", "corner", g.kept_after_occlusion(F.col("hull"), F.col("occluder")).alias("kept"))
 
 
+@query("WITH " + ",\n".join([with_shapes("placements"), PLACED, SHARED]) + f" SELECT scene, z, corner, round((abs({shoelace('h.hull')}) - inter) / abs({shoelace('h.hull')}), 6) + 0 AS visible FROM hulls h JOIN shared USING (scene, z, corner)")
+def visible_fraction(spark, sf_dir):
+    """How much of each corner the card drawn next leaves in sight."""
+    df = scenes.with_occluder(scenes.placed(shapes.placements(spark, sf_dir))).filter("occluder IS NOT NULL").select("scene", "z", "occluder", F.posexplode(F.array("hull_hl", "hull_lr")).alias("corner", "hull"))
+    return df.select("scene", "z", "corner", (F.round(g.visible_fraction(F.col("hull"), F.col("occluder")), 6) + 0).alias("visible"))  # + 0: no negative zero
+
+
 @query("WITH " + ",\n".join([with_shapes("placements"), PLACED]) + " SELECT scene, z, lead(z) OVER (PARTITION BY scene ORDER BY z) AS next_z FROM placed")
 def next_card(spark, sf_dir):
     """The card drawn after each card."""
@@ -348,6 +355,20 @@ def shard_assignment_gapped(spark, sf_dir):
     return df.select("doc_id", t.padded(F.col("index"), 8).alias("key"), F.concat(F.lit("backgrounds-"), t.padded(F.col("shard"), 4)).alias("shard"), "slot")
 
 
+@query(f"WITH {with_shapes('walked')} SELECT doc_id, substr(path, strpos(path, '.') + 1) AS ext FROM walked WHERE strpos(path, '.') > 0 AND substr(path, strpos(path, '.') + 1) IN ('jpeg', 'jpg', 'png', 'webp')")
+def reader_images(spark, sf_dir):
+    """Members that the reader takes for images: by their whole ext, case and all."""
+    df = shapes.walked_files(spark, sf_dir).select("doc_id", t.member_ext(F.col("path")).alias("ext"))
+    return df.filter(F.col("ext").isin(*t.READ))
+
+
+@query("SELECT p_partkey FROM part WHERE p_retailprice BETWEEN 940 AND 2120 AND p_retailprice + p_size * 20 BETWEEN 940 AND 2120")
+def packable_cards(spark, sf_dir):
+    """Cards of which both corner hulls are there and plausible; others are not packed."""
+    areas = F.col("p_retailprice"), F.col("p_retailprice") + F.col("p_size") * 20
+    return table(spark, sf_dir, "part").filter(g.hull_plausible(areas[0]) & g.hull_plausible(areas[1])).select("p_partkey")
+
+
 @query("WITH r AS (SELECT *, row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS k FROM part WHERE p_size > 5) SELECT p_partkey, printf('%08d', k) AS key, printf('cards-%04d', k // 512) AS shard, k % 512 AS slot FROM r")
 def shard_assignment_dense(spark, sf_dir):
     """Card shards of 512: keys count written cards."""
@@ -414,6 +435,12 @@ def class_ids(spark, sf_dir):
     return _names(spark, sf_dir)
 
 
+@query(f"WITH {NAMES} SELECT string_agg(class || chr(10), '' ORDER BY id) AS text FROM names")
+def classes_file(spark, sf_dir):
+    """The text of classes.txt: the names in the order of their ids, one a line."""
+    return ranking.listed(_names(spark, sf_dir), "class")
+
+
 @query("SELECT DISTINCT p_brand AS name FROM part")
 def class_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct()
@@ -434,7 +461,7 @@ def deck_diff(spark, sf_dir):
     """Names that should not be there, and names that are not."""
     found = table(spark, sf_dir, "part").select(F.concat(F.element_at(F.array(*map(F.lit, RANKS)), F.col("p_size") % 8 + 1), F.when(F.col("p_size") % 5 == 0, "x").otherwise("h")).alias("name"))
     deck = expected_deck(spark, sf_dir)
-    return found.subtract(deck).select(F.lit("unexpected").alias("side"), "name").union(deck.subtract(found).select(F.lit("missing"), "name"))
+    return united(found.subtract(deck).select(F.lit("unexpected").alias("side"), "name"), deck.subtract(found).select(F.lit("missing"), "name"))
 
 
 @query("SELECT p_partkey, printf('%04d', p_partkey) AS four, printf('%08d', p_partkey) AS eight, printf('scene_%06d', p_partkey * 1000) AS scene FROM part")

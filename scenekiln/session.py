@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Unions of joined branches under a window gave wrong rows with output partitioning carried through UNION ALL.
+UNION = ("spark.sql.unionOutputPartitioning", "false")
 #: Settings that every plan of this package counts on; none of them depends on the size of the data.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Unions of joined branches under a window gave wrong rows with output partitioning carried through UNION ALL.
-    "spark.sql.unionOutputPartitioning": "false",
+    UNION[0]: UNION[1],
 }
 
 
+#: Temporary folders of local applications whose setting is unset: it cannot be changed while a session runs.
+_FOLDERS: dict[str, str] = {}
+
+
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with DEFAULTS; `conf` keys use `__` for dots."""
     builder = SparkSession.builder.appName("scenekiln")
@@ -28,15 +34,31 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process of this machine."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
+def united(*frames: DataFrame) -> DataFrame:
+    """The rows of all frames, by position, right in any session: see UNION."""
+    frames[0].sparkSession.conf.set(*UNION)
+    return reduce(DataFrame.union, frames)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (tests, a laptop) a temporary folder of this machine is made and set.
+    Only where that is unset (tests, a laptop) a temporary folder of this machine is made; on a cluster, where each
+    executor would write to its own disk, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="scenekiln-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _FOLDERS:
+            _FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="scenekiln-")
+        return _FOLDERS[app]
     return folder
 
 

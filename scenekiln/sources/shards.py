@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from scenekiln.functions.text import is_image, stripped
+from scenekiln.functions import pixels
+from scenekiln.functions.text import READ, is_image, stripped
+from scenekiln.session import is_local, shared_dir, united
+from scenekiln.sources import png
 
 MEMBERS = "shard string, ord long, key string, ext string, payload binary"
 
@@ -54,6 +58,33 @@ def members_of(shards: DataFrame, exts: list[str] | None = None, payload: bool =
     return files.mapInPandas(parse, MEMBERS)
 
 
+def read_images(spark: SparkSession, folder: str, exts: tuple[str, ...] = ()) -> DataFrame:
+    """MEMBERS of `exts` and of all image types, the images as PNG under the ext `png`.
+
+    JPEG members are decoded by Spark's image source, by way of files in the shared folder. One that does not decode is an
+    error, and so is WebP, which nothing here decodes.
+    """
+    bad = lambda said: F.raise_error(F.lit(said)).cast("binary")
+    columns = ["shard", "ord", "key", F.when(F.col("ext").isin(*READ), "png").otherwise(F.col("ext")).alias("ext")]
+    plain = read_members(spark, folder, ["png", "webp", *exts])
+    plain = plain.select(*columns, F.when(F.col("ext") == "webp", bad("WebP images are not decoded")).otherwise(F.col("payload")).alias("payload"))
+    file = F.concat(F.sha2(F.concat_ws("/", "shard", "ord"), 256), F.lit(".jpg"))
+    jpeg = read_members(spark, folder, ["jpg", "jpeg"]).withColumn("file", file)
+    if jpeg.isEmpty():
+        return plain
+    files = f"{shared_dir(spark).rstrip('/')}/jpeg-{uuid.uuid4().hex}"
+    write_files(jpeg.select("file", F.lit(None).cast("string").alias("name"), "payload"), files, [])
+    image = spark.read.format("image").load(files).filter("image.height > 0").select(F.substring_index("image.origin", "/", -1).alias("file"), "image")
+
+    def recode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"file": batch["file"], "decoded": [png.encode_png(pixels.to_bgr(pixels.from_image(i))) for i in batch["image"]]})
+
+    narrow = read_members(spark, folder, ["jpg", "jpeg"], payload=False).withColumn("file", file)
+    decoded = narrow.join(image.mapInPandas(recode, "file string, decoded binary"), "file", "left")
+    return united(plain, decoded.select(*columns, F.coalesce("decoded", bad("a JPEG image does not decode")).alias("payload")))
+
+
 def walk_images(spark: SparkSession, root: str, decode: bool = False) -> DataFrame:
     """Every image under `root`: path and, with `decode`, Spark's image struct; files that do not decode are null.
 
@@ -137,7 +168,11 @@ class FilesSource(DataSource):
 
 
 def write_files(rows: DataFrame, folder: str, order: list[str]) -> None:
-    """Rows (file, name, payload, *order) as files: each file whole in one task, members in order."""
+    """Rows (file, name, payload, *order) as files: each file whole in one task, members in order.
+
+    A folder without a scheme is this machine's disk, and so an error on a cluster."""
+    if "://" not in folder and not folder.startswith("file:") and not is_local(rows.sparkSession):
+        raise ValueError("on a cluster the folder to write to must be a URI that all executors reach")
     rows.sparkSession.dataSource.register(FilesSource)
     dealt = rows.repartition("file").sortWithinPartitions("file", *order).select("file", "name", "payload")
     dealt.write.format("scene_files").mode("append").save(folder)

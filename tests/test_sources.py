@@ -1,5 +1,6 @@
 import io
 import tarfile
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -175,3 +176,79 @@ def test_names_config_and_cli(spark, tmp_path, monkeypatch, capsys):
     for bad in (["generate", "--backgrounds", "a", "--cards", "b", "--output", "c", "-n", "0"], ["pack-cards", "a", "b", "--shard-size", "0"], []):
         with pytest.raises(SystemExit):
             parser().parse_args(bad)
+
+
+def jpeg_bytes(spark, tmp_path):
+    """16 x 16 gray pixels, left half 40, right half 200, as the JVM's own encoder writes them."""
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(16, 16, 5)
+    for y in range(16):
+        for x in range(16):
+            v = 40 if x < 8 else 200
+            image.setRGB(x, y, v << 16 | v << 8 | v)
+    path = tmp_path / "x.jpg"
+    jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(path)))
+    return path.read_bytes()
+
+
+def test_jpeg_members_and_webp(spark, tmp_path):
+    data = jpeg_bytes(spark, tmp_path)
+    (tmp_path / "g").mkdir()
+    rows = [("0.jpg", data), ("1.png", png.encode_png(image(1, 8, 8, 3))), ("2.txt", b"-"), ("3.jpeg", data), ("3.png", png.encode_png(image(2, 8, 8, 3)))]
+    with tarfile.open(tmp_path / "g/a.tar", "w") as tar:
+        for name, payload in rows:
+            info = tarfile.TarInfo(name)
+            info.size = len(payload)
+            tar.addfile(info, io.BytesIO(payload))
+    got = [png.decode_png(r.payload) for r in p.load_backgrounds(spark, str(tmp_path / "g")).orderBy("background").collect()]
+    assert [a.shape for a in got] == [(16, 16, 3), (8, 8, 3), (16, 16, 3)] and (got[1] == image(1, 8, 8, 3)).all()
+    assert abs(got[0][:, :8].astype(int) - 40).max() < 12 and abs(got[2][:, 8:].astype(int) - 200).max() < 12
+    one = p.background_sample(p.load_backgrounds(spark, str(tmp_path / "g")), 3, 32).collect()
+    assert len(one) == 1 and png.decode_png(one[0].payload).shape == (32, 32, 3)
+    for name, payload, said in (("9.webp", b"RIFF", "WebP"), ("9.jpg", b"no image", "does not decode")):
+        with tarfile.open(tmp_path / "g/b.tar", "w") as tar:
+            info = tarfile.TarInfo(name)
+            info.size = len(payload)
+            tar.addfile(info, io.BytesIO(payload))
+        with pytest.raises(Exception, match=said):
+            p.load_backgrounds(spark, str(tmp_path / "g")).collect()
+
+
+def test_ranks_carry_no_images(spark, deck, tmp_path, monkeypatch):
+    ranked, seen = p.ranking.ranked, []
+
+    def watched(df, *args):
+        seen.append(dict(df.dtypes))
+        return ranked(df, *args)
+
+    monkeypatch.setattr(p.ranking, "ranked", watched)
+    p.pack_backgrounds(spark, str(deck / "textures"), str(tmp_path / "b"))
+    p.pack_cards(spark, str(deck / "cards"), str(tmp_path / "c"), extract_hulls=False)
+    p.load_backgrounds(spark, str(tmp_path / "b"))
+    assert len(seen) == 3 and not any("binary" in kind or "struct" in kind for types in seen for kind in types.values())
+
+
+def test_generation_parameters(spark, deck, tmp_path):
+    shards, grounds = str(tmp_path / "cards"), str(tmp_path / "grounds")
+    p.pack_cards(spark, str(deck / "cards"), shards, extract_hulls=False)
+    p.pack_backgrounds(spark, str(deck / "textures"), grounds)
+    still = p.sampling.AugmentRange((0.0, 0.0), (0.5, 0.5), (0.0, 0.0))  # the last card hides all others
+    labels = p.generate(spark, grounds, shards, str(tmp_path / "a"), count=4, n_cards=2, canvas=512, aug=still)
+    assert {r.z for r in labels.collect()} == {1}
+    labels = p.generate(spark, grounds, shards, str(tmp_path / "b"), count=4, n_cards=2, canvas=512, aug=still, hidden=1.0)
+    assert {r.z for r in labels.collect()} == {0, 1}
+
+
+def test_session_guards(spark, monkeypatch):
+    from scenekiln import session
+
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+    assert session.united(spark.range(2), spark.range(3)).count() == 5 and spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: other), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    assert session.shared_dir(unset("local[2]")) == session.shared_dir(unset("local[2]")) and session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir", session.shared_dir(spark))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError):
+            session.shared_dir(unset(master))
+    monkeypatch.setattr(s, "is_local", lambda spark: False)
+    with pytest.raises(ValueError):
+        s.write_files(spark.sql("SELECT 'a' AS file, 'b' AS name, binary('c') AS payload"), "/tmp/x", [])
