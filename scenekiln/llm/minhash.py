@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenekiln.llm.worker import kept
-from scenekiln.session import materialize
+from scenekiln.session import materialize, united
 
 BANDS, ROWS, BITS = 24, 4, 4
 MINIMA = BANDS * ROWS
@@ -327,7 +327,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     last = same(e)
     while last[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = united(e, e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = materialize(met(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -379,7 +379,7 @@ class NearDuplicates:
         more = self._rest(df)
         if more.isEmpty():
             return found
-        return components(links.union(more))
+        return components(united(links, more))
 
     def _rest(self, labelled: DataFrame) -> DataFrame:
         """Links (a, b) between members of different components that are in one bucket; those with hubs are known."""
@@ -409,7 +409,7 @@ class NearDuplicates:
         named = self.texts.select("digest", "rep").join(comp, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
         alone = F.col("n") == 0
         full = self.features.filter(~alone & F.col("doc_id").isNotNull()).select("doc_id", "n", "digest").join(materialize(named, "named").hint("merge"), "digest", "left")
-        out = full.select("doc_id", "n", "component_id").union(self.features.filter(alone | F.col("doc_id").isNull()).select("doc_id", "n", "doc_id"))
+        out = united(full.select("doc_id", "n", "component_id"), self.features.filter(alone | F.col("doc_id").isNull()).select("doc_id", "n", "doc_id"))
         kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
         return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
@@ -423,8 +423,8 @@ class NearDuplicates:
         if again.isEmpty():
             return rest
         named, ids = rest.filter("doc_id IS NOT NULL"), again.filter("doc_id IS NOT NULL")
-        few = limited(named, ids, "doc_id", "left_semi").union(rest.filter("doc_id IS NULL"))
+        few = united(limited(named, ids, "doc_id", "left_semi"), rest.filter("doc_id IS NULL"))
         few = few.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("__id"), _features(self.k)("text").alias("f"))
         # a minimum, not a window: copies are thinned out before they are shuffled
         first = few.filter("f.n > 0").groupBy("__id", "f.digest").agg(F.min("row").alias("row"))
-        return limited(named, ids, "doc_id", "left_anti").union(first.select("row.*")).union(few.filter("f.n = 0").select("row.*"))
+        return united(limited(named, ids, "doc_id", "left_anti"), first.select("row.*"), few.filter("f.n = 0").select("row.*"))

@@ -59,11 +59,14 @@ class Sweep:
     """Sorted rules and the stack of those open at the place the sweep has come to."""
 
     def __init__(self, rules: list[Rule]):
-        by_key: dict[str, list[Rule]] = {}
-        for rule in set(rules):
-            by_key.setdefault(key_of(rule.host), []).append(rule)
+        by_key: dict[str, dict[str, Rule]] = {}
+        for rule in rules:
+            own = by_key.setdefault(key_of(rule.host), {})
+            if rule.path not in own or rule.verdict == "block":
+                own[rule.path] = rule
         self.keys = sorted(by_key)
-        self.rules = [sorted(by_key[k], key=lambda r: (-len(r.text), r.verdict == "allow", r.text)) for k in self.keys]
+        self.rules = [by_key[k] for k in self.keys]
+        self.lengths = [sorted({len(path) for path in own}, reverse=True) for own in self.rules]
         self.next, self.stack, self.at = 0, [], None
 
     def _seek(self, key: str) -> None:
@@ -94,7 +97,8 @@ class Sweep:
         self.at = key
 
     def best(self, path: str) -> Rule | None:
-        fits = [r for i in self.stack for r in self.rules[i] if path.startswith(r.path)]
+        """The longest that fits of each open host's rules, one look-up for each length of path that they have."""
+        fits = [r for i in self.stack if (r := next((r for n in self.lengths[i] if n <= len(path) and (r := self.rules[i].get(path[:n]))), None))]
         return min(fits, key=lambda r: (-len(r.text), -len(r.host), r.verdict == "allow"), default=None)
 
 

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenekiln.session import materialize
+from scenekiln.session import materialize, united
 
 SHARD_ROWS, BLOCK_ROWS = 2048, 512
 #: Bytes of query blocks that are broadcast at once (a single block may exceed them).
@@ -102,4 +101,4 @@ def search(rows: DataFrame, is_query, k: int, build: Build, find: Search, score_
         ranks = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         parts.append(materialize(ranks.select("query_id", "rank", "vec_id", "score"), "vector-best"))
         shared.unpersist()
-    return reduce(DataFrame.union, parts)
+    return united(*parts)
