@@ -12,8 +12,9 @@ distinct words. Which blocks can match is found as in prefix-filtering joins:
 Blocks that pass are compared in full. Base phrases are templates that need all their words; each place where such a
 phrase's words stand consecutively is then looked for in the blocks that match, and counted in the block where it starts.
 
-The templates are a parameter of bounded size, and so stand in the plan as literals: a row is joined where it is, and
-nothing but word counts is shuffled, so hot documents, copies and skewed keys cost no more than others.
+Templates stand in the plan as literals, a bounded number in each pass, and the results of passes are put together: a row
+is joined where it is, and nothing but word counts is shuffled, so hot documents, copies and skewed keys cost no more
+than others.
 
 Rows: a null text is empty, matches nothing and has score 0; a null id, repeated rows and ties stay as they are, each
 row with its own result; an empty table gives an empty table; a text of any length is laid out block by block. Columns
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Templates that stand in a plan at once; more are scanned for in further passes.
 MAX_TEMPLATES = 200
+RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")
 
 
 @dataclass(frozen=True)
@@ -84,16 +87,32 @@ def _any(items: list[Column]) -> Column:
     return F.array_compact(F.array(*items)) if items else F.array()
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def _together(df: DataFrame) -> DataFrame:
+    """`df` with the results of two passes as one; those of the earlier pass are named with two underscores."""
+    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(F.concat(F.split(f"__{c}", ","), F.split(c, ",")), lambda x: x != ""))), ",")
+    both = {"n_words": F.col("n_words"), "n_base": F.col("__n_base") + F.col("n_base"), "matches": F.concat("__matches", "matches")}
+    both |= {c: f(F.col(f"__{c}"), F.col(c)) for c, f in (("first_word", F.least), ("last_word", F.greatest), ("score", F.greatest))}
+    both |= {c: labels(c) for c in ("base_labels", "labels")}
+    return df.withColumns({c: both[c] for c in RESULTS}).drop(*[f"__{c}" for c in RESULTS])
+
+
+def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, threshold: float = THRESHOLD, text_col: str = "text", stride: int | None = None) -> DataFrame:
     """`docs` with n_words, n_base, first_word, last_word, base_labels, labels, score and matches.
 
     `matches` has a row for each block and template that meet: first word, last word + 1, label, containment.
+    `stride`: words of half a block, those of the longest template if not given.
     """
-    if not 0 < len(templates) <= MAX_TEMPLATES:
-        raise ValueError("between one and 200 templates stand in the plan as literals")
+    if not templates:
+        raise ValueError("there is a template at least")
+    stride = stride or max(len(t.words) for t in templates)
+    if len(templates) > MAX_TEMPLATES:
+        out = scan(docs, templates[:MAX_TEMPLATES], threshold, text_col, stride)
+        for at in range(MAX_TEMPLATES, len(templates), MAX_TEMPLATES):
+            earlier = out.withColumnsRenamed({c: f"__{c}" for c in RESULTS})
+            out = _together(scan(earlier, templates[at : at + MAX_TEMPLATES], threshold, text_col, stride))
+        return out
     order = word_order(docs, templates, text_col)
     rank = {w: i for i, w in enumerate(order)}
-    stride = max(len(t.words) for t in templates)
     sized = [(t, sorted(set(t.words), key=rank.__getitem__), t.needed(threshold)) for t in templates]
     prefixes = {w for _, own, needed in sized for w in own[: len(own) - needed + 1]}
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+from scenekiln.llm import license_scan
 from scenekiln.llm.license_scan import BASE, NOTICES, THRESHOLD, scan
 
 
@@ -44,3 +45,13 @@ def test_against_brute_force(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == brute(t), t
         assert all(m.containment >= THRESHOLD - 1e-9 and m.first < m.end for m in r.matches)
     assert len(rows) == len(texts) and scan(docs.limit(0)).count() == 0
+
+
+def test_templates_in_passes(spark, monkeypatch):
+    """More templates than stand in one plan are scanned for in passes, with the results of one."""
+    texts = [None, "MIT License and " + NOTICES[1].text, " ".join(t.text for t in NOTICES), "general public license " * 3 + NOTICES[4].text, "none"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(license_scan, "MAX_TEMPLATES", 5)
+    for r in scan(docs).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == brute(texts[r.doc_id])
+        assert len(r.matches) >= len(set(r.labels.split(",")) - {""})
