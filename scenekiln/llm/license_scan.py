@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD, GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Templates that stand in a plan at once; more are scanned for in further passes.
 MAX_TEMPLATES = 200
 RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")
@@ -71,8 +71,8 @@ THRESHOLD = 0.85
 
 
 def words_of(text: Column) -> Column:
-    """Words of the text with A-Z lower-cased."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Words of the text with A-Z lower-cased: what stands between runs of other characters, which are matched much faster."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
 def word_order(docs: DataFrame, templates: tuple[Template, ...], text_col: str = "text") -> list[str]:
