@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     make.add_argument("--cards-per-scene", type=int, choices=(2, 3), default=2)
     make.add_argument("--canvas-size", type=_least(64), default=720)
     make.add_argument("--seed", type=int)
+    make.add_argument("--draws", choices=("sequence", "hashed"), default="sequence")
     for name, size in (("pack-backgrounds", 1024), ("pack-cards", 512)):
         pack = sub.add_parser(name)
         pack.add_argument("source")
@@ -58,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
         spark = build_session()
         if args.command == "generate":
             seed = settings.seed if args.seed is None else args.seed
-            labels = pipelines.generate(spark, args.backgrounds, args.cards, args.output, args.count, args.cards_per_scene, args.canvas_size, seed)
+            labels = pipelines.generate(spark, args.backgrounds, args.cards, args.output, args.count, args.cards_per_scene, args.canvas_size, seed, draws=args.draws)
             print(f"{args.count} scenes, {labels.count()} labels")
         elif args.command == "pack-backgrounds":
             print(f"{pipelines.pack_backgrounds(spark, args.source, args.output, args.shard_size)} shards")

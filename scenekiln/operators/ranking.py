@@ -56,7 +56,7 @@ def listed(names: DataFrame, column: str) -> DataFrame:
     return names.agg(F.array_join(F.transform(rows, lambda r: F.concat(r[column], F.lit("\n"))), "").alias("text"))
 
 
-def encoded(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
+def encoded(df: DataFrame, names: DataFrame, column: str | list[str]) -> DataFrame:
     """Inner join with a dictionary: unknown names go. Broadcast only if the dictionary is small."""
     few = names.count() <= MAX_DICTIONARY
     return df.join(F.broadcast(names) if few else names, column)

@@ -1,7 +1,8 @@
-"""Reproducible sampling: the driver draws a small plan, Spark joins it.
+"""Reproducible sampling: a plan has a row a card, ids and numbers but no pixels, and Spark joins it.
 
-Draws are in sequence from seeded generators, one each for scenes, backgrounds and cards, so a plan depends on its seed
-alone and never on partitions. A plan has a row a card: ids and numbers, no pixels.
+A plan depends on its seed alone and never on partitions. `scene_plan` draws in sequence on the driver, from a generator
+each for scenes, backgrounds and cards; that bounds its size. `hashed_plan` makes each draw from the seed and the draw's
+own place by a hash, as an expression beside its row, so it has any number of scenes and no row on the driver.
 """
 
 from __future__ import annotations
@@ -9,10 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Scenes that one plan may hold on the driver; longer runs are planned in pieces of their own seeds.
+from scenekiln.operators import ranking
+
+#: Scenes that a plan drawn in sequence may hold on the driver; `hashed_plan` has no such bound.
 MAX_SCENES = 1_000_000
 PLAN = "scene long, z int, background long, class_rank int, entry long, angle double, scale double, tx double, ty double"
 
@@ -54,13 +57,52 @@ def scene_plan(spark: SparkSession, seed: int, scenes: int, n_cards: int, entrie
     return spark.createDataFrame(plan_rows(seed, scenes, n_cards, entries, backgrounds, aug), PLAN)
 
 
+def uniform(seed: int, stream: str, *keys: Column) -> Column:
+    """A number in [0, 1) for each row, from 52 bits of the MD5 of seed, stream and keys."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(stream), *keys))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def _upto(draw: Column, n: Column) -> Column:
+    return F.floor(draw * n).cast("long")
+
+
+def hashed_plan(spark: SparkSession, seed: int, scenes: int, n_cards: int, index: DataFrame, backgrounds: int, aug: AugmentRange | None = None) -> DataFrame:
+    """Rows of PLAN for any number of scenes: classes first, then an entry of the class, as in `plan_rows`.
+
+    The streams have the seed, the seed + 1 (backgrounds) and the seed + 2 (cards). A scene's draws stay the same
+    however many scenes are asked for.
+    """
+    if n_cards not in (2, 3):
+        raise ValueError("a scene has two or three cards")
+    sizes = index.filter("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"))
+    sizes = sizes.select("n", (F.row_number().over(Window.orderBy("name")) - 1).alias("class_rank"))  # one row a class
+    classes = sizes.count()
+    if backgrounds < 1 or not classes:
+        raise ValueError("there are no backgrounds or no cards")
+    ranges, at = aug or AugmentRange(), (F.col("scene"), F.col("z"))
+    cards = spark.range(scenes).select(F.col("id").alias("scene"), F.explode(F.sequence(F.lit(0), F.lit(n_cards - 1))).alias("z"))
+    rank = _upto(uniform(seed + 2, "class", *at), F.lit(classes)).cast("int")
+    drawn = ranking.encoded(cards.withColumn("class_rank", rank), sizes, "class_rank")
+    entry = _upto(uniform(seed + 2, "entry", *at), F.col("n"))
+    background = _upto(uniform(seed + 1, "background", F.col("scene")), F.lit(backgrounds))
+    between = lambda name, r: (F.lit(float(r[0])) + F.lit(float(r[1] - r[0])) * uniform(seed, name, *at)).alias(name)
+    moves = [between(n, r) for n, r in (("angle", ranges.rotation_deg), ("scale", ranges.scale), ("tx", ranges.translate_frac), ("ty", ranges.translate_frac))]
+    return drawn.select("scene", "z", background.alias("background"), "class_rank", entry.alias("entry"), *moves)
+
+
 def numbered_index(index: DataFrame) -> DataFrame:
-    """A class index (name, shard, key) with class_rank and entry, both from 0, as plans count them."""
-    ranks = index.select("name").distinct().withColumn("class_rank", F.row_number().over(Window.orderBy("name")) - 1)
-    entry = F.row_number().over(Window.partitionBy("name").orderBy("shard", "key")) - 1
-    return index.withColumn("entry", entry.cast("long")).join(ranks, "name")
+    """A class index (name, shard, key) with class_rank and entry, both from 0, as plans count them.
+
+    Entries are places in one order of all rows less their class's first, so a class of most rows is numbered in many
+    tasks. Rows without a name go.
+    """
+    rows = ranking.ranked(index.filter("name IS NOT NULL"), [F.col("name"), F.col("shard"), F.col("key")])
+    first = rows.groupBy("name").agg(F.min("index").alias("first"))
+    first = first.withColumn("class_rank", F.row_number().over(Window.orderBy("name")) - 1)  # one row a class
+    return ranking.encoded(rows, first, "name").select(*index.columns, (F.col("index") - F.col("first")).alias("entry"), "class_rank")
 
 
 def drawn_cards(plan: DataFrame, index: DataFrame) -> DataFrame:
     """A plan with the name, shard and key of each card."""
-    return plan.join(numbered_index(index), ["class_rank", "entry"])
+    return ranking.encoded(plan, numbered_index(index), ["class_rank", "entry"])

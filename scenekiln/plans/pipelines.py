@@ -136,16 +136,23 @@ def generate(
     seed: int = 42,
     aug: sampling.AugmentRange | None = None,
     hidden: float = g.MAX_HIDDEN,
+    draws: str = "sequence",
 ) -> DataFrame:
     """Scenes, label files and classes.txt into `out`; returns the labels. Pixels are fetched only where scenes are drawn.
 
-    `aug`: ranges of turn, size and move; `hidden`: how much of a corner may lie under the next card.
+    `aug`: ranges of turn, size and move; `hidden`: how much of a corner may lie under the next card; `draws`: `sequence`
+    (generators in sequence, a million scenes at most) or `hashed` (any number of scenes, other draws).
     """
     if count < 1 or canvas < 64:
         raise ValueError("there is a scene at least, and a canvas of 64 at least")
+    if draws not in ("sequence", "hashed"):
+        raise ValueError("draws are `sequence` or `hashed`")
     index, grounds = load_cards(spark, cards), materialize(load_backgrounds(spark, backgrounds), "backgrounds")
-    sizes = [r.n for r in index.groupBy("name").agg(F.count("*").alias("n")).orderBy("name").collect()]  # one row a class
-    plan = sampling.scene_plan(spark, seed, count, n_cards, sizes, grounds.count(), aug)
+    if draws == "hashed":
+        plan = sampling.hashed_plan(spark, seed, count, n_cards, index, grounds.count(), aug)
+    else:
+        sizes = [r.n for r in index.groupBy("name").agg(F.count("*").alias("n")).orderBy("name").collect()]  # one row a class
+        plan = sampling.scene_plan(spark, seed, count, n_cards, sizes, grounds.count(), aug)
     drawn = sampling.drawn_cards(plan, index)
     loaded = m.load_samples(drawn.select("name", "shard", "key").distinct(), s.read_images(spark, cards, tuple(ROLES[2:])), ROLES[1:])
     full = materialize(drawn.join(loaded.select("shard", "key", F.col("png"), F.col("`hull_hl.npy`").alias("hl"), F.col("`hull_lr.npy`").alias("lr")), ["shard", "key"]), "drawn")

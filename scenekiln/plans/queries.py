@@ -13,8 +13,8 @@ from scenekiln.functions.hull import convex_hull
 from scenekiln.operators import members as m
 from scenekiln.operators import ranking, sampling, scenes
 from scenekiln.plans import shapes
-from scenekiln.plans.sql import NAMES, PLACED, SHARED, scenes_sql, shoelace, with_shapes
-from scenekiln.session import table, united
+from scenekiln.plans.sql import LABELS, NAMES, PLACED, SHARED, scenes_sql, shoelace, with_shapes
+from scenekiln.session import materialize, table, united
 from scenekiln.sources.shards import distinct_names
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -520,3 +520,44 @@ def planned_labels(spark, sf_dir):
     cards = scene_plan(spark, sf_dir).withColumnRenamed("name", "class")
     return _rounded(scenes.corner_labels(scenes.placed(cards)).select("scene", "z", "corner", "class", "box.*", "yolo.*"))
 
+
+
+#: Scenes, cards a scene and backgrounds of the hashed plan, and its seed.
+PLAN_SCENES, PLAN_CARDS, PLAN_GROUNDS, PLAN_SEED = 10_000, 3, 64, 42
+
+
+def _draw(seed: int, stream: str, *keys: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join([str(seed), repr(stream), *keys])})), 1, 13))::BIGINT::DOUBLE / 4503599627370496"
+
+
+def _moved(stream: str, low: float, high: float) -> str:
+    return f"{low!r}::DOUBLE + {high - low!r}::DOUBLE * ({_draw(PLAN_SEED, stream, 'scene', 'z')}) AS {stream}"
+
+
+_AUG = sampling.AugmentRange()
+PLANNED = f"""deck AS (SELECT p_brand AS name, count(*) AS n, row_number() OVER (ORDER BY p_brand) - 1 AS class_rank FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand),
+entries AS (SELECT p_brand AS name, p_size AS shard, printf('%08d', p_partkey) AS key, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, printf('%08d', p_partkey)) - 1 AS entry FROM part),
+asked AS (SELECT scene, z, floor(({_draw(PLAN_SEED + 2, 'class', 'scene', 'z')}) * (SELECT count(*) FROM deck))::INTEGER AS class_rank FROM range({PLAN_SCENES}) s(scene), range({PLAN_CARDS}) c(z)),
+planned AS (
+  SELECT scene, z::INTEGER AS z, floor(({_draw(PLAN_SEED + 1, 'background', 'scene')}) * {PLAN_GROUNDS})::BIGINT AS background, e.name, e.shard, e.key,
+    {_moved('angle', *_AUG.rotation_deg)}, {_moved('scale', *_AUG.scale)}, {_moved('tx', *_AUG.translate_frac)}, {_moved('ty', *_AUG.translate_frac)}
+  FROM asked JOIN deck d USING (class_rank) JOIN entries e ON e.name = d.name AND e.entry = floor(({_draw(PLAN_SEED + 2, 'entry', 'scene', 'z')}) * d.n)::BIGINT)"""
+PLAN_LABELS = ",\n".join([PLANNED, "placements AS (SELECT scene, z, name AS class, angle, scale, tx, ty FROM planned)", PLACED, SHARED, LABELS])
+
+
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = materialize(m.class_index(shapes.part_members(spark, sf_dir)), "class-index")
+    return sampling.drawn_cards(sampling.hashed_plan(spark, PLAN_SEED, PLAN_SCENES, PLAN_CARDS, index, PLAN_GROUNDS), index)
+
+
+@query(f"WITH {PLANNED} SELECT * FROM planned")
+def hashed_plan(spark, sf_dir):
+    """Ten thousand scenes of three cards, each draw a hash of its place: no row of the plan is on the driver."""
+    return _hashed(spark, sf_dir).select("scene", "z", "background", "name", "shard", "key", "angle", "scale", "tx", "ty")
+
+
+@query(f"WITH {PLAN_LABELS} SELECT scene, z, corner, class, xmin, ymin, xmax, ymax, {SIX} FROM labels")
+def hashed_labels(spark, sf_dir):
+    """Labels of the scenes of `hashed_plan`."""
+    cards = _hashed(spark, sf_dir).withColumnRenamed("name", "class")
+    return _rounded(scenes.corner_labels(scenes.placed(cards)).select("scene", "z", "corner", "class", "box.*", "yolo.*"))

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -258,3 +259,31 @@ def test_plan_and_its_labels_against_plain_python_and_sql(spark, duck):
     parts = [given, sql.PLACED, sql.SHARED, sql.LABELS]
     want = duck.execute("WITH " + ",\n".join(parts) + " SELECT scene, z, corner, class, xmin, ymin, xmax, ymax, round(cx, 6), round(cy, 6), round(w, 6), round(h, 6) FROM labels").fetchall()
     assert sorted(map(tuple, QUERIES["planned_labels"](spark, SF).collect())) == sorted(want) and len(want) > 300
+
+
+def test_hashed_plan_against_plain_python(spark):
+    index = spark.createDataFrame([("b", 0, "x"), ("a", 1, "k1"), ("a", 0, "k2"), ("a", 0, "k2"), (None, 0, "n")], "name string, shard int, key string")
+    entries = [[(0, "k2"), (0, "k2"), (1, "k1")], [(0, "x")]]  # by rank of the class
+    u = lambda *parts: int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
+    want = []
+    for scene in range(40):
+        for z in range(2):
+            rank = int(u(9, "class", scene, z) * 2)
+            shard, key = entries[rank][int(u(9, "entry", scene, z) * len(entries[rank]))]
+            moves = [low + (high - low) * u(7, name, scene, z) for name, low, high in (("angle", -30.0, 30.0), ("scale", 0.5, 0.8), ("tx", -0.15, 0.15), ("ty", -0.15, 0.15))]
+            want.append((scene, z, int(u(8, "background", scene) * 5), "ab"[rank], shard, key, *moves))
+    plan = lambda n: sorted(map(tuple, sampling.drawn_cards(sampling.hashed_plan(spark, 7, n, 2, index, 5), index).select("scene", "z", "background", "name", "shard", "key", "angle", "scale", "tx", "ty").collect()))
+    assert plan(40) == want and plan(10) == want[:20]
+    assert sampling.hashed_plan(spark, 7, 3_000_000, 2, index, 5).count() == 6_000_000  # more than a driver's plan may hold
+    for bad in ((4, index, 1), (2, index.limit(0), 1), (2, index, 0)):
+        with pytest.raises(ValueError):
+            sampling.hashed_plan(spark, 1, 1, *bad)
+
+
+def test_index_numbers_against_plain_python(spark):
+    """A class in most rows, ties and a missing name."""
+    rows = [("hot", i % 7, f"{i % 50:03d}") for i in range(300)] + [("cold", 1, "x"), (None, 1, "y"), ("", 2, "z")]
+    got = sampling.numbered_index(spark.createDataFrame(rows, "name string, shard int, key string").repartition(5)).collect()
+    want = [(name, s, k, at, rank) for rank, name in enumerate(["", "cold", "hot"]) for at, (s, k) in enumerate(sorted(r[1:] for r in rows if r[0] == name))]
+    assert sorted((r.name, r.shard, r.key, r.entry, r.class_rank) for r in got) == sorted(want)
+    assert sampling.numbered_index(spark.createDataFrame([], "name string, shard int, key string")).count() == 0

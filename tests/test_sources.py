@@ -237,6 +237,11 @@ def test_generation_parameters(spark, deck, tmp_path):
     assert {r.z for r in labels.collect()} == {1}
     labels = p.generate(spark, grounds, shards, str(tmp_path / "b"), count=4, n_cards=2, canvas=512, aug=still, hidden=1.0)
     assert {r.z for r in labels.collect()} == {0, 1}
+    for into in ("c", "d"):  # hashed draws, twice the same
+        labels = p.generate(spark, grounds, shards, str(tmp_path / into), count=4, n_cards=3, canvas=256, draws="hashed")
+    assert labels.count() and (tmp_path / "c/scene_000003.png").read_bytes() == (tmp_path / "d/scene_000003.png").read_bytes()
+    with pytest.raises(ValueError):
+        p.generate(spark, grounds, shards, str(tmp_path / "e"), draws="dice")
 
 
 def test_session_guards(spark, monkeypatch):
