@@ -6,6 +6,9 @@ import numpy as np
 
 from scenekiln.functions.geometry import CARD_HEIGHT, CARD_WIDTH, placement_offset
 
+#: Shares of blue, green and red in luma, in 32768ths.
+LUMA = np.array([3735, 19235, 9798])
+
 
 def from_image(row) -> np.ndarray:
     """Spark's image struct as an array."""
@@ -28,8 +31,8 @@ def to_bgra(image: np.ndarray) -> np.ndarray:
 
 
 def to_gray(image: np.ndarray) -> np.ndarray:
-    """Luma of 0.114 B + 0.587 G + 0.299 R, rounded."""
-    return image if image.ndim == 2 else np.rint(image[:, :, :3] @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
+    """Luma of 0.114 B + 0.587 G + 0.299 R, rounded; in integers, as no rounding of floats then decides a tie."""
+    return image if image.ndim == 2 else ((image[:, :, :3] @ LUMA + (1 << 14)) >> 15).astype(np.uint8)
 
 
 def variance_of_laplacian(image: np.ndarray) -> float:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,31 +10,16 @@ from scenekiln.functions import text as t
 from scenekiln.functions.hull import convex_hull
 from scenekiln.operators import members as m
 from scenekiln.operators import ranking, sampling, scenes
-from scenekiln.plans import shapes
+from scenekiln.plans import rasters, shapes  # rasters registers queries of its own
+from scenekiln.plans.registry import ORACLE_SQL, QUERIES, query
 from scenekiln.plans.sql import LABELS, NAMES, PLACED, SHARED, scenes_sql, shoelace, with_shapes
 from scenekiln.session import materialize, table, united
 from scenekiln.sources.shards import distinct_names
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 #: Ranks and suits of the deck.
 RANKS, SUITS = ("A", "K", "Q", "J", "10", "9", "8", "7"), ("h", "d", "c", "s")
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.corner_labels(scenes.placed(shapes.placements(spark, sf_dir)))
 
@@ -561,3 +544,6 @@ def hashed_labels(spark, sf_dir):
     """Labels of the scenes of `hashed_plan`."""
     cards = _hashed(spark, sf_dir).withColumnRenamed("name", "class")
     return _rounded(scenes.corner_labels(scenes.placed(cards)).select("scene", "z", "corner", "class", "box.*", "yolo.*"))
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "rasters"]

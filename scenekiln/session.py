@@ -59,7 +59,16 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in _FOLDERS:
             _FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="scenekiln-")
         return _FOLDERS[app]
-    return folder
+    return qualified(spark, folder)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """`folder` with the scheme that Spark's readers would take for it, as writers outside the JVM need one."""
+    if "://" in folder:
+        return folder
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and "://" not in whole else whole
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
