@@ -5,7 +5,6 @@ The kernels are numpy functions in Arrow batches; the SQL beside each query stat
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from scenekiln.functions.text import padded
 from scenekiln.plans import shapes
 from scenekiln.plans.registry import query
 from scenekiln.plans.sql import with_shapes
-from scenekiln.session import shared_dir, table
+from scenekiln.session import shared_path, table
 from scenekiln.sources import png
 from scenekiln.sources import shards as s
 
@@ -137,7 +136,7 @@ def feather_rows(spark, sf_dir):
 @query(f"WITH {with_shapes('part_members')} SELECT printf('parts-%04d.tar', shard) AS shard, row_number() OVER (PARTITION BY shard ORDER BY ord) - 1 AS ord, key, ext, payload FROM part_members")
 def shard_roundtrip(spark, sf_dir):
     """Members written to tar shards and read again, each in its place."""
-    folder = f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "shards")
     df = shapes.part_members(spark, sf_dir)
     file, name = F.concat(F.lit("parts-"), padded(F.col("shard"), 4), F.lit(".tar")), F.concat_ws(".", "key", "ext")
     s.write_files(df.select(file.alias("file"), name.alias("name"), F.col("payload").cast("binary").alias("payload"), "ord"), folder, ["ord"])
@@ -147,7 +146,7 @@ def shard_roundtrip(spark, sf_dir):
 @query("SELECT p_size AS scene, string_agg(p_name || chr(10), '' ORDER BY p_partkey) AS text FROM part GROUP BY p_size")
 def files_roundtrip(spark, sf_dir):
     """Text files written one a scene and read again."""
-    folder = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "files")
     lines = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
     texts = table(spark, sf_dir, "part").groupBy("p_size").agg(F.array_join(F.transform(lines, lambda r: F.concat(r["p_name"], F.lit("\n"))), "").alias("text"))
     file = F.concat(F.lit("scene_"), padded(F.col("p_size"), 6), F.lit(".txt"))

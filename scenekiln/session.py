@@ -59,11 +59,12 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in _FOLDERS:
             _FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="scenekiln-")
         return _FOLDERS[app]
-    return qualified(spark, folder)
+    return folder
 
 
-def qualified(spark: SparkSession, folder: str) -> str:
-    """`folder` with the scheme that Spark's readers would take for it, as writers outside the JVM need one."""
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, with the scheme that Spark would take for it, as writers outside the JVM need one."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if "://" in folder:
         return folder
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import io
 import tarfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from scenekiln.functions import pixels
 from scenekiln.functions.text import READ, is_image, stripped
-from scenekiln.session import is_local, shared_dir, united
+from scenekiln.session import is_local, shared_path, united
 from scenekiln.sources import png
 
 MEMBERS = "shard string, ord long, key string, ext string, payload binary"
@@ -72,7 +71,7 @@ def read_images(spark: SparkSession, folder: str, exts: tuple[str, ...] = ()) ->
     jpeg = read_members(spark, folder, ["jpg", "jpeg"]).withColumn("file", file)
     if jpeg.isEmpty():
         return plain
-    files = f"{shared_dir(spark).rstrip('/')}/jpeg-{uuid.uuid4().hex}"
+    files = shared_path(spark, "jpeg")
     write_files(jpeg.select("file", F.lit(None).cast("string").alias("name"), "payload"), files, [])
     image = spark.read.format("image").load(files).filter("image.height > 0").select(F.substring_index("image.origin", "/", -1).alias("file"), "image")
 

@@ -254,6 +254,7 @@ def test_session_guards(spark, monkeypatch):
     for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
         with pytest.raises(RuntimeError):
             session.shared_dir(unset(master))
+    assert session.shared_path(spark, "x").startswith("file:///") and session.shared_path(spark, "x") != session.shared_path(spark, "x")
     monkeypatch.setattr(s, "is_local", lambda spark: False)
     with pytest.raises(ValueError):
         s.write_files(spark.sql("SELECT 'a' AS file, 'b' AS name, binary('c') AS payload"), "/tmp/x", [])
