@@ -1,5 +1,7 @@
 import random
 import unicodedata
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -60,3 +62,35 @@ def test_named_results_leave_columns_alone(spark):
     docs = spark.createDataFrame([(1, "the house", "en", "mine", 7), (2, "", "en", "mine", 8)], "doc_id long, text string, lang string, lang_pred string, score int")
     out = langid.identify(docs, langid.learn(docs, F.lit(True)), pred_col="__p", score_col="__s").collect()
     assert [(r.lang_pred, r.score) for r in out] == [("mine", 7), ("mine", 8)] and [r["__p"] for r in out] == ["en", "und"]
+
+
+def test_query_against_exact_sets(spark):
+    """The registered query on a whole table, against sets of n-grams in plain Python instead of Bloom filters."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    grams = lambda t: np.concatenate([h for h, _ in langid._grams(langid._points(t or ""))] or [np.empty(0, np.uint64)]).view(np.int64).tolist()
+    out_of = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    texts = {}
+    for r in docs:
+        if r.text is not None and r.lang is not None and not out_of(r.doc_id):
+            texts.setdefault(r.lang, set()).add(r.text)
+    assert texts and max(map(len, texts.values())) <= langid.SAMPLE  # nothing is drawn here, all is learned
+    profiles = {}
+    for lang, some in texts.items():
+        counts = Counter(g for text in some for g in set(grams(text)))
+        profiles[lang] = set(sorted(counts, key=lambda g: (-counts[g], g))[: langid.PROFILE])
+    got = {r.doc_id: r for r in op8_langid(spark, sf).collect()}
+    assert len(got) == len(docs)
+    clear = 0
+    for r in docs:
+        own, row = grams(r.text), got[r.doc_id]
+        assert row.held_out == out_of(r.doc_id)
+        if not own:
+            assert (row.lang_pred, row.score) == ("und", 0)
+            continue
+        shares = sorted(((sum(g in p for g in own) / len(own), lang) for lang, p in profiles.items()), reverse=True)
+        assert abs(row.score - shares[0][0]) < 0.05
+        if shares[0][0] - shares[1][0] > 0.05:
+            clear += 1
+            assert row.lang_pred == shares[0][1]
+    assert clear > 0.9 * len(docs)
