@@ -1,4 +1,8 @@
-"""PNG and npy payloads without an image library: 8-bit gray, BGR and BGRA arrays, and arrays of points."""
+"""PNG and npy payloads without an image library: gray, BGR and BGRA arrays of 8 bits, and arrays of points.
+
+All PNG of the format are read: any depth, palettes, transparency of palettes, interlaced or not. Samples of fewer bits are
+spread over 0 to 255; of 16-bit samples the high byte is kept.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +13,11 @@ import zlib
 import numpy as np
 
 _MAGIC = b"\x89PNG\r\n\x1a\n"
-#: Colour type of the format: its number of channels.
+#: Colour type of the format, with its number of channels and its depths.
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+_DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+#: First column and row, and steps between columns and rows, of each pass of an interlaced image.
+_PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -59,11 +66,35 @@ def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
     return out
 
 
+def _samples(rows: np.ndarray, width: int, n: int, depth: int) -> np.ndarray:
+    """Plain rows of bytes to (rows, width, n) samples of one byte."""
+    if depth == 16:
+        rows = rows[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(rows, axis=1)[:, : width * n * depth]
+        rows = bits.reshape(len(rows), -1, depth) @ (1 << np.arange(depth)[::-1])
+    return rows.reshape(len(rows), width, n).astype(np.uint8)
+
+
+def _pixels(data: bytes, width: int, height: int, n: int, depth: int, interlaced: bool) -> np.ndarray:
+    """(height, width, n) samples of the inflated data."""
+    out, at = np.zeros((height, width, n), np.uint8), 0
+    for x, y, dx, dy in _PASSES if interlaced else [(0, 0, 1, 1)]:
+        part = out[y::dy, x::dx]
+        if not part.size:
+            continue
+        line = 1 + (part.shape[1] * n * depth + 7) // 8
+        raw = np.frombuffer(data, np.uint8, line * part.shape[0], at).reshape(part.shape[0], line)
+        out[y::dy, x::dx] = _samples(_unfiltered(raw, max(1, n * depth // 8)), part.shape[1], n, depth)
+        at += raw.size
+    return out
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """Gray (H, W), BGR or BGRA. Anything but an 8-bit image without interlace is an error."""
+    """Gray (H, W), BGR or BGRA of 8 bits. What is no whole PNG is a ValueError."""
     if data[:8] != _MAGIC:
         raise ValueError("not a PNG")
-    at, body, palette, alpha, head = 8, b"", None, b"", None
+    at, body, palette, alpha, head = 8, [], None, b"", None
     while at + 8 <= len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
         own = data[at + 8 : at + 8 + size]
@@ -75,21 +106,28 @@ def decode_png(data: bytes) -> np.ndarray:
         elif kind == b"tRNS":
             alpha = own
         elif kind == b"IDAT":
-            body += own
+            body.append(own)
         elif kind == b"IEND":
             break
-    if head is None or head[2] != 8 or head[6] != 0 or head[3] not in _CHANNELS:
-        raise ValueError("only 8-bit images without interlace are read")
-    width, height, _, kind = head[:4]
+    if head is None or head[2] not in _DEPTHS.get(head[3], ()) or head[6] > 1 or (head[3] == 3 and palette is None):
+        raise ValueError("no PNG that the format knows")
+    width, height, depth, kind = head[:4]
     n = _CHANNELS[kind]
-    rows = _unfiltered(np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * n), n).reshape(height, width, n)
+    try:
+        rows = _pixels(zlib.decompress(b"".join(body)), width, height, n, depth, head[6] == 1)
+    except zlib.error as error:
+        raise ValueError("the image data of a PNG is broken") from error
     if kind == 3:
         colours = palette[:, ::-1]
         if alpha:
             full = np.full(len(palette), 255, np.uint8)
             full[: len(alpha)] = np.frombuffer(alpha, np.uint8)
             colours = np.hstack([colours, full[:, None]])
+        if rows.size and rows.max() >= len(colours):
+            raise ValueError("a pixel names a colour that the palette lacks")
         return colours[rows[:, :, 0]]
+    if depth < 8:
+        rows = rows * np.uint8(255 // ((1 << depth) - 1))
     if n == 1:
         return rows[:, :, 0]
     if n == 2:

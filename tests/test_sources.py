@@ -53,6 +53,47 @@ def test_png_and_npy():
         assert png.decode_npy(png.encode_npy(np.array([[1, 2]], kind))).dtype == np.int64
 
 
+def written(kind, depth, width, height, interlaced, seed):
+    """A PNG of random samples, by the format's own words, with filters that change from row to row."""
+    rng, n = np.random.default_rng(seed), png._CHANNELS[kind]
+    data = b""
+    for x, y, dx, dy in png._PASSES if interlaced else [(0, 0, 1, 1)]:
+        w, h = -(-(width - x) // dx) if width > x else 0, -(-(height - y) // dy) if height > y else 0
+        for row in range(h if w else 0):
+            data += bytes([row % 5]) + rng.integers(0, 256, (w * n * depth + 7) // 8, dtype=np.uint8).tobytes()
+    palette = png._chunk(b"PLTE", rng.integers(0, 256, 3 << depth, dtype=np.uint8).tobytes()) if kind == 3 else b""
+    head = png.struct.pack(">IIBBBBB", width, height, depth, kind, 0, 0, int(interlaced))
+    return png._MAGIC + png._chunk(b"IHDR", head) + palette + png._chunk(b"IDAT", png.zlib.compress(data)) + png._chunk(b"IEND", b"")
+
+
+def test_every_kind_of_png_against_the_jvm(spark):
+    """Read as the JVM's own decoder reads it: blue, green, red and alpha of every pixel."""
+    jvm, seen = spark.sparkContext._jvm, 0
+    for kind, depths in png._DEPTHS.items():
+        for depth in depths:
+            for interlaced, (width, height) in ((False, (13, 6)), (True, (13, 6)), (True, (1, 1)), (True, (3, 9))):
+                data = written(kind, depth, width, height, interlaced, kind * 100 + depth)
+                own = png.decode_png(data)
+                image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+                raster, model = image.getRaster(), image.getColorModel()
+                for y in range(height):
+                    for x in range(width):
+                        if kind in (0, 4):  # gray is read as it is stored: getRGB would turn it by a gamma
+                            want = raster.getSample(x, y, 0) * 255 // ((1 << depth) - 1) if depth < 8 else raster.getSample(x, y, 0) >> (depth - 8)
+                            assert own[y, x].tolist() == (want if kind == 0 else [want] * 3 + [raster.getSample(x, y, 1) >> (depth - 8)])
+                        elif depth == 16:
+                            some = [raster.getSample(x, y, c) >> 8 for c in range(4 if kind == 6 else 3)]
+                            assert own[y, x].tolist() == some[2::-1] + some[3:]
+                        else:
+                            rgb = image.getRGB(x, y) & 0xFFFFFFFF
+                            assert own[y, x].tolist() == [rgb & 255, rgb >> 8 & 255, rgb >> 16 & 255, rgb >> 24][: own.shape[2]], (kind, depth, model)
+                        seen += 1
+    assert seen > 2000
+    for broken in (written(0, 8, 5, 5, False, 1)[:-30], written(0, 3, 5, 5, False, 1), written(3, 16, 5, 5, False, 1)):
+        with pytest.raises(ValueError):
+            png.decode_png(broken)
+
+
 def test_backgrounds_keep_gaps(spark, deck, tmp_path):
     out = str(tmp_path / "shards")
     assert p.pack_backgrounds(spark, str(deck / "textures"), out, shard_size=2) == 3
