@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from scenekiln.llm import sharding
 from scenekiln.llm.bpe import BpeOperator
 from scenekiln.llm.chat import Template, digest_chats, format_chats
+from scenekiln.llm.decontam import decontaminate
+from scenekiln.llm.filter_audit import audit
 from scenekiln.llm.langid import held_out, identify, learn
 from scenekiln.llm.license_scan import BASE, LOWER, NOTICES, THRESHOLD, UPPER, WORD, scan
 from scenekiln.llm.minhash import NearDuplicates
 from scenekiln.llm.mixing import Mix
 from scenekiln.llm.mtree import top_products
 from scenekiln.llm.url_filter import Rule, filter_urls
+from scenekiln.llm.vector_codes import compress, with_label_error
 from scenekiln.llm.vptree import nearest_neighbours
 from scenekiln.session import shared_dir, table
 
@@ -193,6 +196,93 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.digest(bpe.ids("text")).alias("d")).select("doc_id", "d.*")
 
 
+def op11_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a phrase of the benchmark, and the items whose phrases occur."""
+    out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return out.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    )
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS g FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size)),
+found AS (SELECT r, i, grams.size, item_id FROM grams JOIN windows ON grams.size = windows.size AND grams.g = windows.g),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS place FROM found) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM found GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from each part, at each step of each order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")).filter("part IS NOT NULL")
+
+
+OP12_SQL = r"""
+WITH words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'),
+    coalesce(words.doc_id > min(words.doc_id) OVER (PARTITION BY t), false)] AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM words LEFT JOIN marks ON words.doc_id = marks.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest(range(1, 6)) AS n),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS o, [a.n, b.n, c.n, d.n, e.n] AS f FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.n, b.n, c.n, d.n, e.n])) = 5),
+kinds AS (SELECT part, fails, good, toxic, count(*) AS n FROM judged GROUP BY ALL),
+runs AS (SELECT part, o, f, fails, good, toxic, n, coalesce(list_position([fails[x] FOR x IN f], true), 6) AS gone FROM kinds, orders),
+counted AS (
+  SELECT part, o AS filter_order, step::INTEGER AS step, f[step] AS filter, sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails[f[step]] AND gone < step THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails[f[step]] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN gone = step AND good = 1 THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN gone = step AND toxic = 1 THEN n ELSE 0 END) AS toxic_lost
+  FROM runs, (SELECT unnest(range(1, 6)) AS step) GROUP BY part, o, step, f[step])
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM counted
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, by the codebooks after four rounds."""
+    codes, _ = compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return with_label_error(codes).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op13_sql(rounds: int = 4) -> str:
+    far = lambda c: f"list_inner_product({c}, {c}) - 2 * list_inner_product({c}, p.v)"
+    rounds_sql = "".join(
+        f"""near{k} AS (SELECT p.vec_id, p.part, arg_min(e.entry, ({far('e.v')}, e.entry)) AS entry FROM parts p JOIN book{k} e ON p.part = e.part GROUP BY p.vec_id, p.part),
+mean{k} AS (
+  SELECT part, entry, list(m ORDER BY i) AS v FROM (
+    SELECT part, entry, i, floor(sum(x)::DOUBLE / count(*)) AS m
+    FROM (SELECT n.part, n.entry, unnest(p.v) AS x, unnest(range(0, len(p.v))) AS i FROM near{k} n JOIN parts p ON n.vec_id = p.vec_id AND n.part = p.part) GROUP BY part, entry, i) GROUP BY part, entry),
+book{k + 1} AS (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN mean{k} m ON b.part = m.part AND b.entry = m.entry),
+"""
+        for k in range(rounds)
+    )
+    return f"""
+WITH clean AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS v FROM clean, (SELECT unnest(range(0, 4)) AS part)),
+book0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM parts WHERE vec_id IN (SELECT vec_id FROM clean ORDER BY vec_id LIMIT 256)),
+{rounds_sql}last AS (
+  SELECT p.vec_id, p.label, p.part, arg_min(e.entry, ({far('e.v')}, e.entry)) AS entry, min({far('e.v')}) + any_value(list_inner_product(p.v, p.v)) AS d
+  FROM parts p JOIN book{rounds} e ON p.part = e.part GROUP BY p.vec_id, p.label, p.part),
+codes AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM last GROUP BY vec_id, label),
+sha AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS s FROM (SELECT part, entry, unnest(v) AS x, unnest(range(0, len(v))) AS i FROM book{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256 FROM codes, sha
+"""
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
@@ -205,6 +295,9 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_minhash": op9_minhash,
     "op10_bpe": op10_bpe,
+    "op11_decontam": op11_decontam,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -213,4 +306,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_topk": OP6_SQL,
     "op7_chat": _op7_sql(),
     "op9_minhash": OP9_SQL,
+    "op11_decontam": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_vector_codes": _op13_sql(),
 }
