@@ -1,6 +1,7 @@
 """What both vector searches share: clean vectors dealt to shards, packed query blocks, and the merge of shard results.
 
-Vectors are dealt to shards of a bounded size by a hash of their id; each shard becomes one row with its index. The
+Rows that repeat an id are merged first, so an id in most rows is one row; vectors are then dealt to shards of a bounded
+size by a hash of their id; each shard becomes one row with its index. The
 queries are packed into blocks of a bounded number of rows, and blocks are broadcast in groups of bounded bytes, one
 group after the other, to the tasks that read the indexes: a stated query set against all rows, in blocks, for which
 neither blocks nor indexes are copied through a shuffle. A task holds one group of blocks and one shard at a time.
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenekiln.llm.minhash import limited
 from scenekiln.session import materialize, united
 
 SHARD_ROWS, BLOCK_ROWS = 2048, 512
@@ -32,6 +34,18 @@ def usable(df: DataFrame, id_col: str, vector_col: str, zero_ok: bool) -> DataFr
     return df if zero_ok else df.filter(F.exists("v", lambda x: x != 0))
 
 
+def distinct_ids(rows: DataFrame) -> DataFrame:
+    """Of rows with one id, the smallest vector of each dimension, so that no shard gets more than its share of an id.
+
+    Repeated ids are found by ids alone; only their rows are merged, within each task before they are shuffled.
+    """
+    again = materialize(rows.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id"), "repeated-ids")
+    if again.isEmpty():
+        return rows
+    few = limited(rows, again, "id", "left_semi").groupBy("id", F.size("v")).agg(F.min("v").alias("v"))
+    return united(limited(rows, again, "id", "left_anti").select("id", "v"), few.select("id", "v"))
+
+
 def by_dimension(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and matrix for each dimension; of rows with equal ids the one with the smallest vector stays."""
     if len(pdf) == 0:
@@ -57,6 +71,7 @@ def search(rows: DataFrame, is_query, k: int, build: Build, find: Search, score_
     (query ids, ids, scores) of at least the k best of the shard for each query, the query's own id left out. `prepare`
     turns a matrix of the given components into the one that is indexed and asked.
     """
+    rows = distinct_ids(rows)
     n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))

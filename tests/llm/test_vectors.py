@@ -100,6 +100,26 @@ def test_recall_on_whole_table(spark):
     assert hits / total >= 0.95
 
 
+def test_one_id_in_a_third_of_the_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(2000)] + [(50, [rng.gauss(0, 1) for _ in range(rng.choice([4, 4, 4, 3]))]) for _ in range(1000)]
+    rng.shuffle(rows)
+    df = frame(spark, rows).repartition(5)
+    least = {}
+    for i, v in sorted(rows):
+        least.setdefault((i, len(v)), v)
+    want = [(i, v) for (i, _), v in least.items()]
+    assert sorted(map(repr, ((r.id, list(r.v)) for r in vectors.distinct_ids(vectors.usable(df, "vec_id", "embedding", True)).collect()))) == sorted(map(repr, want))
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 100)
+    dealt = vectors.distinct_ids(vectors.usable(df, "vec_id", "embedding", True))
+    shards = -(-dealt.count() // 100)
+    most = dealt.groupBy(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("s")).count().agg(F.max("count")).first()[0]
+    assert most <= 1.5 * 100
+    got = listed(top_products(df, F.col("id") % 50 == 0))
+    same = listed(top_products(frame(spark, want), F.col("id") % 50 == 0))
+    assert got == same and len(got) == 40
+
+
 def test_tree_leaves_work_out():
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 6)) * 8
