@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scenekiln.llm.worker import kept
 from scenekiln.session import materialize, united
@@ -317,6 +318,15 @@ def limited(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, on, how)
 
 
+def ordered(kind: T.DataType) -> bool:
+    """Whether values of the type have an order."""
+    if isinstance(kind, T.ArrayType):
+        return ordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(ordered(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of the edges (a, b) but those that are their component's smallest.
 
@@ -424,7 +434,10 @@ class NearDuplicates:
             return rest
         named, ids = rest.filter("doc_id IS NOT NULL"), again.filter("doc_id IS NOT NULL")
         few = united(limited(named, ids, "doc_id", "left_semi"), rest.filter("doc_id IS NULL"))
-        few = few.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("__id"), _features(self.k)("text").alias("f"))
+        # columns of any type and name: the row is carried; its order is that of its columns, or of their text where they have none
+        quoted = [F.col(f"`{c}`") for c in docs.columns]
+        told = F.sha2(F.concat(*[F.coalesce(F.concat(F.lit("="), c.cast("string"), F.lit("\0")), F.lit("\0")) for c in quoted]), 256)
+        few = few.select(F.struct(*quoted).alias("row"), F.struct(*[c.alias(f"c{i}") for i, (c, f) in enumerate(zip(quoted, docs.schema)) if ordered(f.dataType)], told.alias("told")).alias("at"), F.col("doc_id").alias("__id"), _features(self.k)("text").alias("f"))
         # a minimum, not a window: copies are thinned out before they are shuffled
-        first = few.filter("f.n > 0").groupBy("__id", "f.digest").agg(F.min("row").alias("row"))
+        first = few.filter("f.n > 0").groupBy("__id", "f.digest").agg(F.min_by("row", "at").alias("row"))
         return united(limited(named, ids, "doc_id", "left_anti"), first.select("row.*"), few.filter("f.n = 0").select("row.*"))

@@ -140,3 +140,18 @@ def test_large_bucket_with_few_outsiders(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 9)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in NearDuplicates(docs, k=4).result().collect()} == brute(rows, 4)
+
+
+def test_kept_rows_of_any_columns(spark):
+    """Repeated ids with maps, dotted and clashing names, nulls."""
+    text = "one two three four five six seven"
+    rows = [(1, text, {"a": 1}, [1.0], b"x", None), (1, text, {"b": 2}, None, None, "u"), (1, text, None, [2.0], b"", "v"), (1, "others " + text, {}, [], b"y", "w"), (2, text, {}, [], b"y", "w"), (None, text, {"c": 3}, [], b"z", "w"), (None, text, {"c": 4}, [], b"z", "w"), (3, "", {"d": 1}, [], b"", ""), (3, "", {"d": 1}, [], b"", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, `a.b` array<double>, row binary, told string")
+    for parts in (1, 4):
+        out = NearDuplicates(docs.repartition(parts).select("doc_id", "text"), k=5).kept(docs.repartition(parts))
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert sorted(map(repr, ((r.doc_id, r.text) for r in found))) == sorted(map(repr, [(1, text), (1, "others " + text), (None, text), (3, ""), (3, "")]))
+        assert all((r.doc_id, r.text, r.m, r["a.b"], bytes(r["row"]) if r["row"] is not None else None, r.told) in rows for r in found)
+        first = first if parts == 4 else sorted(map(repr, found))
+    assert sorted(map(repr, found)) == first
