@@ -9,7 +9,7 @@ stages are tested against brute force.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenekiln.llm.bpe import BpeOperator
@@ -18,18 +18,23 @@ from scenekiln.llm.minhash import NearDuplicates
 from scenekiln.llm.mixing import Mix
 from scenekiln.session import materialize, table
 
-#: A document of which less than this share of n-grams belongs to any learned language is rejected.
-LEAST_KNOWN = 0.2
-#: Texts with fewer letters have too few n-grams for such a share; one that is known is enough.
-FEW_LETTERS = 200
+#: A document is rejected if less than this share of its n-grams belongs to any learned language, beyond doubt: if even the
+#: upper bound of the share at so many standard errors, as its n-grams tell it, is less. One rule for texts of any length.
+LEAST_KNOWN, ERRORS = 0.2, 3.0
+
+
+def _upper(share: Column, n: Column) -> Column:
+    """Wilson's upper bound of a share seen in n cases."""
+    z2 = ERRORS * ERRORS
+    return (share + z2 / (2 * n) + ERRORS * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; a missing label is filled in. Text without letters or a known n-gram goes,
-    and longer text with too few of them."""
-    judged = identify(docs, learn(docs.select("doc_id", "text", "lang"), ~held_out()), pred_col="__lang", score_col="__score")
-    few = F.length(F.regexp_replace("text", r"\P{L}+", "")) < FEW_LETTERS
-    known = judged.filter((F.col("__lang") != "und") & ((F.col("__score") >= LEAST_KNOWN) | ((F.col("__score") > 0) & few)))
+    and text with too few of them, as LEAST_KNOWN says."""
+    judged = identify(docs, learn(docs.select("doc_id", "text", "lang"), ~held_out()), pred_col="__lang", score_col="__score", grams_col="__n")
+    score, n = F.col("__score"), F.col("__n").cast("double")
+    known = judged.filter((F.col("__lang") != "und") & (score > 0) & (_upper(score, n) >= LEAST_KNOWN))
     return known.withColumn("lang", F.coalesce("lang", "__lang")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
