@@ -54,3 +54,15 @@ def test_short_documents_in_a_learned_language_stay(spark):
     odd = spark.createDataFrame([(10_000 + i, t, None, None, len(t)) for i, t in enumerate(texts)], docs.schema)
     out = cp.language_id(spark, materialize(docs.union(odd)), SF)
     assert {r.text for r in out.filter("doc_id >= 10000").collect()} == set(short)
+
+
+def test_one_rule_at_every_length(spark):
+    """What share of a text must be known rises with its length without a step, and clean text of any length stays."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'")
+    known = " ".join(r.text for r in docs.orderBy("doc_id").limit(20).collect()).split()
+    strange = lambda n: " ".join(f"qx{chr(97 + i % 26)}zj" for i in range(n))
+    texts = [(f"{kind}{n}", " ".join(known[:n]) if kind == "clean" else f"the of and {strange(n)}") for n in (3, 20, 33, 34, 60, 400) for kind in ("clean", "strange")]
+    odd = spark.createDataFrame([(20_000 + i, t, None, name, len(t)) for i, (name, t) in enumerate(texts)], docs.schema)
+    out = cp.language_id(spark, materialize(spark.read.parquet(f"{SF}/documents.parquet").union(odd)), SF)
+    stay = {r.source for r in out.filter("doc_id >= 20000").collect()}
+    assert {name for name, _ in texts if name.startswith("clean")} <= stay and not stay & {"strange60", "strange400"}
