@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenekiln.operators import ranking
+from scenekiln.operators.members import PagedIndex
 
 #: Scenes that a plan drawn in sequence may hold on the driver; `hashed_plan` has no such bound.
 MAX_SCENES = 1_000_000
@@ -105,4 +106,29 @@ def numbered_index(index: DataFrame) -> DataFrame:
 
 def drawn_cards(plan: DataFrame, index: DataFrame) -> DataFrame:
     """A plan with the name, shard and key of each card."""
-    return ranking.encoded(plan, numbered_index(index), ["class_rank", "entry"])
+    return PagedIndex(index).drawn(plan)
+
+
+def keyed_sample(rows: DataFrame, seed: int, k: int, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """k rows, of each group of `by` if there is one, drawn evenly without replacement: those of smallest hash of seed and keys.
+
+    One scan: each task keeps the k smallest it has, and only those are shuffled. The draw does not depend on partitions.
+    Rows of equal keys are one draw.
+    """
+    draw = F.md5(F.concat_ws(":", F.lit(seed), F.lit("sample"), *[F.col(f"`{c}`").cast("string") for c in keys]))
+    order = [draw, *[F.col(f"`{c}`") for c in keys]]
+    if not by:
+        return rows.orderBy(*order).limit(k)
+    w = Window.partitionBy(*[F.col(f"`{c}`") for c in by]).orderBy(*order)
+    return rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+
+
+def random_sample(index: DataFrame, seed: int, name: str | None = None) -> DataFrame:
+    """One entry of a class index: of a random class, whatever the classes' sizes, or of the class named. An unknown class is
+    a KeyError. One scan of the index gives one row a class, of which one is left."""
+    rows = index.filter(F.col("name") == name) if name is not None else index.filter("name IS NOT NULL")
+    each = keyed_sample(rows.select("name", "shard", "key"), seed, 1, ["shard", "key"], ["name"])
+    drawn = each.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.lit("class"), "name"))).limit(1).collect()
+    if not drawn:
+        raise KeyError(name)
+    return index.sparkSession.createDataFrame(drawn, each.schema)

@@ -40,8 +40,7 @@ def pack_backgrounds(spark: SparkSession, images: str, out: str, shard_size: int
     paths = encoded.select("path", F.col("payload").isNotNull().alias("ok"))
     ranks = ranking.shard_slots(ranking.ranked(paths, [F.split(s.relative(F.col("path"), images), "/")], F.col("ok")), shard_size).filter("rank IS NOT NULL")
     file, name = F.concat(F.lit(f"{prefix}-"), padded(F.col("shard"), 4), F.lit(".tar")), F.concat(padded(F.col("index"), 8), F.lit(".png"))
-    s.clear_shards(out, prefix)
-    s.write_files(ranks.join(encoded, "path").select(file.alias("file"), name.alias("name"), "payload", "slot"), out, ["slot"])
+    s.write_files(ranks.join(encoded, "path").select(file.alias("file"), name.alias("name"), "payload", "slot"), out, ["slot"], replaces=prefix)
     return -(-ranks.count() // shard_size)
 
 
@@ -77,8 +76,7 @@ def pack_cards(spark: SparkSession, root: str, out: str, shard_size: int = 512,
     payloads = zip(ROLES, (F.col("class").cast("binary"), F.col("png"), F.col("hl"), F.col("lr")))
     parts = F.posexplode(F.array(*[F.struct(F.lit(f".{role}").alias("ext"), p.alias("payload")) for role, p in payloads])).alias("part", "m")
     rows = df.select(F.concat(F.lit(f"{prefix}-"), padded(F.col("shard"), 4), F.lit(".tar")).alias("file"), key.alias("key"), "slot", parts)
-    s.clear_shards(out, prefix)
-    s.write_files(rows.select("file", F.concat("key", "m.ext").alias("name"), "m.payload", "slot", "part"), out, ["slot", "part"])
+    s.write_files(rows.select("file", F.concat("key", "m.ext").alias("name"), "m.payload", "slot", "part"), out, ["slot", "part"], replaces=prefix)
     return -(-ranks.count() // shard_size)
 
 
@@ -101,28 +99,39 @@ def load_cards(spark: SparkSession, folder: str) -> DataFrame:
     return index
 
 
-def load_backgrounds(spark: SparkSession, folder: str) -> DataFrame:
-    """background (from 0, in shard and member order) and payload, the first image of each sample as PNG.
+def background_index(spark: SparkSession, folder: str) -> DataFrame:
+    """background (from 0, in shard and member order) and where its member lies: the first image of each sample.
 
-    Samples are found and ranked without their payloads.
+    Only headers are read. No image at all is an error.
     """
-    df = m.runs(s.read_members(spark, folder, payload=False), ["shard"], ["ord"])
-    first = df.filter(F.col("ext").isin(*READ)).groupBy("shard", "run").agg(F.min("ord").alias("ord"))
-    ranks = ranking.ranked(first, [F.col("shard"), F.col("run")]).select("shard", "ord", F.col("index").alias("background"))
+    df = m.runs(s.member_index(spark, folder), ["shard"], ["ord"])
+    first = df.filter(F.col("ext").isin(*READ)).groupBy("shard", "run").agg(F.min(F.struct("ord", "key", "ext", "offset", "size")).alias("m"))
+    ranks = ranking.ranked(first.select("shard", "run", "m.*"), [F.col("shard"), F.col("run")]).withColumnRenamed("index", "background").drop("run", "rank")
     if ranks.isEmpty():
         raise ValueError("there are 0 images in the shards")
-    return ranks.join(s.read_images(spark, folder), ["shard", "ord"]).select("background", "payload")
+    return ranks
 
 
-def background_sample(grounds: DataFrame, seed: int, size: int) -> DataFrame:
-    """One background, drawn by `seed`, as a PNG of `size` by `size`: background, payload."""
-    at = int(np.random.default_rng(seed).integers(0, grounds.count()))
+def load_backgrounds(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> DataFrame:
+    """background and payload, as PNG, of all backgrounds or of those in `wanted` (background); no others are read."""
+    index = background_index(spark, folder)
+    return background_images(index if wanted is None else index.join(wanted.select("background").distinct(), "background", "left_semi"))
+
+
+def background_images(index: DataFrame) -> DataFrame:
+    """background and payload, as PNG, of rows of a background index."""
+    return s.as_png(index).select("background", "payload")
+
+
+def background_sample(index: DataFrame, seed: int, size: int) -> DataFrame:
+    """One row of a background index, drawn by `seed` in one scan, as a PNG of `size` by `size`: background, payload."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(payload=[png.encode_png(pixels.resize(pixels.to_bgr(png.decode_png(p)), size, size)) for p in batch["payload"]])
 
-    return grounds.filter(F.col("background") == at).select("background", "payload").mapInPandas(cut, "background long, payload binary")
+    drawn = materialize(sampling.keyed_sample(index, seed, 1, ["background"]), "background")
+    return background_images(drawn).mapInPandas(cut, "background long, payload binary")
 
 
 def generate(
@@ -147,14 +156,14 @@ def generate(
         raise ValueError("there is a scene at least, and a canvas of 64 at least")
     if draws not in ("sequence", "hashed"):
         raise ValueError("draws are `sequence` or `hashed`")
-    index, grounds = load_cards(spark, cards), materialize(load_backgrounds(spark, backgrounds), "backgrounds")
+    index, grounds = load_cards(spark, cards), materialize(background_index(spark, backgrounds), "background-index")
     if draws == "hashed":
         plan = sampling.hashed_plan(spark, seed, count, n_cards, index, grounds.count(), aug)
     else:
         sizes = [r.n for r in index.groupBy("name").agg(F.count("*").alias("n")).orderBy("name").collect()]  # one row a class
         plan = sampling.scene_plan(spark, seed, count, n_cards, sizes, grounds.count(), aug)
-    drawn = sampling.drawn_cards(plan, index)
-    loaded = m.load_samples(drawn.select("name", "shard", "key").distinct(), s.read_images(spark, cards, tuple(ROLES[2:])), ROLES[1:])
+    drawn = materialize(sampling.drawn_cards(plan, index), "drawn-cards")
+    loaded = s.load_samples(spark, cards, drawn.select("shard", "key").distinct(), ROLES[1:])
     full = materialize(drawn.join(loaded.select("shard", "key", F.col("png"), F.col("`hull_hl.npy`").alias("hl"), F.col("`hull_lr.npy`").alias("lr")), ["shard", "key"]), "drawn")
     cards_df = full.drop("png").withColumnRenamed("name", "class").withColumns({"phl": _points(F.col("hl")), "plr": _points(F.col("lr"))})
     labels = materialize(scenes.corner_labels(scenes.placed(cards_df, canvas, F.col("phl"), F.col("plr")), canvas, hidden), "labels")
@@ -165,7 +174,8 @@ def generate(
         image = pixels.compose(png.decode_png(ground["payload"].iloc[0]), layers, canvas)
         return pd.DataFrame({"scene": [int(keys[0])], "payload": [png.encode_png(image)]})
 
-    asked = plan.select("scene", "background").distinct().join(grounds, "background")
+    placed = plan.select("scene", "background").distinct()
+    asked = placed.join(background_images(grounds.join(placed.select("background").distinct(), "background", "left_semi")), "background")
     images = full.select("scene", "z", "png", "angle", "scale", "tx", "ty").groupBy("scene").cogroup(asked.groupBy("scene")).applyInPandas(draw, "scene long, payload binary")
     names = ranking.dictionary(index.select(F.col("name").alias("class")), "class")
     texts = plan.select("scene").distinct().join(scenes.label_files(labels, names), "scene", "left")
@@ -176,19 +186,6 @@ def generate(
     return labels
 
 
-def random_sample(index: DataFrame, seed: int, name: str | None = None) -> DataFrame:
-    """One entry: of a random class, or of the class named. An unknown class is a KeyError."""
-    numbered = sampling.numbered_index(index)
-    if name is not None:
-        numbered = numbered.filter(F.col("name") == name)
-    ranks = [(r.class_rank, r.n) for r in numbered.groupBy("class_rank").agg(F.count("*").alias("n")).orderBy("class_rank").collect()]
-    if not ranks:
-        raise KeyError(name)
-    rng = np.random.default_rng(seed)
-    rank, n = ranks[int(rng.integers(0, len(ranks)))]
-    return numbered.filter((F.col("class_rank") == rank) & (F.col("entry") == int(rng.integers(0, n)))).select("name", "shard", "key")
-
-
 def extract_cards(frames: DataFrame, min_focus: float = g.MIN_FOCUS, min_rectangularity: float = g.MIN_RECTANGULARITY) -> DataFrame:
     """Cards cut from rows (path, image): path, focus, rectangularity and PNG. Frames that give no card go."""
 
@@ -204,4 +201,5 @@ def extract_cards(frames: DataFrame, min_focus: float = g.MIN_FOCUS, min_rectang
     return frames.filter("image IS NOT NULL").select("path", "image").mapInPandas(run, "path string, focus double, rectangularity double, png binary")
 
 
-__all__ = ["background_sample", "extract_cards", "generate", "load_backgrounds", "load_cards", "pack_backgrounds", "pack_cards", "random_sample"]
+random_sample = sampling.random_sample
+__all__ = ["background_index", "background_sample", "extract_cards", "generate", "load_backgrounds", "load_cards", "pack_backgrounds", "pack_cards", "random_sample"]

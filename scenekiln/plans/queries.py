@@ -391,8 +391,9 @@ def class_index(spark, sf_dir):
 @query("SELECT p_brand AS name, count(*) AS n, arg_min(printf('%08d', p_partkey), (p_size, p_partkey)) AS first FROM part GROUP BY 1")
 def grouped_class_index(spark, sf_dir):
     """Entries by class, in order."""
-    df = m.grouped_index(m.class_index(shapes.part_members(spark, sf_dir)))
-    return df.select("name", F.size("entries").cast("long").alias("n"), F.col("entries")[0]["key"].alias("first"))
+    paged = m.PagedIndex(m.class_index(shapes.part_members(spark, sf_dir)))
+    first = paged.pages.filter("page = 0").select("name", F.col("entries")[0]["key"].alias("first"))
+    return paged.directory.select("name", "n").join(first, "name")
 
 
 @query("SELECT p_brand AS name, p_size AS shard, printf('%08d', p_partkey) AS key, p_name AS png, p_type AS hull_hl FROM part")

@@ -16,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
     UNION[0]: UNION[1],
 }
 
@@ -62,9 +63,8 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, with the scheme that Spark would take for it, as writers outside the JVM need one."""
-    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark would take for it, as readers and writers outside the JVM need one."""
     if "://" in folder:
         return folder
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -72,6 +72,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and "://" not in whole else whole
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, with its scheme."""
+    return qualified(spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 

@@ -1,99 +1,163 @@
-"""Tar shards and image folders as DataFrames, and the writers of shards and scenes.
+"""Tar shards and image folders as DataFrames.
 
-Shards are listed and read by Spark's own file source, so any store it reaches will do; a task parses one shard as a
-stream of members. Writers go through a Python data source that names whole files after their shard, written beside and
-moved when the task is done; a file system of any URI that Arrow knows is written to.
+Shards are read by the `tar_members` source: what an index needs is headers, and payloads are fetched as byte ranges for
+the members that a plan has come to, spread by ranges of a shard. Folders of images are listed by the `folder_files`
+source, sub-folders side by side, and decoded by Spark's image source.
 """
 
 from __future__ import annotations
 
-import io
-import tarfile
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow.fs as pafs
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql import types as T
 
 from scenekiln.functions import pixels
 from scenekiln.functions.text import READ, is_image, stripped
-from scenekiln.session import is_local, shared_path, united
-from scenekiln.sources import png
+from scenekiln.session import materialize, qualified, shared_path, united
+from scenekiln.sources import png, tar
+from scenekiln.sources.files import write_files
+from scenekiln.sources.walk import WalkSource
 
-MEMBERS = "shard string, ord long, key string, ext string, payload binary"
+MEMBERS = ("shard", "ord", "key", "ext", "payload")
+PUSHED = "spark.sql.python.filterPushdown.enabled"
+
+
+def _read(spark: SparkSession, folder: str, exts: list[str] | None, payload: bool) -> DataFrame:
+    spark.dataSource.register(tar.MembersSource)
+    options = {"payload": str(payload).lower(), "push": spark.conf.get(PUSHED, "false")}
+    if exts is not None:
+        options["exts"] = json.dumps(list(exts))
+    return spark.read.format("tar_members").options(**options).load(qualified(spark, folder))
 
 
 def read_members(spark: SparkSession, folder: str, exts: list[str] | None = None, payload: bool = True) -> DataFrame:
-    """MEMBERS of every `*.tar` in `folder`: regular files whose name has a dot. `exts` and `payload` are applied while
-    a shard is read, so an index of classes never carries images."""
-    return members_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(folder), exts, payload)
+    """MEMBERS of every `*.tar` in `folder`, or of one shard: regular files whose name has a dot. Payloads are read only of
+    the members that `exts` and, where the session pushes them, filters on shard, ext and key admit."""
+    return _read(spark, folder, exts, payload).select(*MEMBERS)
+
+
+def member_index(spark: SparkSession, folder: str, exts: list[str] | None = None) -> DataFrame:
+    """shard, ord, key, ext, offset and size of members: where their payloads lie. Offsets are null in compressed shards."""
+    return _read(spark, folder, exts, payload=False).drop("payload")
+
+
+def with_payloads(rows: DataFrame, into: str = "payload") -> DataFrame:
+    """Rows of an index, with other columns if they have any, and the payloads of their members in column `into`.
+
+    Rows are dealt by shard and range of bytes, so that one shard that is asked for most is read by many tasks; each
+    payload is one read of its range.
+    """
+    part = F.floor(F.col("offset") / F.lit(tar.RANGE_BYTES // 8))
+    dealt = rows.repartition(F.col("shard"), part).sortWithinPartitions("shard", "offset", "ord")
+    schema = T.StructType([*rows.schema.fields, T.StructField(into, T.BinaryType())])
+    return dealt.mapInArrow(lambda batches: tar.fetched(batches, into), schema)
 
 
 def members_of(shards: DataFrame, exts: list[str] | None = None, payload: bool = True) -> DataFrame:
-    """MEMBERS of shard files (path, content), read at once or as a stream."""
-    files = shards.select("path", "content")
-    wanted = None if exts is None else frozenset(exts)
+    """MEMBERS of shard files (path), as they are listed at once or as a stream."""
+    asked = tar.Asked(None if exts is None else frozenset(exts))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows, held = [], 0
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    for at, member in enumerate(tar):
-                        key, dot, ext = member.name.partition(".")
-                        if not member.isfile() or not dot or (wanted is not None and ext not in wanted):
-                            continue
-                        data = tar.extractfile(member).read() if payload else None
-                        rows.append((path, at, key, ext, data))
-                        held += len(data or b"")
-                        if held > 1 << 24:
-                            yield pd.DataFrame(rows, columns=["shard", "ord", "key", "ext", "payload"])
-                            rows, held = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=["shard", "ord", "key", "ext", "payload"])
-
-    return files.mapInPandas(parse, MEMBERS)
-
-
-def read_images(spark: SparkSession, folder: str, exts: tuple[str, ...] = ()) -> DataFrame:
-    """MEMBERS of `exts` and of all image types, the images as PNG under the ext `png`.
+            for path in batch.column(0).to_pylist():
+                with tar.Ranged(path) as file:
+                    yield from tar.batches(tar.members(file, path, asked, payload))
+
+    return shards.select("path").mapInArrow(parse, tar.SCHEMA).select(*MEMBERS)
+
+
+def load_samples(spark: SparkSession, folder: str, wanted: DataFrame, roles: list[str]) -> DataFrame:
+    """`wanted` (shard, key and more) with a payload column for each role, `png` for an image of any kind: the sample's last
+    member of it. Only headers and the payloads of wanted samples are read; a sample that lacks a role is an error."""
+    exts = [e for r in roles for e in (READ if r == "png" else (r,))]
+    role = F.when(F.col("ext").isin(*READ), "png").otherwise(F.col("ext")).alias("role")
+    index = member_index(spark, folder, exts).join(wanted.select("shard", "key").distinct(), ["shard", "key"], "left_semi")
+    last = index.groupBy("shard", "key", role).agg(F.max(F.struct("ord", "ext", "offset", "size")).alias("m")).select("shard", "key", "role", "m.*")
+    found = as_png(materialize(last, "members")).groupBy("shard", "key").agg(*[F.first(F.when(F.col("role") == r, F.col("payload")), ignorenulls=True).alias(r) for r in roles])
+    out = wanted.join(found, ["shard", "key"], "left")
+    fail = F.raise_error(F.lit("a sample lacks a member")).cast("binary")
+    return out.withColumns({r: F.coalesce(F.col(f"`{r}`"), fail) for r in roles})
+
+
+def as_png(index: DataFrame) -> DataFrame:
+    """Rows of an index with their payloads, images of any kind as PNG.
 
     JPEG members are decoded by Spark's image source, by way of files in the shared folder. One that does not decode is an
     error, and so is WebP, which nothing here decodes.
     """
     bad = lambda said: F.raise_error(F.lit(said)).cast("binary")
-    columns = ["shard", "ord", "key", F.when(F.col("ext").isin(*READ), "png").otherwise(F.col("ext")).alias("ext")]
-    plain = read_members(spark, folder, ["png", "webp", *exts])
-    plain = plain.select(*columns, F.when(F.col("ext") == "webp", bad("WebP images are not decoded")).otherwise(F.col("payload")).alias("payload"))
-    file = F.concat(F.sha2(F.concat_ws("/", "shard", "ord"), 256), F.lit(".jpg"))
-    jpeg = read_members(spark, folder, ["jpg", "jpeg"]).withColumn("file", file)
-    if jpeg.isEmpty():
+    jpeg = F.col("ext").isin("jpg", "jpeg")
+    plain = with_payloads(index.filter(~jpeg))
+    plain = plain.withColumn("payload", F.when(F.col("ext") == "webp", bad("WebP images are not decoded")).otherwise(F.col("payload")))
+    some = index.filter(jpeg)
+    if some.isEmpty():
         return plain
-    files = shared_path(spark, "jpeg")
-    write_files(jpeg.select("file", F.lit(None).cast("string").alias("name"), "payload"), files, [])
-    image = spark.read.format("image").load(files).filter("image.height > 0").select(F.substring_index("image.origin", "/", -1).alias("file"), "image")
+    file = F.concat(F.sha2(F.concat_ws("/", "shard", "ord"), 256), F.lit(".jpg"))
+    decoded = decoded_files(with_payloads(some.select("shard", "ord", "offset", "size").distinct()).select(file.alias("file"), "payload"))
+    out = some.withColumn("file", file).join(decoded, "file", "left").drop("file")
+    return united(plain, out.withColumn("payload", F.coalesce("payload", bad("a JPEG image does not decode"))).select(*plain.columns))
+
+
+def decoded_files(files: DataFrame) -> DataFrame:
+    """Rows (file, payload) of image files of any kind that Spark's image source decodes, the payload as PNG; others go."""
+    spark = files.sparkSession
+    folder = shared_path(spark, "images")
+    write_files(files.select("file", F.lit(None).cast("string").alias("name"), "payload"), folder, [])
+    image = spark.read.format("image").load(folder).filter("image.height > 0")
 
     def recode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"file": batch["file"], "decoded": [png.encode_png(pixels.to_bgr(pixels.from_image(i))) for i in batch["image"]]})
+            yield pd.DataFrame({"file": batch["file"], "payload": [png.encode_png(pixels.from_image(i)) for i in batch["image"]]})
 
-    narrow = read_members(spark, folder, ["jpg", "jpeg"], payload=False).withColumn("file", file)
-    decoded = narrow.join(image.mapInPandas(recode, "file string, decoded binary"), "file", "left")
-    return united(plain, decoded.select(*columns, F.coalesce("decoded", bad("a JPEG image does not decode")).alias("payload")))
+    return image.select(F.substring_index("image.origin", "/", -1).alias("file"), "image").mapInPandas(recode, "file string, payload binary")
 
 
 def walk_images(spark: SparkSession, root: str, decode: bool = False) -> DataFrame:
-    """Every image under `root`: path and, with `decode`, Spark's image struct; files that do not decode are null.
+    """Every image file under `root`, those whose name begins with a dot as well: path and size and, with `decode`, Spark's
+    image struct, which is null where a file does not decode, and the reason for that.
 
-    The file source passes over names that start with a dot or an underscore.
+    Files are listed side by side by sub-folder. The image source passes over names that begin with a dot or underscore,
+    or lie below such a folder; those are read as bytes and decoded under other names.
     """
-    if decode:
-        df = spark.read.format("image").option("recursiveFileLookup", "true").load(root)
-        return df.select(F.col("image.origin").alias("path"), F.when(F.col("image.height") > 0, F.col("image")).alias("image")).filter(is_image(F.col("path")))
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    return df.filter(is_image(F.col("path")))
+    spark.dataSource.register(WalkSource)
+    own = qualified(spark, root)
+    files = spark.read.format("folder_files").load(own).filter(is_image(F.col("path")))
+    if not decode:
+        return files
+    files = materialize(files, "walk")
+    parts = F.split(relative(F.col("path"), own), "/")
+    hidden = F.exists(parts, lambda p: F.substring(p, 1, 1).isin(".", "_"))
+    read = spark.read.format("image").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(own)
+    image = read.select(F.regexp_replace("image.origin", "^file:/+", "file:///").alias("path"), F.when(F.col("image.height") > 0, F.col("image")).alias("image"))
+    some = files.filter(hidden & F.col("reason").isNull())
+    if not some.isEmpty():
+        copies = some.select("path", F.concat(F.sha2("path", 256), F.lit("."), F.lower(F.substring_index("path", ".", -1))).alias("file"))
+        folder = shared_path(spark, "hidden-images")
+        write_files(with_contents(copies).select("file", F.lit(None).cast("string").alias("name"), F.col("content").alias("payload")), folder, [])
+        again = spark.read.format("image").option("ignoreCorruptFiles", "true").load(folder).filter("image.height > 0")
+        again = copies.join(again.select(F.substring_index("image.origin", "/", -1).alias("file"), "image"), "file")
+        image = united(image.filter("image IS NOT NULL"), again.select("path", "image"))
+    why = F.when(F.lower(F.col("path")).endswith(".webp"), "WebP images are not decoded").otherwise("it does not decode")
+    out = files.join(image, "path", "left")
+    return out.withColumn("reason", F.when(F.col("image").isNull(), F.coalesce("reason", why)))
+
+
+def with_contents(files: DataFrame) -> DataFrame:
+    """Rows with a path, and the bytes of the files in column content."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("path")
+            for i in range(len(batch)):
+                with tar.Ranged(batch.column(at)[i].as_py()) as file:
+                    yield batch.slice(i, 1).append_column("content", pa.array([file.readall()], pa.binary()))
+
+    return files.mapInArrow(read, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
 def relative(path: Column, root: str) -> Column:
@@ -112,76 +176,3 @@ def distinct_names(lines: DataFrame, line: Column) -> DataFrame:
     return lines.select(stripped(line).alias("name")).filter("name != ''").distinct()
 
 
-class _FileWriter(DataSourceWriter):
-    """Writes rows (file, name, payload), sorted by file: tar archives, or plain files where name is null."""
-
-    def __init__(self, options: dict[str, str]):
-        self.folder = options["path"]
-
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        import os
-
-        fs, base = pafs.FileSystem.from_uri(self.folder) if "://" in self.folder else (pafs.LocalFileSystem(), os.path.abspath(self.folder))
-        fs.create_dir(base, recursive=True)
-        at = out = tar = None
-        moves: list[tuple[str, str]] = []
-
-        def close() -> None:
-            if tar is not None:
-                tar.close()
-            if out is not None:
-                out.close()
-
-        for row in rows:
-            if row.file != at:
-                close()
-                at, tar = row.file, None
-                moves.append((f"{base}/.{row.file}.{os.getpid()}", f"{base}/{row.file}"))
-                out = fs.open_output_stream(moves[-1][0])
-                if row.name is not None:
-                    tar = tarfile.open(fileobj=out, mode="w|")
-            if tar is None:
-                out.write(bytes(row.payload))
-            else:
-                info = tarfile.TarInfo(row.name)
-                info.size = len(row.payload)
-                tar.addfile(info, io.BytesIO(bytes(row.payload)))
-        close()
-        for a, b in moves:
-            fs.move(a, b)
-        return WriterCommitMessage()
-
-
-class FilesSource(DataSource):
-    """Write-only source `scene_files` of rows (file string, name string, payload binary)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "scene_files"
-
-    def schema(self) -> str:
-        return "file string, name string, payload binary"
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _FileWriter(dict(self.options))
-
-
-def write_files(rows: DataFrame, folder: str, order: list[str]) -> None:
-    """Rows (file, name, payload, *order) as files: each file whole in one task, members in order.
-
-    A folder without a scheme is this machine's disk, and so an error on a cluster."""
-    if "://" not in folder and not folder.startswith("file:") and not is_local(rows.sparkSession):
-        raise ValueError("on a cluster the folder to write to must be a URI that all executors reach")
-    rows.sparkSession.dataSource.register(FilesSource)
-    dealt = rows.repartition("file").sortWithinPartitions("file", *order).select("file", "name", "payload")
-    dealt.write.format("scene_files").mode("append").save(folder)
-
-
-def clear_shards(folder: str, prefix: str) -> None:
-    """Remove earlier shards of this prefix, so that a shorter run leaves no stale ones to be read."""
-    import os
-
-    fs, base = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), os.path.abspath(folder))
-    for info in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
-        if info.is_file and info.base_name.startswith(f"{prefix}-") and info.base_name.endswith(".tar"):
-            fs.delete_file(info.path)

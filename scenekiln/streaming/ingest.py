@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from scenekiln.functions.text import stripped
 from scenekiln.sources.shards import members_of
 
-_FILES = "path string, modificationTime timestamp, length long, content binary"
+_FILES = "path string, modificationTime timestamp, length long, content binary"  # contents are not asked for, and so not read
 
 
 def stream_members(spark: SparkSession, folder: str, exts: list[str] | None = None, payload: bool = True, files_at_once: int = 64) -> DataFrame:

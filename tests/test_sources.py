@@ -11,7 +11,7 @@ from scenekiln.functions import contours, pixels
 from scenekiln.functions import geometry as g
 from scenekiln.operators import members as m
 from scenekiln.plans import pipelines as p
-from scenekiln.sources import png
+from scenekiln.sources import files, png
 from scenekiln.sources import shards as s
 
 
@@ -244,7 +244,7 @@ def test_jpeg_members_and_webp(spark, tmp_path):
     got = [png.decode_png(r.payload) for r in p.load_backgrounds(spark, str(tmp_path / "g")).orderBy("background").collect()]
     assert [a.shape for a in got] == [(16, 16, 3), (8, 8, 3), (16, 16, 3)] and (got[1] == image(1, 8, 8, 3)).all()
     assert abs(got[0][:, :8].astype(int) - 40).max() < 12 and abs(got[2][:, 8:].astype(int) - 200).max() < 12
-    one = p.background_sample(p.load_backgrounds(spark, str(tmp_path / "g")), 3, 32).collect()
+    one = p.background_sample(p.background_index(spark, str(tmp_path / "g")), 3, 32).collect()
     assert len(one) == 1 and png.decode_png(one[0].payload).shape == (32, 32, 3)
     for name, payload, said in (("9.webp", b"RIFF", "WebP"), ("9.jpg", b"no image", "does not decode")):
         with tarfile.open(tmp_path / "g/b.tar", "w") as tar:
@@ -296,6 +296,6 @@ def test_session_guards(spark, monkeypatch):
         with pytest.raises(RuntimeError):
             session.shared_dir(unset(master))
     assert session.shared_path(spark, "x").startswith("file:///") and session.shared_path(spark, "x") != session.shared_path(spark, "x")
-    monkeypatch.setattr(s, "is_local", lambda spark: False)
+    monkeypatch.setattr(files, "is_local", lambda spark: False)
     with pytest.raises(ValueError):
-        s.write_files(spark.sql("SELECT 'a' AS file, 'b' AS name, binary('c') AS payload"), "/tmp/x", [])
+        files.write_files(spark.sql("SELECT 'a' AS file, 'b' AS name, binary('c') AS payload"), "/tmp/x", [])
