@@ -12,8 +12,8 @@ a smaller id.
 
 Texts are read in one pass and never shuffled: what is shuffled is an id, a 32-byte digest, the part and flags, counted
 before each shuffle, so that copies, a hot id or a hot part cost one row a task. Labels are joined by id after that, by
-merge, which Spark's adaptive execution splits where a key is hot. After the counts there are 32 rows a part and label at
-most, and a CUBE of them.
+merge, which Spark's adaptive execution splits where a key is hot. After the counts there are 32 rows a part, and a CUBE of
+them.
 
 Rows: null texts are empty ones and equal to each other; a null id is never smaller nor larger than another, so it does not
 fail E, has no label, and is counted; repeated rows count each, and rows of one id and text do not fail E by each other; a
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenekiln.session import materialize
@@ -61,11 +61,20 @@ def cells(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     flags = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.col(f"`{good_col}`") == 1).alias("good"), (F.col(f"`{toxic_col}`") == 1).alias("toxic"))
     flags = flags.filter("id IS NOT NULL").groupBy("id").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("good", "toxic")])
     rows = judged(docs, id_col, text_col, part_col).join(flags.hint("merge"), "id", "left").fillna(False, ["good", "toxic"])
-    rows = materialize(rows, "judged")
-    first = rows.groupBy("digest").agg(F.min("id").alias("first"))
-    split = rows.join(first.hint("merge"), "digest").withColumn("E", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
-    of = lambda c: F.sum(F.when(F.col(c), F.col("copies")).otherwise(0)).alias(c)
-    return split.groupBy("part", *FILTERS).agg(F.sum("copies").alias("n"), of("good"), of("toxic"))
+    # for each text and kind of row: all rows, those without an id, and the smallest id with its rows, so that a text that
+    # most documents have is a few rows from here on
+    named = F.col("id").isNotNull()
+    own = rows.groupBy("digest", "part", "good", "toxic", *"ABCD").agg(
+        F.sum("copies").alias("n"), F.sum(F.when(named, 0).otherwise(F.col("copies"))).alias("unnamed"), F.min(F.when(named, F.struct("id", "copies"))).alias("least")
+    )
+    first = F.min("least.id").over(Window.partitionBy("digest"))
+    stay = F.col("unnamed") + F.when(F.col("least.id") == first, F.col("least.copies")).otherwise(0)
+    both = own.withColumn("stay", stay).select(
+        "part", "good", "toxic", *"ABCD", F.explode(F.array(F.struct(F.lit(False).alias("E"), F.col("stay").alias("n")), F.struct(F.lit(True).alias("E"), (F.col("n") - F.col("stay")).alias("n")))).alias("kind")
+    )
+    both = both.select("part", "good", "toxic", *"ABCD", "kind.*").filter("n > 0")
+    of = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).alias(c)
+    return materialize(both.groupBy("part", *FILTERS).agg(F.sum("n").alias("n"), of("good"), of("toxic")), "cells")
 
 
 def survivors(counted: DataFrame) -> DataFrame:
