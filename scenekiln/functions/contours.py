@@ -1,16 +1,23 @@
-"""Edges, outlines and tight rectangles on numpy, for cutting cards from frames and finding corner symbols.
+"""Edges and outlines on numpy, for cutting cards from frames and finding corner symbols.
 
-Written from the algorithms' published descriptions; results agree with other implementations to about a pixel, not to
+Arrow functions give the outlines of an image as lists of points beside its row; what they are measured and judged by are
+Column functions (`geometry`, `operators.cards`). Written from the algorithms' published descriptions; results agree with other implementations to about a pixel, not to
 the bit, and are tested with tolerances.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scenekiln.functions import geometry as g
-from scenekiln.functions.hull import hull_of
-from scenekiln.functions.pixels import feather_mask, homography, to_bgra, to_gray, variance_of_laplacian, warp_perspective
+from scenekiln.functions.hull import POINT, flat_points, point_lists
+from scenekiln.functions.pixels import feather_mask, from_image, homography, to_bgra, to_gray, variance_of_laplacian, warp_perspective
+from scenekiln.sources.png import encode_png
+
+OUTLINES = T.ArrayType(T.ArrayType(POINT))
 
 
 def bilateral(gray: np.ndarray, diameter: int = 11, sigma_colour: float = 17, sigma_space: float = 17) -> np.ndarray:
@@ -105,70 +112,6 @@ def outlines(mask: np.ndarray) -> list[np.ndarray]:
     return found
 
 
-def area_of(points: np.ndarray) -> float:
-    if len(points) < 3:
-        return 0.0
-    x, y = points[:, 0].astype(float), points[:, 1].astype(float)
-    return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
-
-
-def centre_of(points: np.ndarray) -> tuple[float, float] | None:
-    x, y = points[:, 0].astype(float), points[:, 1].astype(float)
-    cross = x * np.roll(y, -1) - np.roll(x, -1) * y
-    if cross.sum() == 0:
-        return None
-    return tuple(float(((v + np.roll(v, -1)) * cross).sum() / (3 * cross.sum())) for v in (x, y))
-
-
-def tight_rectangle(points: np.ndarray) -> tuple[np.ndarray, tuple[float, float]]:
-    """Corners and side lengths of the smallest rectangle around the points; it shares a direction with a hull edge."""
-    hull = hull_of(points.astype(float))
-    best = None
-    for a, b in zip(hull, np.roll(hull, -1, axis=0)):
-        u = (b - a) / np.hypot(*(b - a))
-        v = np.array([-u[1], u[0]])
-        s, t = hull @ u, hull @ v
-        size = (s.max() - s.min(), t.max() - t.min())
-        if best is None or size[0] * size[1] < best[0]:
-            corners = np.array([u * p + v * q for p, q in ((s.min(), t.min()), (s.max(), t.min()), (s.max(), t.max()), (s.min(), t.max()))])
-            best = (size[0] * size[1], corners, size)
-    return best[1], best[2]
-
-
-def find_corner_hull(
-    card: np.ndarray,
-    zone: list[tuple[float, float]] = g.CORNER_HL,
-    min_area: float = g.MIN_CONTOUR_AREA,
-    min_solidity: float = g.MIN_SOLIDITY,
-    hull_area: tuple[float, float] = g.HULL_AREA,
-    tolerance: tuple[float, float] = g.CENTRE_TOLERANCE,
-) -> tuple[np.ndarray, bool, float] | None:
-    """Hull (x, y) of the symbol in a card's corner zone, whether its area is plausible, and the area; None: no symbol.
-
-    Outlines count from `min_area`, above `min_solidity`, and if their centre is off the zone's by less than `tolerance`.
-    """
-    (x0, y0), (x1, y1) = zone[0], zone[2]
-    x0, y0, x1, y1 = map(int, (x0, y0, x1, y1))
-    width, height = x1 - x0, y1 - y0
-    if width <= 0 or height <= 0:
-        return None
-    edges = dilate(canny(to_gray(card[y0:y1, x0:x1]), 30, 200))
-    kept = []
-    for line in outlines(edges):
-        around = area_of(hull_of(line))
-        centre = centre_of(line)
-        if around <= 0 or centre is None:
-            continue
-        central = abs(width / 2 - centre[0]) < width * tolerance[0] and abs(height / 2 - centre[1]) < height * tolerance[1]
-        if area_of(line) >= min_area and area_of(line) / around > min_solidity and central:
-            kept.append(line)
-    if not kept:
-        return None
-    hull = hull_of(np.concatenate(kept))
-    area = area_of(hull)
-    return (hull + [x0, y0]).astype(np.int64), hull_area[0] <= area <= hull_area[1], area
-
-
 def _filled(points: np.ndarray, width: int, height: int) -> np.ndarray:
     """Pixels inside a polygon or on its border, by crossings of their row."""
     y, x = np.mgrid[:height, :width].astype(float)
@@ -179,33 +122,55 @@ def _filled(points: np.ndarray, width: int, height: int) -> np.ndarray:
     return dilate(inside) if inside.any() else inside
 
 
-def extract_card(frame: np.ndarray, min_focus: float = g.MIN_FOCUS, min_rectangularity: float = g.MIN_RECTANGULARITY) -> tuple[np.ndarray, float, float] | None:
-    """A card cut from a BGR frame on the canonical canvas with a feathered alpha, its focus and rectangularity.
-
-    None: the frame is blurred, or its largest outline is no card.
-    """
-    if not isinstance(frame, np.ndarray) or frame.ndim != 3 or frame.shape[2] != 3 or frame.dtype != np.uint8:
-        raise ValueError("a frame is a BGR image of uint8")
-    focus = variance_of_laplacian(frame)
-    if focus < min_focus:
-        return None
-    found = outlines(canny(bilateral(to_gray(frame)), 30, 200))
-    if not found:
-        return None
-    line = max(found, key=area_of)  # the first of equals
-    if len(hull_of(line)) < 3:
-        return None
-    corners, (width, height) = tight_rectangle(line)
-    box = np.trunc(corners)
-    if area_of(box) <= 0:
-        return None
-    share = min(1.0, area_of(line) / area_of(box))
-    if share < min_rectangularity:
-        return None
-    upright = np.array(g.CARD_QUAD, float)
-    target = upright if width > height else np.roll(upright, -1, axis=0)
-    matrix = homography(box, target)
-    card = to_bgra(warp_perspective(frame, matrix, g.CARD_WIDTH, g.CARD_HEIGHT)).copy()
-    moved = np.column_stack([line, np.ones(len(line))]) @ matrix.T
-    card[:, :, 3] = np.where(_filled(np.trunc(moved[:, :2] / moved[:, 2:]), g.CARD_WIDTH, g.CARD_HEIGHT), feather_mask(), 0)
-    return card, focus, share
+def _lists(found: list[list[np.ndarray]]) -> pa.Array:
+    sizes = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), point_lists([line for f in found for line in f]))
+
+
+def zone_outlines(zone: list[tuple[float, float]]):
+    """Arrow function of images: the outlines of what stands in a zone, in the zone's pixels. A zone without extent has none."""
+    (x0, y0), (x1, y1) = ((int(v) for v in zone[i]) for i in (0, 2))
+
+    @F.arrow_udf(OUTLINES)
+    def found(images: pa.Array) -> pa.Array:
+        if x1 <= x0 or y1 <= y0:
+            return _lists([[] for _ in images])
+        return _lists([outlines(dilate(canny(to_gray(from_image(i.as_py())[y0:y1, x0:x1]), 30, 200))) if i.is_valid else [] for i in images])
+
+    return found.asNondeterministic()  # see convex_hull
+
+
+@F.arrow_udf(OUTLINES)
+def frame_outlines(images: pa.Array) -> pa.Array:
+    """The outlines of a whole frame, smoothed before."""
+    return _lists([outlines(canny(bilateral(to_gray(from_image(i.as_py()))), 30, 200)) if i.is_valid else [] for i in images])
+
+
+@F.arrow_udf(T.DoubleType())
+def focus(images: pa.Array) -> pa.Array:
+    """Variance of the Laplacian of BGR frames; an image of other channels is an error."""
+    out = []
+    for image in images:
+        own = image.as_py()
+        if own is not None and own["nChannels"] != 3:
+            raise ValueError("a frame is a BGR image of uint8")
+        out.append(None if own is None else variance_of_laplacian(from_image(own)))
+    return pa.array(out, pa.float64())
+
+
+frame_outlines = frame_outlines.asNondeterministic()
+
+
+@F.arrow_udf(T.BinaryType())
+def cut_out(images: pa.Array, boxes: pa.Array, targets: pa.Array, lines: pa.Array) -> pa.Array:
+    """PNG of the card whose corners are `boxes`, turned upright on the canonical canvas, with a feathered alpha inside its line."""
+    (_, box), (_, target), (begins, line) = (flat_points(p) for p in (boxes, targets, lines))
+    out = []
+    for i, image in enumerate(images):
+        matrix = homography(box[4 * i : 4 * i + 4], target[4 * i : 4 * i + 4])
+        card = to_bgra(warp_perspective(from_image(image.as_py()), matrix, g.CARD_WIDTH, g.CARD_HEIGHT)).copy()
+        own = line[begins[i] : begins[i + 1]]
+        moved = np.column_stack([own, np.ones(len(own))]) @ matrix.T
+        card[:, :, 3] = np.where(_filled(np.trunc(moved[:, :2] / moved[:, 2:]), g.CARD_WIDTH, g.CARD_HEIGHT), feather_mask(), 0)
+        out.append(encode_png(card))
+    return pa.array(out, pa.binary())

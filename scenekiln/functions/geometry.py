@@ -218,6 +218,32 @@ def kept_after_occlusion(hull: Column, occluder: Column, hidden: float = MAX_HID
     return F.when(occluder.isNull(), True).when(~usable, False).otherwise(visible)
 
 
+def tight_rectangle(hull: Column) -> Column:
+    """The smallest rectangle around a hull, as corners, width, height and area: of those that share a direction with one of
+    its edges the first of smallest area; null for fewer than three corners."""
+
+    def around(e: Column) -> Column:
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        unit = let(F.sqrt(dx * dx + dy * dy), lambda n: point(dx / n, dy / n))
+
+        def sized(u: Column) -> Column:
+            s, t = F.transform(hull, lambda p: p["x"] * u["x"] + p["y"] * u["y"]), F.transform(hull, lambda p: p["y"] * u["x"] - p["x"] * u["y"])
+            return F.struct(u.alias("u"), F.array_min(s).alias("s0"), F.array_max(s).alias("s1"), F.array_min(t).alias("t0"), F.array_max(t).alias("t1"))
+
+        return let(unit, sized)
+
+    def corners(r: Column) -> Column:
+        u = r["u"]
+        at = lambda s, t: point(u["x"] * r[s] - u["y"] * r[t], u["y"] * r[s] + u["x"] * r[t])
+        return F.array(at("s0", "t0"), at("s1", "t0"), at("s1", "t1"), at("s0", "t1"))
+
+    edges = F.filter(_pairs(hull), lambda e: e["a"] != e["b"])
+    sides = lambda r: F.struct(((r["s1"] - r["s0"]) * (r["t1"] - r["t0"])).alias("area"), (r["s1"] - r["s0"]).alias("width"), (r["t1"] - r["t0"]).alias("height"), r.alias("r"))
+    least = let(F.transform(edges, lambda e: let(around(e), sides)), lambda all_: F.array_min(F.transform(all_, lambda r, i: F.struct(r["area"].alias("area"), i.alias("i"), r.alias("r")))))
+    named = lambda m: F.struct(corners(m["r"]["r"]).alias("corners"), m["r"]["width"].alias("width"), m["r"]["height"].alias("height"), m["area"].alias("area"))
+    return F.when(F.size(hull) >= 3, let(least, named))
+
+
 def rectangularity(area: Column, box_area: Column) -> Column:
     """Share of its tightest rectangle that a contour fills, one at most; null without a rectangle."""
     return F.when(box_area > 0, F.least(F.lit(1.0), area / box_area))
@@ -232,9 +258,9 @@ def solidity(area: Column, hull_area: Column) -> Column:
     return F.when(hull_area > 0, area / hull_area)
 
 
-def centre_ok(width: Column, height: Column, cx: Column, cy: Column) -> Column:
-    return (F.abs(width / 2 - cx) < width * CENTRE_TOLERANCE[0]) & (F.abs(height / 2 - cy) < height * CENTRE_TOLERANCE[1])
+def centre_ok(width: Column, height: Column, cx: Column, cy: Column, tolerance: tuple[float, float] = CENTRE_TOLERANCE) -> Column:
+    return (F.abs(width / 2 - cx) < width * tolerance[0]) & (F.abs(height / 2 - cy) < height * tolerance[1])
 
 
-def hull_plausible(area: Column) -> Column:
-    return area.between(*HULL_AREA)
+def hull_plausible(area: Column, hull_area: tuple[float, float] = HULL_AREA) -> Column:
+    return area.between(*hull_area)

@@ -13,14 +13,16 @@ from pyspark.sql import types as T
 
 from scenekiln.functions import contours, pixels
 from scenekiln.functions import geometry as g
+from scenekiln.functions.hull import POINT, flat_points, point_lists
 from scenekiln.functions.text import READ, padded
+from scenekiln.operators import cards as cards_of
 from scenekiln.operators import members as m
 from scenekiln.operators import ranking, sampling, scenes
 from scenekiln.session import materialize, united
 from scenekiln.sources import png
 from scenekiln.sources import shards as s
 
-POINT_LIST = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+POINT_LIST = T.ArrayType(POINT)
 ROLES = ["cls", "png", "hull_hl.npy", "hull_lr.npy"]
 
 
@@ -38,37 +40,47 @@ def pack_backgrounds(spark: SparkSession, images: str, out: str, shard_size: int
     walked = s.walk_images(spark, images, decode=True).withColumn("ok", F.col("image").isNotNull())
     encoded = materialize(walked.mapInPandas(encode, "path string, payload binary"), "backgrounds")
     paths = encoded.select("path", F.col("payload").isNotNull().alias("ok"))
-    ranks = ranking.shard_slots(ranking.ranked(paths, [F.split(s.relative(F.col("path"), images), "/")], F.col("ok")), shard_size).filter("rank IS NOT NULL")
+    ranks = ranking.shard_slots(ranking.ranked(paths, [F.split(s.relative(F.col("path"), s.qualified(spark, images)), "/")], F.col("ok")), shard_size).filter("rank IS NOT NULL")
     file, name = F.concat(F.lit(f"{prefix}-"), padded(F.col("shard"), 4), F.lit(".tar")), F.concat(padded(F.col("index"), 8), F.lit(".png"))
     s.write_files(ranks.join(encoded, "path").select(file.alias("file"), name.alias("name"), "payload", "slot"), out, ["slot"], replaces=prefix)
     return -(-ranks.count() // shard_size)
 
 
-CARD = "class string, path string, png binary, hl binary, lr binary"
+def _as_png():
+    @F.arrow_udf("binary")
+    def made(images: pa.Array) -> pa.Array:
+        return pa.array([png.encode_png(pixels.to_bgra(pixels.from_image(i.as_py()))) for i in images], pa.binary())
+
+    return made
+
+
+def _as_npy():
+    """Hulls as payloads of shape (K, 1, 2)."""
+
+    @F.arrow_udf("binary")
+    def made(hulls: pa.Array) -> pa.Array:
+        begins, points = flat_points(hulls)
+        return pa.array([png.encode_npy(points[a:b].astype(np.int64).reshape(-1, 1, 2)) for a, b in zip(begins, begins[1:])], pa.binary())
+
+    return made
 
 
 def pack_cards(spark: SparkSession, root: str, out: str, shard_size: int = 512, prefix: str = "cards", extract_hulls: bool = True, **thresholds) -> int:
     """Cards by class folder to shards of four members each. Only canonical images with plausible hulls are packed, and
     keys count those. A gray image of the right size is passed over, not an error.
 
-    `thresholds` are those of `find_corner_hull`. Hulls are looked for once; only paths are ranked.
+    `thresholds` are those of `with_corner_hull`. Hulls are looked for once; only paths are ranked.
     """
-    path = s.relative(F.col("path"), root)
+    path = s.relative(F.col("path"), s.qualified(spark, root))
     df = s.walk_images(spark, root, decode=True).filter(F.contains(path, F.lit("/")))
     df = df.filter((F.col("image.height") == g.CARD_HEIGHT) & (F.col("image.width") == g.CARD_WIDTH) & F.col("image.nChannels").isin(3, 4))
-    zones = (g.CORNER_HL, g.CORNER_LR)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for cls, where, image in zip(batch["class"], batch["rel"], batch["image"]):
-                card = pixels.to_bgra(pixels.from_image(image))
-                hulls = [contours.find_corner_hull(card, z, **thresholds) for z in zones] if extract_hulls else [(np.array(z, np.int64), True, 0.0) for z in zones]
-                if all(h is not None and h[1] for h in hulls):
-                    rows.append((cls, where, png.encode_png(card), *(png.encode_npy(h[0].reshape(-1, 1, 2)) for h in hulls)))
-            yield pd.DataFrame(rows, columns=["class", "path", "png", "hl", "lr"])
-
-    cards = df.select(F.split_part(path, F.lit("/"), F.lit(1)).alias("class"), path.alias("rel"), "image").mapInPandas(cut, CARD)
+    df = df.select(F.split_part(path, F.lit("/"), F.lit(1)).alias("class"), path.alias("path"), "image")
+    for name, zone in (("hl", g.CORNER_HL), ("lr", g.CORNER_LR)):
+        if extract_hulls:
+            df = cards_of.with_corner_hull(df, name, zone, **thresholds).filter(f"{name}.ok")
+        else:
+            df = df.withColumn(name, F.struct(g.quad(zone).alias("hull")))
+    cards = df.select("class", "path", _as_png()("image").alias("png"), _as_npy()("hl.hull").alias("hl"), _as_npy()("lr.hull").alias("lr"))
     cards = materialize(cards, "cards")
     ranks = ranking.shard_slots(ranking.ranked(cards.select("path"), [F.split("path", "/")]), shard_size)
     df = ranks.join(cards, "path")
@@ -85,8 +97,7 @@ def _points(payload: Column) -> Column:
 
     @F.arrow_udf(POINT_LIST)
     def read(payloads: pa.Array) -> pa.Array:
-        out = [None if p.as_py() is None else [{"x": float(x), "y": float(y)} for x, y in png.decode_npy(p.as_py()).reshape(-1, 2)] for p in payloads]
-        return pa.array(out, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+        return point_lists([png.decode_npy(p.as_py()).reshape(-1, 2).astype(np.float64) if p.is_valid else None for p in payloads])
 
     return read(payload)
 
@@ -188,17 +199,8 @@ def generate(
 
 def extract_cards(frames: DataFrame, min_focus: float = g.MIN_FOCUS, min_rectangularity: float = g.MIN_RECTANGULARITY) -> DataFrame:
     """Cards cut from rows (path, image): path, focus, rectangularity and PNG. Frames that give no card go."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for where, image in zip(batch["path"], batch["image"]):
-                got = contours.extract_card(pixels.from_image(image), min_focus, min_rectangularity)
-                if got is not None:
-                    rows.append((where, got[1], got[2], png.encode_png(got[0])))
-            yield pd.DataFrame(rows, columns=["path", "focus", "rectangularity", "png"])
-
-    return frames.filter("image IS NOT NULL").select("path", "image").mapInPandas(run, "path string, focus double, rectangularity double, png binary")
+    df = cards_of.with_card(frames.filter("image IS NOT NULL").select("path", "image"), min_focus, min_rectangularity)
+    return df.select("path", "focus", "rectangularity", contours.cut_out("image", "box", "target", "line").alias("png"))
 
 
 random_sample = sampling.random_sample

@@ -4,11 +4,14 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scenekiln.cli import main, parser
 from scenekiln.config import Settings
 from scenekiln.functions import contours, pixels
 from scenekiln.functions import geometry as g
+from scenekiln.functions.hull import hull_by
+from scenekiln.operators import cards
 from scenekiln.operators import members as m
 from scenekiln.plans import pipelines as p
 from scenekiln.sources import files, png
@@ -161,26 +164,66 @@ def frame():
     return out
 
 
-def test_extraction(spark):
-    got = contours.extract_card(frame(), min_focus=10)
-    assert got is not None and got[0].shape == (348, 228, 4) and 0.95 <= got[2] <= 1
-    assert (got[0][100:250, 60:160, :3] > 200).all() and (got[0][100:250, 60:160, 3] == 255).all() and got[0][0, 0, 3] == 0
-    assert contours.extract_card(frame(), min_focus=1e9) is None
-    assert contours.extract_card(np.full((50, 50, 3), 9, np.uint8), min_focus=0) is None
-    with pytest.raises(ValueError):
-        contours.extract_card(np.zeros((5, 5), np.uint8))
-    own = frame()
-    rows = spark.createDataFrame([("a", {"height": 240, "width": 320, "nChannels": 3, "data": bytearray(own.tobytes())})], "path string, image struct<height:int,width:int,nChannels:int,data:binary>")
-    assert p.extract_cards(rows, min_focus=10).count() == 1 and p.extract_cards(rows, min_focus=1e9).count() == 0
+IMAGE = "image struct<height:int,width:int,nChannels:int,data:binary>"
+
 
+def imaged(spark, *arrays):
+    rows = [(str(i), None if a is None else {"height": a.shape[0], "width": a.shape[1], "nChannels": a.shape[2], "data": bytearray(np.ascontiguousarray(a).tobytes())}) for i, a in enumerate(arrays)]
+    return spark.createDataFrame(rows, f"path string, {IMAGE}")
 
-def test_corner_hulls():
-    card = np.full((348, 228, 3), 255, np.uint8)
-    assert contours.find_corner_hull(card) is None
+
+def test_extraction(spark):
+    turned = np.ascontiguousarray(np.rot90(frame()))
+    df = imaged(spark, frame(), np.full((50, 50, 3), 9, np.uint8), None, turned)
+    got = {r.path: r for r in p.extract_cards(df, min_focus=10).collect()}
+    assert sorted(got) == ["0", "3"]
+    for r in got.values():
+        card = png.decode_png(r.png)
+        assert card.shape == (348, 228, 4) and 0.95 <= r.rectangularity <= 1 and r.focus > 10
+        assert (card[100:250, 60:160, :3] > 200).all() and (card[100:250, 60:160, 3] == 255).all() and card[0, 0, 3] == 0
+    assert p.extract_cards(df, min_focus=1e9).count() == 0 and p.extract_cards(df.filter("path = '1'"), min_focus=0).count() == 0
+    with pytest.raises(Exception, match="BGR"):
+        p.extract_cards(imaged(spark, np.zeros((5, 5, 1), np.uint8))).collect()
+
+
+def test_corner_hulls(spark):
+    blank = np.full((348, 228, 3), 255, np.uint8)
+    card = blank.copy()
     card[30:70, 10:40] = 0  # a symbol of 30 x 40 in the zone
-    hull, ok, area = contours.find_corner_hull(card)
-    assert ok and 940 <= area <= 2120 and hull[:, 0].min() >= 8 and hull[:, 1].max() <= 92
-    assert contours.find_corner_hull(card, [(0, 0), (0, 0), (0, 0), (0, 0)]) is None
+    small = blank.copy()
+    small[45:60, 20:30] = 0  # too small to be a symbol
+    aside = blank.copy()
+    aside[12:22, 10:20] = 0  # off the zone's centre
+    df = cards.with_corner_hull(imaged(spark, blank, card, small, aside), "hl")
+    got = {r.path: r.hl for r in df.collect()}
+    assert df.columns == ["path", "image", "hl"] and got["0"] is None and got["3"] is None and not got["2"].ok
+    hull = np.array([(q.x, q.y) for q in got["1"].hull])
+    assert got["1"].ok and 940 <= got["1"].area <= 2120 and hull[:, 0].min() >= 8 and hull[:, 1].max() <= 92
+    assert cards.with_corner_hull(imaged(spark, card), "none", [(0, 0), (0, 0), (0, 0), (0, 0)]).first()["none"] is None
+    assert not cards.with_corner_hull(imaged(spark, card), "hl", hull_area=(1.0, 2.0)).first().hl.ok
+
+
+def test_hulls_as_an_aggregate(spark):
+    """Of any number of rows, one group in most of them: the corners of all points, whatever the partitions."""
+    rng = np.random.default_rng(7)
+    rows = [(k, float(x), float(y)) for k, n in (("hot", 30_000), ("b", 5), ("c", 2), (None, 50)) for x, y in (rng.normal(size=(n, 2)) * 100).round(2)]
+    rows += [("b", 0.0, 0.0)] * 20 + [("b", None, 1.0), ("b", float("nan"), 1.0), ("d", None, None)] + [("circle", float(np.cos(t)), float(np.sin(t))) for t in np.linspace(0, 6.28, 500)]
+    want = {}
+    for key in {r[0] for r in rows} - {"d"}:
+        own = sorted({r[1:] for r in rows if r[0] == key and r[1] is not None and r[1] == r[1]})
+        chains = []
+        for side in (own, own[::-1]):
+            chain = []
+            for q in side:
+                while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (q[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (q[0] - chain[-2][0]) <= 0:
+                    chain.pop()
+                chain.append(q)
+            chains += chain[:-1] if len(own) > 1 else chain
+        want[key] = chains
+    df = spark.createDataFrame(rows, "zone string, x double, y double")
+    for parts in (1, 7):
+        got = {r.zone: [(q.x, q.y) for q in r.hull] for r in hull_by(df.repartition(parts), ["zone"], F.col("x"), F.col("y")).collect()}
+        assert got == want
 
 
 def test_pixels():
