@@ -78,7 +78,7 @@ def polygon_area(points: Column) -> Column:
 
 
 def convex(points: Column) -> Column:
-    """Whether all turns go one way."""
+    """Whether all turns go one way, and only once around: a star of crossing edges turns one way as well."""
 
     def turns(own: Column) -> Column:
         n = F.size(own)
@@ -89,39 +89,120 @@ def convex(points: Column) -> Column:
 
         return F.transform(own, turn)
 
-    return let(let(points, turns), lambda ts: (F.array_min(ts) >= -1e-9) | (F.array_max(ts) <= 1e-9))
+    def once(own: Column) -> Column:
+        n = F.size(own)
+        ways = F.filter(F.transform(own, lambda p, i: F.signum(F.get(own, (i + 1) % n)["x"] - p["x"])), lambda w: w != 0)
+        return let(ways, lambda ws: F.size(F.filter(ws, lambda w, i: w != F.get(ws, (i + 1) % F.size(ws)))) <= 2)
+
+    one_way = let(let(points, turns), lambda ts: (F.array_min(ts) >= -1e-9) | (F.array_max(ts) <= 1e-9))
+    return F.when(F.size(points) < 5, one_way).otherwise(one_way & let(points, once))
+
+
+#: How near a border counts as on it, in pixels.
+NEAR = 1e-9
+
+
+def _cut(edges: Column, cutters: Column) -> Column:
+    """The edges in pieces between the places where cutters cross or touch them."""
+
+    def pieces(e: Column) -> Column:
+        rx, ry = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+
+        def places(f: Column) -> Column:
+            sx, sy, qx, qy = f["b"]["x"] - f["a"]["x"], f["b"]["y"] - f["a"]["y"], f["a"]["x"] - e["a"]["x"], f["a"]["y"] - e["a"]["y"]
+            across = rx * sy - ry * sx
+            met = F.when(F.when(across != 0, (qx * ry - qy * rx) / across).between(-NEAR, 1 + NEAR), F.array((qx * sy - qy * sx) / across))
+            along = lambda x, y: F.try_divide(x * rx + y * ry, rx * rx + ry * ry)
+            in_line = F.when(qx * ry - qy * rx == 0, F.array(along(qx, qy), along(qx + sx, qy + sy)))
+            return F.coalesce(F.when(across != 0, met).otherwise(in_line), F.array().cast("array<double>"))
+
+        inner = F.filter(F.flatten(F.transform(cutters, places)), lambda t: (t > 0) & (t < 1))
+        at = lambda t: point(e["a"]["x"] + t * rx, e["a"]["y"] + t * ry)
+        ends = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inner)))
+        return let(F.transform(ends, at), lambda ps: F.transform(F.slice(ps, F.lit(1), F.size(ps) - 1), lambda p, i: F.struct(p.alias("a"), F.get(ps, i + 1).alias("b"))))
+
+    return F.flatten(F.transform(edges, pieces))
+
+
+def _sides(piece: Column, edges: Column) -> Column:
+    """How often a polygon winds around what lies right beside the piece's middle, on its left and right."""
+    mx, my = (piece["a"]["x"] + piece["b"]["x"]) / 2, (piece["a"]["y"] + piece["b"]["y"]) / 2
+    ux, uy = piece["b"]["x"] - piece["a"]["x"], piece["b"]["y"] - piece["a"]["y"]
+
+    def winds(frame: Column) -> Column:
+        """Edges are seen in the piece's own frame: along it, and to its left."""
+        along = lambda p: (p["x"] - frame["mx"]) * frame["ux"] + (p["y"] - frame["my"]) * frame["uy"]
+        left = lambda p: (p["y"] - frame["my"]) * frame["ux"] - (p["x"] - frame["mx"]) * frame["uy"]
+
+        def crossed(e: Column) -> Column:
+            """Where an edge crosses the normal, and which way."""
+            a, b = F.struct(along(e["a"]).alias("s"), left(e["a"]).alias("n")), F.struct(along(e["b"]).alias("s"), left(e["b"]).alias("n"))
+            ends = F.struct(a.alias("a"), b.alias("b"))
+            return let(ends, lambda q: F.struct((q["a"]["n"] - q["a"]["s"] * (q["b"]["n"] - q["a"]["n"]) / (q["b"]["s"] - q["a"]["s"])).alias("n"), F.when(q["b"]["s"] < 0, 1).otherwise(-1).alias("way")))
+
+        total = lambda hits, side: F.aggregate(hits, F.lit(0), lambda n, h: n + F.when(h["n"] * side > NEAR, h["way"] * side).otherwise(0))
+        some = F.filter(edges, lambda e: (along(e["a"]) < 0) != (along(e["b"]) < 0))
+        return let(F.transform(some, crossed), lambda hits: F.struct(total(hits, 1).alias("left"), total(hits, -1).alias("right")))
 
+    n = F.sqrt(ux * ux + uy * uy)
+    return let(F.struct(mx.alias("mx"), my.alias("my"), (ux / n).alias("ux"), (uy / n).alias("uy")), winds)
 
-def safe_area(points: Column) -> Column:
-    """Area of a usable polygon; null for under three points or no area; an error if it is not convex."""
-    fails = F.raise_error(F.lit("only convex polygons are clipped")).cast("double")
-    area = let(polygon_area(points), lambda a: F.when(a > 0, a))
-    return F.when(F.size(points) >= 3, let(area, lambda a: F.when(a.isNotNull() & ~convex(points), fails).otherwise(a)))
 
+def _forward(points: Column) -> Column:
+    """Edges of the polygon that have a length, the way round in which its area is positive."""
+    own = let(signed_area(points), lambda a: F.when(a < 0, F.reverse(points)).otherwise(points))
+    return F.filter(_pairs_of(own), lambda e: e["a"] != e["b"])
 
-def crossing(points: Column) -> Column:
-    """Whether edges that are not neighbours meet. Points that repeat the one before count once."""
 
-    def meet(e: Column, f: Column) -> Column:
-        side = lambda s, p: (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])
-        parted = lambda s, r: F.signum(side(s, r["a"])) * F.signum(side(s, r["b"])) <= 0
-        low, high = (lambda s, c: F.least(s["a"][c], s["b"][c])), (lambda s, c: F.greatest(s["a"][c], s["b"][c]))
-        near = lambda c: (low(e, c) <= high(f, c)) & (low(f, c) <= high(e, c))
-        return near("x") & near("y") & parted(e, f) & parted(f, e)
+def _pairs_of(points: Column) -> Column:
+    return let(points, _pairs)
 
-    def any_meet(edges: Column) -> Column:
-        numbered, n = F.transform(edges, lambda e, i: F.struct(e.alias("e"), i.alias("i"))), F.size(edges)
-        apart = lambda s, r: (r["i"] > s["i"] + 1) & (r["i"] - s["i"] < n - 1)
-        return let(numbered, lambda es: F.exists(es, lambda s: F.exists(es, lambda r: apart(s, r) & meet(s["e"], r["e"]))))
 
-    own = F.filter(points, lambda p, i: p != F.get(points, (i + F.size(points) - 1) % F.size(points)))
-    return let(let(own, _pairs), any_meet)
+def _bounded(pieces: Column, inside: Callable[[Column], Column], skipped: Callable[[Column], Column] | None = None) -> Column:
+    """Twice the area that pieces of border go around: those that have the region on one side only."""
 
+    def part(p: Column) -> Column:
+        cross = p["a"]["x"] * p["b"]["y"] - p["b"]["x"] * p["a"]["y"]
+        value = cross * inside(p)
+        return value if skipped is None else F.when(skipped(p), F.lit(0.0)).otherwise(value)
 
-def simple_area(points: Column) -> Column:
-    """Area of a usable polygon, convex or not; null for under three points, no area, or edges that cross."""
-    area = let(polygon_area(points), lambda a: F.when(a > 0, a))
-    return F.when(F.size(points) >= 3, F.when(~crossing(points), area))
+    return F.aggregate(pieces, F.lit(0.0), lambda s, p: s + part(p))
+
+
+def region_area(points: Column) -> Column:
+    """Area of what a polygon winds around, the way round of its own signed area: of one whose edges cross, the repaired
+    area. Edges are cut where they cross, and what has the region on one side only bounds it (Green's theorem)."""
+    inside = lambda edges: lambda p: let(_sides(p, edges), lambda w: (w["left"] > 0).cast("int") - (w["right"] > 0).cast("int"))
+    return let(_forward(points), lambda edges: F.abs(_bounded(_cut(edges, edges), inside(edges))) / 2)
+
+
+def region_shared(first: Column, second: Column) -> Column:
+    """Area that the regions of two polygons of any kind share. A border that both have counts once."""
+
+    def shared(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        both = lambda p: let(F.struct(_sides(p, a).alias("a"), _sides(p, b).alias("b")), lambda w: ((w["a"]["left"] > 0) & (w["b"]["left"] > 0)).cast("int") - ((w["a"]["right"] > 0) & (w["b"]["right"] > 0)).cast("int"))
+
+        def on_first(p: Column) -> Column:
+            mx, my = (p["a"]["x"] + p["b"]["x"]) / 2, (p["a"]["y"] + p["b"]["y"]) / 2
+
+            def holds(f: Column) -> Column:
+                dx, dy = f["b"]["x"] - f["a"]["x"], f["b"]["y"] - f["a"]["y"]
+                n, t = F.sqrt(dx * dx + dy * dy), (mx - f["a"]["x"]) * dx + (my - f["a"]["y"]) * dy
+                return (F.abs((mx - f["a"]["x"]) * dy - (my - f["a"]["y"]) * dx) <= NEAR * n) & (t >= 0) & (t <= n * n)
+
+            return F.exists(a, holds)
+
+        every = F.concat(a, b)
+        return F.abs(_bounded(_cut(a, every), both) + _bounded(_cut(b, every), both, on_first)) / 2
+
+    return let(F.struct(_forward(first).alias("a"), _forward(second).alias("b")), shared)
+
+
+def safe_area(points: Column, is_convex: Column | None = None) -> Column:
+    """Area of a usable polygon, repaired where its edges cross; null for under three points or no area."""
+    own = F.when(convex(points) if is_convex is None else is_convex, polygon_area(points)).otherwise(region_area(points))
+    return F.when(F.size(points) >= 3, let(own, lambda a: F.when(a > 0, a)))
 
 
 def centroid(points: Column) -> Column:
@@ -197,25 +278,30 @@ def _clipped(poly: Column, a: Column, b: Column, side: Column) -> Column:
     return F.when(F.size(poly) == 0, poly).otherwise(let(F.transform(poly, away), cut))
 
 
-def intersection_area(subject: Column, clip: Column) -> Column:
-    """Area shared by two convex polygons: the first is cut along every edge of the second."""
+def intersection_area(subject: Column, clip: Column, both_convex: Column | None = None) -> Column:
+    """Area shared by two polygons. Of convex ones the first is cut along every edge of the second; others go by their borders."""
     ends = lambda p, c, f: f(F.transform(p, lambda q: q[c]))
     apart = F.lit(False)
     for c in "xy":
         apart = apart | (ends(subject, c, F.array_min) > ends(clip, c, F.array_max)) | (ends(subject, c, F.array_max) < ends(clip, c, F.array_min))
-    shared = let(F.signum(signed_area(clip)), lambda side: polygon_area(F.aggregate(_pairs(clip), subject, lambda poly, e: _clipped(poly, e["a"], e["b"], side))))
-    return F.when(apart, F.lit(0.0)).otherwise(shared)
+    cut = let(F.signum(signed_area(clip)), lambda side: polygon_area(F.aggregate(_pairs(clip), subject, lambda poly, e: _clipped(poly, e["a"], e["b"], side))))
+    plain = convex(subject) & convex(clip) if both_convex is None else both_convex
+    return F.when(apart, F.lit(0.0)).when(plain, cut).otherwise(region_shared(subject, clip))
 
 
 def visible_fraction(hull: Column, occluder: Column) -> Column:
-    return let(polygon_area(hull), lambda area: F.try_divide(area - intersection_area(hull, occluder), area))
+    return let(safe_area(hull), lambda area: F.try_divide(area - intersection_area(hull, occluder), area))
 
 
 def kept_after_occlusion(hull: Column, occluder: Column, hidden: float = MAX_HIDDEN) -> Column:
     """Whether a corner is labelled: no occluder, or at most `hidden` of the hull lies under it."""
-    usable = safe_area(occluder).isNotNull()
-    visible = let(safe_area(hull), lambda area: F.coalesce((area - intersection_area(hull, occluder)) / area >= 1.0 - hidden, F.lit(False)))
-    return F.when(occluder.isNull(), True).when(~usable, False).otherwise(visible)
+
+    def judged(c: Column) -> Column:
+        visible = let(safe_area(hull, c["h"]), lambda area: F.coalesce((area - intersection_area(hull, occluder, c["h"] & c["o"])) / area >= 1.0 - hidden, F.lit(False)))
+        return F.when(safe_area(occluder, c["o"]).isNull(), False).otherwise(visible)
+
+    both = F.struct(convex(hull).alias("h"), convex(occluder).alias("o"))
+    return F.when(occluder.isNull(), True).otherwise(let(both, judged))
 
 
 def tight_rectangle(hull: Column) -> Column:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenekiln.functions import geometry as g
 from scenekiln.functions import text as t
-from scenekiln.functions.hull import convex_hull
+from scenekiln.functions.hull import convex_hull, hull_by
 from scenekiln.operators import members as m
 from scenekiln.operators import ranking, sampling, scenes
 from scenekiln.plans import rasters, shapes  # rasters registers queries of its own
 from scenekiln.plans.registry import ORACLE_SQL, QUERIES, query
-from scenekiln.plans.sql import LABELS, NAMES, PLACED, SHARED, scenes_sql, shoelace, with_shapes
+from scenekiln.plans.sql import LABELS, NAMES, PLACED, SHARED, regions, scenes_sql, shoelace, with_shapes
 from scenekiln.session import materialize, table, united
 from scenekiln.sources.shards import distinct_names
 
@@ -104,14 +104,14 @@ def intersection_area(spark, sf_dir):
     return df.select("scene", "z", "corner", F.round(g.intersection_area(F.col("hull"), F.col("occluder")), 4).alias("inter"))
 
 
-@query("WITH " + ",\n".join([with_shapes("placements"), PLACED, SHARED]) + f" SELECT scene, z, corner, coalesce((abs({shoelace('h.hull')}) - inter) / abs({shoelace('h.hull')}) >= 0.9::DOUBLE, true) AS kept FROM hulls h LEFT JOIN shared USING (scene, z, corner)")
+@query("WITH " + ",\n".join([with_shapes("placements"), PLACED, SHARED]) + " SELECT scene, z, corner, free OR (area - inter) / area >= 0.9::DOUBLE AS kept FROM measured")
 def occlusion_keep(spark, sf_dir):
     """Which corners stay visible."""
     df = scenes.with_occluder(scenes.placed(shapes.placements(spark, sf_dir))).select("scene", "z", "occluder", F.posexplode(F.array("hull_hl", "hull_lr")).alias("corner", "hull"))
     return df.select("scene", "z", "corner", g.kept_after_occlusion(F.col("hull"), F.col("occluder")).alias("kept"))
 
 
-@query("WITH " + ",\n".join([with_shapes("placements"), PLACED, SHARED]) + f" SELECT scene, z, corner, round((abs({shoelace('h.hull')}) - inter) / abs({shoelace('h.hull')}), 6) + 0 AS visible FROM hulls h JOIN shared USING (scene, z, corner)")
+@query("WITH " + ",\n".join([with_shapes("placements"), PLACED, SHARED]) + " SELECT scene, z, corner, round((area - inter) / area, 6) + 0 AS visible FROM shared")
 def visible_fraction(spark, sf_dir):
     """How much of each corner the card drawn next leaves in sight."""
     df = scenes.with_occluder(scenes.placed(shapes.placements(spark, sf_dir))).filter("occluder IS NOT NULL").select("scene", "z", "occluder", F.posexplode(F.array("hull_hl", "hull_lr")).alias("corner", "hull"))
@@ -162,19 +162,36 @@ def polygon_area(spark, sf_dir):
     return shapes.point_sets(spark, sf_dir).select("vec_id", F.round(g.polygon_area(g.polygon(F.col("points"))), 4).alias("area"))
 
 
-def _turn(a: int, b: int, c: int) -> str:
-    return f"((p[{b}].x - p[{a}].x) * (p[{c}].y - p[{a}].y) - (p[{b}].y - p[{a}].y) * (p[{c}].x - p[{a}].x))"
+@query(f"WITH {with_shapes('point_sets')}, own AS (SELECT vec_id, 0 AS of, points AS p FROM point_sets), {regions('own')} SELECT vec_id, round(area, 4) AS area FROM regions")
+def safe_polygon(spark, sf_dir):
+    """Areas of all points as polygons, repaired where their edges cross."""
+    return _spread(shapes.point_sets(spark, sf_dir)).select("vec_id", F.round(g.safe_area(F.col("points")), 4).alias("area"))
 
 
-def _cross(a: int, b: int, c: int, d: int) -> str:
-    return f"({_turn(a, b, c)} * {_turn(a, b, d)} < 0 AND {_turn(c, d, a)} * {_turn(c, d, b)} < 0)"
+def _spread(df: DataFrame) -> DataFrame:
+    """Few narrow rows that take long each, over all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "vec_id")
 
 
-@query(f"WITH {with_shapes('point_sets')}, thin AS (SELECT vec_id, points[1:vec_id % 5] AS p FROM point_sets) SELECT vec_id, CASE WHEN len(p) >= 3 AND {shoelace('p')} <> 0 AND NOT coalesce({_cross(1, 2, 3, 4)} OR {_cross(2, 3, 4, 1)}, false) THEN round(abs({shoelace('p')}), 4) END AS area FROM thin")
-def safe_polygon(spark, sf_dir):
-    """Areas of usable polygons of up to four points; null for fewer than three, without area, or where edges cross."""
-    df = shapes.point_sets(spark, sf_dir).withColumn("p", F.slice("points", F.lit(1), (F.col("vec_id") % 5).cast("int")))
-    return df.select("vec_id", F.round(g.simple_area(F.col("p")), 4).alias("area"))
+def _star(points: Column, first: int) -> Column:
+    """Twelve points as a polygon whose edges do not cross: in the order of their angles around their mean."""
+    own = F.slice(points, first, 12)
+    mean = lambda ps, c: F.aggregate(ps, F.lit(0.0), lambda s, p: s + p[c]) / 12
+    turned = lambda ps, m: F.array_sort(F.transform(ps, lambda p: F.struct(F.atan2(p["y"] - m["y"], p["x"] - m["x"]).alias("a"), p["x"].alias("x"), p["y"].alias("y"))))
+    sorted_ = g.let(own, lambda ps: g.let(F.struct(mean(ps, "x").alias("x"), mean(ps, "y").alias("y")), lambda m: turned(ps, m)))
+    return F.transform(sorted_, lambda s: g.point(s["x"], s["y"]))
+
+
+def _star_sql(of: int, first: int) -> str:
+    turned = f"list_sort([{{'a': atan2(q.y - my, q.x - mx), 'x': q.x, 'y': q.y}} FOR q IN own])"
+    return f"SELECT vec_id, {of} AS of, {turned} AS p FROM (SELECT vec_id, own, list_sum([q.x FOR q IN own]) / 12 AS mx, list_sum([q.y FOR q IN own]) / 12 AS my FROM (SELECT vec_id, points[{first}:{first + 11}] AS own FROM point_sets))"
+
+
+@query(f"WITH {with_shapes('point_sets')}, own AS ({_star_sql(0, 1)} UNION ALL {_star_sql(1, 13)}), {regions('own')} SELECT vec_id, round(area, 4) AS shared FROM regions")
+def shared_polygons(spark, sf_dir):
+    """Area that two polygons of twelve points share, which are not convex."""
+    df = _spread(shapes.point_sets(spark, sf_dir)).select("vec_id", _star(F.col("points"), 1).alias("a"), _star(F.col("points"), 13).alias("b"))
+    return df.select("vec_id", F.round(g.intersection_area(F.col("a"), F.col("b")), 4).alias("shared"))
 
 
 CROSS = "(points[i].x * points[i % 32 + 1].y - points[i % 32 + 1].x * points[i].y)"
@@ -201,6 +218,32 @@ def convex_hulls(spark, sf_dir):
     return df.select("vec_id", F.size("hull").cast("long").alias("corners"), F.round(g.polygon_area(F.col("hull")), 3).alias("area"))
 
 
+HULL_EDGES = """{0} AS (SELECT a.{1} AS id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM {2} a JOIN {2} b ON a.{1} = b.{1} AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (FROM {2} c WHERE c.{1} = a.{1} AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 AND (c.x <> b.x OR c.y <> b.y)))"""
+
+
+@query(f"""WITH points AS (SELECT event_type AS zone, event_id % 50 AS x, value AS y FROM events WHERE value IS NOT NULL),
+ends AS (SELECT zone, x, min(y) AS y FROM points GROUP BY zone, x UNION SELECT zone, x, max(y) FROM points GROUP BY zone, x),
+{HULL_EDGES.format('e', 'zone', 'ends')} SELECT id AS zone, round(sum(ax * b_y - bx * ay) / 2, 3) AS area, round(min(ay), 6) AS lowest, round(max(ay), 6) AS highest FROM e GROUP BY id""")
+def zone_hulls(spark, sf_dir):
+    """Hulls of all points of a zone, however many rows it has, merged from hulls of batches."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("zone"), (F.col("event_id") % 50).alias("x"), F.col("value").alias("y"))
+    hulls = hull_by(events, ["zone"], F.col("x"), F.col("y"))
+    ys = F.transform("hull", lambda p: p["y"])
+    return hulls.select("zone", F.round(g.polygon_area(F.col("hull")), 3).alias("area"), F.round(F.array_min(ys), 6).alias("lowest"), F.round(F.array_max(ys), 6).alias("highest"))
+
+
+@query(f"""WITH {with_shapes('point_sets')}, n AS (SELECT DISTINCT vec_id, q.x AS x, q.y AS y FROM (SELECT vec_id, unnest(points) AS q FROM point_sets)),
+{HULL_EDGES.format('e', 'vec_id', 'n')},
+u AS (SELECT id, (bx - ax) / d AS ux, (b_y - ay) / d AS uy FROM (SELECT *, sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) AS d FROM e)),
+r AS (SELECT id, ux, uy, max(x * ux + y * uy) - min(x * ux + y * uy) AS w, max(y * ux - x * uy) - min(y * ux - x * uy) AS h FROM u JOIN n ON id = vec_id GROUP BY id, ux, uy)
+SELECT id AS vec_id, round(min(w * h), 3) AS area, round(arg_min(w + h, w * h), 4) AS sides FROM r GROUP BY id""")
+def tight_rectangles(spark, sf_dir):
+    """The smallest rectangles around 32 points."""
+    df = shapes.point_sets(spark, sf_dir).withColumn("hull", convex_hull("points")).select("vec_id", g.tight_rectangle(F.col("hull")).alias("r"))
+    return df.select("vec_id", F.round("r.area", 3).alias("area"), F.round(F.col("r.width") + F.col("r.height"), 4).alias("sides"))
+
+
 @query("SELECT p_partkey, (greatest(348, p_size * 20) - 228) // 2 AS dx, (greatest(348, p_size * 20) - 348) // 2 AS dy FROM part")
 def card_offsets(spark, sf_dir):
     """Where a card lies on placement canvases of many sizes."""
@@ -403,6 +446,40 @@ def sample_lookup(spark, sf_dir):
     return m.load_samples(m.class_index(members), members, ["png", "hull_hl.npy", "hull_lr.npy"]).select("name", "shard", "key", "png", F.col("`hull_hl.npy`").alias("hull_hl"))
 
 
+@query("""WITH c AS (SELECT *, (lag(event_type) OVER w IS DISTINCT FROM event_type OR row_number() OVER w = 1)::INTEGER AS new FROM events WINDOW w AS (ORDER BY ts, event_id)),
+r AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id) - 1 AS run FROM c) SELECT run::BIGINT AS run, event_type AS key, count(*) AS members FROM r GROUP BY ALL""")
+def giant_run_grouping(spark, sf_dir):
+    """Runs where one shard has all members: numbered in many tasks."""
+    df = m.runs(shapes.event_members(spark, sf_dir).withColumn("shard", F.lit("all")), ["shard"], ["ts", "event_id"])
+    return df.groupBy("run", "key").agg(F.count("*").alias("members"))
+
+
+@query("""WITH e AS (SELECT p_brand, p_size, printf('%08d', p_partkey) AS key, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, printf('%08d', p_partkey)) - 1 AS e, count(*) OVER (PARTITION BY p_brand) AS c FROM part),
+b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS r, count(*) OVER () AS k FROM (SELECT DISTINCT p_brand FROM part)),
+draws AS (SELECT o_orderkey AS draw, (o_orderkey * 7919) % (SELECT max(k) FROM b) AS r FROM orders)
+SELECT draw, e.p_brand AS name, p_size AS shard, key FROM draws JOIN b USING (r) JOIN e ON e.p_brand = b.p_brand AND e = (draw * 104729) % c""")
+def paged_draws(spark, sf_dir):
+    """A class, then one of its entries, from the pages of the class index that a given plan asks for."""
+    paged = m.PagedIndex(m.class_index(shapes.part_members(spark, sf_dir)))
+    classes = paged.directory.count()
+    draws = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("draw"), (F.col("o_orderkey") * 7919 % classes).cast("int").alias("class_rank"))
+    draws = draws.join(paged.directory.select("class_rank", "n"), "class_rank").select("draw", "class_rank", (F.col("draw") * 104729 % F.col("n")).alias("entry"))
+    return paged.drawn(draws).select("draw", "name", "shard", "key")
+
+
+@query("SELECT name, shard, key FROM (SELECT p_brand AS name, p_size AS shard, printf('%08d', p_partkey) AS key, row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat_ws(':', 42, 'sample', p_size, printf('%08d', p_partkey)))) AS r FROM part) WHERE r <= 3")
+def keyed_class_sample(spark, sf_dir):
+    """Three entries of each class, drawn by hash in one scan."""
+    return sampling.keyed_sample(m.class_index(shapes.part_members(spark, sf_dir)), 42, 3, ["shard", "key"], ["name"]).select("name", "shard", "key")
+
+
+@query(f"WITH {with_shapes('walked')} SELECT doc_id, path FROM walked WHERE decodes AND {WALK} ORDER BY md5(concat_ws(':', 7, 'sample', path)) LIMIT 20")
+def background_draws(spark, sf_dir):
+    """Twenty backgrounds of all walked files that decode, drawn by hash in one scan."""
+    df = shapes.walked_files(spark, sf_dir).filter(t.is_image(F.col("path")) & F.col("decodes"))
+    return sampling.keyed_sample(df.select("doc_id", "path"), 7, 20, ["path"])
+
+
 @query("SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1")
 def counts_by_class(spark, sf_dir):
     return m.class_index(shapes.part_members(spark, sf_dir)).groupBy("name").agg(F.count("*").alias("n"))

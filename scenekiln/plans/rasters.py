@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from scenekiln.functions import geometry as g
 from scenekiln.functions import pixels
 from scenekiln.functions.text import padded
+from scenekiln.operators import members as m
 from scenekiln.plans import shapes
 from scenekiln.plans.registry import query
 from scenekiln.plans.sql import with_shapes
 from scenekiln.session import shared_path, table
 from scenekiln.sources import png
 from scenekiln.sources import shards as s
+from scenekiln.sources.files import write_files
 
 GRIDS = f"WITH {with_shapes('grids')}"
 
@@ -136,11 +138,33 @@ def feather_rows(spark, sf_dir):
 @query(f"WITH {with_shapes('part_members')} SELECT printf('parts-%04d.tar', shard) AS shard, row_number() OVER (PARTITION BY shard ORDER BY ord) - 1 AS ord, key, ext, payload FROM part_members")
 def shard_roundtrip(spark, sf_dir):
     """Members written to tar shards and read again, each in its place."""
+    members = s.read_members(spark, part_shards(spark, sf_dir))
+    return members.select(F.substring_index("shard", "/", -1).alias("shard"), "ord", "key", "ext", F.col("payload").cast("string").alias("payload"))
+
+
+def part_shards(spark, sf_dir) -> str:
+    """A folder of tar shards with four members a part."""
     folder = shared_path(spark, "shards")
     df = shapes.part_members(spark, sf_dir)
     file, name = F.concat(F.lit("parts-"), padded(F.col("shard"), 4), F.lit(".tar")), F.concat_ws(".", "key", "ext")
-    s.write_files(df.select(file.alias("file"), name.alias("name"), F.col("payload").cast("binary").alias("payload"), "ord"), folder, ["ord"])
-    return s.read_members(spark, folder).select(F.substring_index("shard", "/", -1).alias("shard"), "ord", "key", "ext", F.col("payload").cast("string").alias("payload"))
+    write_files(df.select(file.alias("file"), name.alias("name"), F.col("payload").cast("binary").alias("payload"), "ord"), folder, ["ord"])
+    return folder
+
+
+@query(f"WITH {with_shapes('part_members')} SELECT trim(payload, ' ' || chr(9) || chr(10)) AS name, printf('parts-%04d.tar', shard) AS shard, key FROM part_members WHERE ext = 'cls'")
+def shard_class_index(spark, sf_dir):
+    """Where each class's samples are in real shards, of which only headers and classes are read."""
+    index = m.class_index(s.read_members(spark, part_shards(spark, sf_dir), ["cls"]))
+    return index.select("name", F.substring_index("shard", "/", -1).alias("shard"), "key")
+
+
+@query("SELECT p_brand AS name, printf('parts-%04d.tar', p_size) AS shard, printf('%08d', p_partkey) AS key, p_name AS png, p_type AS hull_hl FROM part")
+def shard_sample_lookup(spark, sf_dir):
+    """Every sample, each member one read of its byte range."""
+    folder = part_shards(spark, sf_dir)
+    wanted = m.class_index(s.read_members(spark, folder, ["cls"]))
+    found = s.load_samples(spark, folder, wanted, ["png", "hull_hl.npy", "hull_lr.npy"])
+    return found.select("name", F.substring_index("shard", "/", -1).alias("shard"), "key", F.col("png").cast("string").alias("png"), F.col("`hull_hl.npy`").cast("string").alias("hull_hl"))
 
 
 @query("SELECT p_size AS scene, string_agg(p_name || chr(10), '' ORDER BY p_partkey) AS text FROM part GROUP BY p_size")
@@ -150,6 +174,6 @@ def files_roundtrip(spark, sf_dir):
     lines = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
     texts = table(spark, sf_dir, "part").groupBy("p_size").agg(F.array_join(F.transform(lines, lambda r: F.concat(r["p_name"], F.lit("\n"))), "").alias("text"))
     file = F.concat(F.lit("scene_"), padded(F.col("p_size"), 6), F.lit(".txt"))
-    s.write_files(texts.select(file.alias("file"), F.lit(None).cast("string").alias("name"), F.col("text").cast("binary").alias("payload")), folder, [])
+    write_files(texts.select(file.alias("file"), F.lit(None).cast("string").alias("name"), F.col("text").cast("binary").alias("payload")), folder, [])
     found = spark.read.format("binaryFile").load(folder)
     return found.select(F.regexp_extract("path", r"scene_(\d+)\.txt$", 1).cast("int").alias("scene"), F.col("content").cast("string").alias("text"))

@@ -79,8 +79,7 @@ def test_polygons(spark):
     with pytest.raises(Exception, match="three points"):
         one(spark, g.polygon(pts([(0, 0), (1, 1)])))
     assert one(spark, g.safe_area(pts([(0, 0), (1, 1), (2, 2)]))) is None
-    with pytest.raises(Exception, match="convex"):
-        one(spark, g.safe_area(pts([(0, 0), (10, 0), (1, 1), (0, 10)])))
+    assert one(spark, g.safe_area(pts([(0, 0), (10, 0), (1, 1), (0, 10)]))) == pytest.approx(10)
     c = one(spark, g.centroid(pts(square)))
     assert (c.x, c.y) == (5, 5)
 
@@ -213,28 +212,64 @@ def test_all_layers_of_a_scene_are_composited(spark, duck):
 
 
 def test_safe_polygon_returns_every_point_set(spark, duck):
-    def crossed(p):
-        turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-        cut = lambda a, b, c, d: turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0
-        return len(p) == 4 and (cut(*p) or cut(*p[1:], p[0]))
-
-    want, odd = {}, 0
+    want = {}
     for vec_id, e in duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall():
-        p = [(360 + 700 * float(e[2 * i]), 360 + 700 * float(e[2 * i + 1])) for i in range(vec_id % 5)]
-        area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1]))) / 2
-        want[vec_id] = area if len(p) > 2 and area > 0 and not crossed(p) else None
-        odd += crossed(p)
-    rows = [(r.vec_id, r.area) for r in QUERIES["safe_polygon"](spark, SF).collect()]
-    assert len(rows) == len(want) and odd and any(a is not None and i % 5 == 4 for i, a in want.items())
-    assert dict(rows) == {i: a if a is None else pytest.approx(a, abs=1e-3) for i, a in want.items()}
-
-
-def test_simple_areas(spark):
-    area = lambda *p: one(spark, g.simple_area(pts(list(p))))
-    assert area((0, 0), (10, 0), (10, 10), (0, 10)) == 100 and area((0, 0), (10, 0), (1, 1), (0, 10)) == 10
-    assert area((0, 0), (10, 10), (10, 0), (0, 5)) is None and area((0, 0), (1, 1), (2, 2)) is None and area() is None
-    assert area((0, 0), (10, 0), (10, 0), (10, 10), (0, 10), (0, 0)) == 100
-    assert area((0, 0), (6, 0), (6, 4), (4, 4), (4, 2), (2, 2), (2, 4), (0, 4)) == 20
+        want[vec_id] = [(360 + 700 * float(e[2 * i]), 360 + 700 * float(e[2 * i + 1])) for i in range(32)]
+    got = {r.vec_id: r.area for r in QUERIES["safe_polygon"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(a > 0 for a in got.values())
+    for vec_id in list(want)[::100]:  # edges of 32 random points cross many times
+        small = [((x - 0) / 30, (y - 0) / 30) for x, y in want[vec_id]]
+        assert got[vec_id] / 900 == pytest.approx(grid_area([small], 0.1), rel=0.05)
+
+
+def test_repaired_areas(spark):
+    area = lambda *p: one(spark, g.safe_area(pts(list(p))))
+    assert area((0, 0), (10, 0), (10, 10), (0, 10)) == 100 and area((0, 0), (10, 0), (1, 1), (0, 10)) == pytest.approx(10)
+    assert area((0, 0), (1, 1), (2, 2)) is None and area() is None
+    assert area((0, 0), (10, 0), (10, 0), (10, 10), (0, 10), (0, 0)) == pytest.approx(100)
+    assert area((0, 0), (6, 0), (6, 4), (4, 4), (4, 2), (2, 2), (2, 4), (0, 4)) == pytest.approx(20)
+    assert area((0, 0), (10, 10), (10, 0), (0, 5)) == pytest.approx(100 / 3)  # of a bow the larger lobe: the edges meet at (10/3, 10/3)
+    star = [(10 * math.cos(4 * math.pi * i / 5), 10 * math.sin(4 * math.pi * i / 5)) for i in range(5)]  # all turns one way, twice around
+    inner = 10 * math.cos(2 * math.pi / 5) / math.cos(math.pi / 5)
+    assert area(*star) == pytest.approx(10 * 10 * inner * math.sin(math.pi / 5) / 2)
+    assert area(*star[::-1]) == pytest.approx(area(*star))
+
+
+def grid_area(polygons, step=0.25):
+    """Share of a fine grid of points that all polygons wind around, the way round of their own signed areas."""
+    def winds(p, x, y):
+        n = 0
+        for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1]):
+            side = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+            n += (ay <= y < by and side > 0) - (by <= y < ay and side < 0)
+        return n
+
+    forward = [p if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) >= 0 else p[::-1] for p in polygons]
+    places = [(i + 0.37) * step for i in range(int(24 / step))]
+    return sum(all(winds(p, x, y) > 0 for p in forward) for x in places for y in places) * step * step
+
+
+def test_any_polygons_against_a_grid(spark):
+    rng = random.Random(12)
+    some = lambda n: [(rng.uniform(1, 23), rng.uniform(1, 23)) for _ in range(n)]
+    pairs = [(some(rng.randint(3, 9)), some(rng.randint(3, 9))) for _ in range(25)]
+    square = [(2.0, 2.0), (12.0, 2.0), (12.0, 12.0), (2.0, 12.0)]
+    cross = [(7.0, 2.0), (9.0, 2.0), (9.0, 20.0), (7.0, 20.0)]  # shares a border with the square
+    notch = [(2.0, 2.0), (12.0, 2.0), (12.0, 12.0), (7.0, 7.0), (2.0, 12.0)]
+    pairs += [(square, cross), (notch, square), (notch, notch), (square, [(12.0, 2.0), (20.0, 2.0), (20.0, 12.0), (12.0, 12.0)])]
+    rows = [(i, [{"x": x, "y": y} for x, y in a], [{"x": x, "y": y} for x, y in b]) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, f"i int, a {g.POINTS}, b {g.POINTS}").select("i", g.safe_area(F.col("a")).alias("area"), g.intersection_area(F.col("a"), F.col("b")).alias("ab"), g.intersection_area(F.col("b"), F.col("a")).alias("ba"), g.region_shared(F.col("a"), F.col("b")).alias("r"))
+    got = {r.i: r for r in df.collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert (got[i].area or 0) == pytest.approx(grid_area([a]), abs=6) and got[i].ab == pytest.approx(grid_area([a, b]), abs=6)
+        assert got[i].ab == pytest.approx(got[i].ba, abs=1e-6) and got[i].r == pytest.approx(got[i].ab, abs=1e-6)
+    assert [round(got[i].ab, 6) for i in range(25, 29)] == [20.0, 75.0, 75.0, 0.0]
+
+
+def test_corners_under_odd_cards(spark):
+    hull, notch = [(0, 0), (10, 0), (10, 10), (0, 10)], [(-1, -1), (30, -1), (30, 30), (20, 5), (-1, 30)]
+    kept = lambda h, o: one(spark, g.kept_after_occlusion(pts(h), pts(o)))
+    assert not kept(hull, notch) and kept([(18, 25), (22, 25), (22, 29), (18, 29)], notch)
 
 
 def test_plan_and_its_labels_against_plain_python_and_sql(spark, duck):
