@@ -9,8 +9,9 @@ are a multinomial draw conditioned on the quotas (independent draws would miss t
 A permutation of n indices is a swap-or-not shuffle: in each round x and (k - x) mod n are a pair that trades places if
 a hash of the pair's larger member says so. It works for any n, needs no table, and is undone round by round.
 
-Nothing here gathers a source in one task: documents are numbered within (source, chunk), only sums of chunks are added
-up by source, slots are made from bounded ranges, and words meet slots by a join on (source, block).
+Nothing here gathers a source in one task: documents are numbered within (source, chunk), those that repeat as one, only
+sums of chunks are added up by source, slots and copies are made from bounded ranges, and words meet slots by a join on
+(source, block).
 
 Rows: a null text has size 0 and is taken 0 times; a null source is a source of its own, the last one; repeated rows
 are documents of their own; empty tables give empty tables; long texts span many blocks. Reruns agree, whatever the
@@ -29,6 +30,8 @@ from scenekiln.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 ROUNDS, CHUNKS, SLOT_RANGE = 24, 4096, 4096
+#: Copies of a record that are dealt out together.
+COPY_RANGE = 4096
 #: Up to so many sources their statistics are broadcast.
 MAX_BROADCAST_SOURCES = 10_000
 
@@ -126,20 +129,29 @@ class Mix:
         df = df.withColumn("place", place)
         return df.select("source", "index", "take", F.floor(F.col("place") / self.per_shard).alias("shard"), F.pmod("place", F.lit(self.per_shard)).alias("slot"))
 
-    def packed(self, rows: DataFrame) -> DataFrame:
-        """`rows` (as made by _keyed) with their number within (source, chunk) and their first word in the source."""
-        within = Window.partitionBy("source", "chunk").orderBy("doc_id", "h", "size")
-        df = rows.withColumns({"n": F.row_number().over(within), "inner": F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
-        sums = self.narrow.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
-        sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("chunk")) - F.col("words"))
-        sums = sums.select(F.col("source").alias("__s"), F.col("chunk").alias("__c"), "before")
-        df = df.join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("chunk") == F.col("__c")), "left").drop("__s", "__c")
-        return df.withColumn("offset", F.col("before") + F.col("inner")).drop("before", "inner")
+    def packed(self) -> DataFrame:
+        """One row a document with its number within (source, chunk) and its first word in the source.
+
+        Records that repeat are counted before they are shuffled, and numbered and placed as one; what they stand for is
+        dealt out again in ranges of copies, so that one record in most rows is one row in a window and many tasks after.
+        """
+        records = self.narrow.groupBy("source", "chunk", "doc_id", "h", "size").agg(F.count("*").alias("c"))
+        before = Window.partitionBy("source", "chunk").orderBy("doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
+        sums = {"n0": F.sum("c"), "inner": F.sum(F.col("size") * F.col("c"))}
+        df = records.withColumns({k: F.coalesce(v.over(before), F.lit(0)) for k, v in sums.items()})
+        chunks = self.narrow.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
+        chunks = chunks.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("chunk")) - F.col("words"))
+        chunks = chunks.select(F.col("source").alias("__s"), F.col("chunk").alias("__c"), "before")
+        df = df.join(chunks.hint("merge"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("chunk") == F.col("__c")), "left").drop("__s", "__c")
+        df = df.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / COPY_RANGE)))).repartition("source", "chunk", "doc_id", "h", "r")
+        df = df.withColumn("k", F.explode(F.sequence(F.col("r") * COPY_RANGE, F.least("c", (F.col("r") + 1) * COPY_RANGE) - 1)))
+        offset = F.col("before") + F.col("inner") + F.col("k") * F.col("size")
+        return df.select("source", "chunk", "doc_id", "h", "size", (F.col("n0") + F.col("k") + 1).alias("n"), offset.alias("offset"))
 
     def spread(self) -> DataFrame:
         """One row a document and block it touches: the words [a, b) of the block."""
         block = F.lit(self.block)
-        df = self.packed(self.narrow)
+        df = self.packed()
         blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block)))
         df = df.withColumn("index", F.explode_outer(blocks))
         start = F.col("index") * block

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from scenekiln.llm import mixing
 from scenekiln.llm.mixing import Mix, permuted
 from scenekiln.llm.queries import op4_mixing, op4_mixing_dealt
 
@@ -128,3 +129,62 @@ def test_clashing_columns_stay(spark):
     assert out.columns == docs.columns
     rows = out.collect()
     assert len(rows) > 100 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in clash) and all(set(r.text.split()) <= set(texts[r.doc_id].split()) for r in rows)
+
+
+def permuted_plainly(x, n, hashes):
+    """Swap-or-not on one index; `hashes` has for each round the shift and the bit of every index."""
+    for shift, bits in hashes:
+        pair = (shift - x) % n
+        x = pair if bits[max(x, pair)] else x
+    return x
+
+
+def test_registered_query_against_plain_python(spark):
+    """op4_mixing's words by document: sources packed, quotas filled block by block, all in plain Python. Only hashes are Spark's."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
+    h = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("h")).withColumn("chunk", F.pmod(F.xxhash64(F.lit(0), "doc_id", "h"), F.lit(4096)))
+    rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.chunk, r.h) for r in h.collect()]
+    sizes = defaultdict(int)
+    for _, s, n, _, _ in rows:
+        sizes[s] += n
+    want, taken = water(sizes), defaultdict(int)
+    for source, size in sizes.items():
+        quota, blocks = round(want[source]), -(-size // 256)
+        times = [0] * size  # how often each word of the packed source is taken
+        for k, words in ((0, min(quota, size)), (1, max(quota - size, 0))):
+            (salt,) = spark.sql(f"SELECT xxhash64(0, {source!r}, '{k}')").first()
+            hashed = spark.range(24).select(F.pmod(F.xxhash64(F.lit(salt), F.col("id").cast("int")), F.lit(blocks)).alias("shift"), F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.xxhash64(F.lit(salt), F.col("id").cast("int"), x.cast("long")).bitwiseAND(1) == 1).alias("bits")).orderBy("id").collect()
+            hashes, left, j = [(r.shift, r.bits) for r in hashed], words, 0
+            while left > 0:
+                at = permuted_plainly(j, blocks, hashes)
+                block = range(at * 256, min(size, at * 256 + 256))
+                for i in block[: min(len(block), left)]:
+                    times[i] += 1
+                left -= min(len(block), left)
+                j += 1
+        at = 0
+        for doc_id, _, n, _, _ in sorted((r for r in rows if r[1] == source), key=lambda r: (r[3], r[0], r[4])):
+            taken[doc_id] += sum(times[at : at + n])
+            at += n
+    got = {r.doc_id: r.taken for r in op4_mixing(spark, SF).collect()}
+    assert len(got) == len(rows) and got == {i: taken[i] for i in got}
+
+
+def test_a_record_in_most_rows_is_one_row_in_a_window(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPY_RANGE", 100)
+    rows = [(5, "one two three", "a")] * 2000 + [(i, "four five " * (i % 4), "a") for i in range(300)] + [(None, "six", None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mix = Mix(docs, block=16)
+    packed = mix.packed().collect()
+    assert len(packed) == len(rows)
+    at = 0
+    for r in sorted((r for r in packed if r.source == "a"), key=lambda r: (r.chunk, r.n)):  # numbers and words follow on each other
+        assert r.offset == at
+        at += r["size"]
+    numbers = defaultdict(list)
+    for r in packed:
+        numbers[r.source, r.chunk].append(r.n)
+    assert all(sorted(n) == list(range(1, len(n) + 1)) for n in numbers.values())
+    out = mix.taken().collect()
+    assert len(out) == len(rows) and abs(sum(r.taken for r in out if r.source == "a") - water({"a": at, None: 30})["a"]) <= 1
+    assert sum(len(r.text.split()) for r in mix.documents(docs).collect()) == sum(r.taken for r in out)
