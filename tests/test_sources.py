@@ -262,6 +262,23 @@ def test_names_config_and_cli(spark, tmp_path, monkeypatch, capsys):
             parser().parse_args(bad)
 
 
+def test_cli_parameters(spark, tmp_path, monkeypatch, capsys):
+    """What is given reaches the operators, and what is not keeps its default."""
+    seen = []
+    monkeypatch.setattr(p, "generate", lambda *a, **k: seen.append((a[1:], k)) or spark.range(3))
+    monkeypatch.setattr(p, "pack_cards", lambda *a, **k: seen.append((a[1:], k)) or 2)
+    assert main(["generate", "--backgrounds", "b", "--cards", "c", "--output", "o", "--seed", "5", "--rotation", "-5", "5", "--hidden", "0.5"]) == 0
+    args, _ = seen.pop()
+    assert args == ("b", "c", "o", 10, 2, 720, 5, p.sampling.AugmentRange(rotation_deg=(-5.0, 5.0)), 0.5, "sequence")
+    assert main(["pack-cards", "in", "out", "--hull-area", "10", "20", "--min-solidity", "0.4"]) == 0
+    assert seen.pop() == (("in", "out", 512), {"extract_hulls": True, "min_area": 30.0, "min_solidity": 0.4, "hull_area": (10.0, 20.0), "tolerance": (0.3, 0.4)})
+    assert main(["pack-cards", "in", "out", "--no-hulls"]) == 0 and seen.pop()[1] == {"extract_hulls": False}
+    for bad in (["--hidden", "2"], ["--scale", "0.8", "0.5"]):
+        with pytest.raises(SystemExit):
+            main(["generate", "--backgrounds", "b", "--cards", "c", "--output", "o", *bad])
+    capsys.readouterr()
+
+
 def jpeg_bytes(spark, tmp_path):
     """16 x 16 gray pixels, left half 40, right half 200, as the JVM's own encoder writes them."""
     jvm = spark.sparkContext._jvm
