@@ -450,9 +450,12 @@ class BpeOperator:
         key, spec = self.key, self.spec
         added = [c for c in (ids_col, intact_col) if c]
         rest = df.drop(*[c for c in added if c != text_col])
-        source = rest.withColumn("__text", F.col(f"`{text_col}`"))
+        read = "__text"
+        while read.lower() in (c.lower() for c in df.columns):  # a name that no column of the input has
+            read += "_"
+        source = rest.withColumn(read, F.col(f"`{text_col}`"))
         source = source.drop(text_col) if text_col in added else source
-        schema = T.StructType([f for f in source.schema.fields if f.name != "__text"] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(intact_col, T.BooleanType())] if intact_col else []))
+        schema = T.StructType([f for f in source.schema.fields if f.name != read] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(intact_col, T.BooleanType())] if intact_col else []))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec(key, spec)
@@ -460,9 +463,9 @@ class BpeOperator:
             for batch in batches:
                 for at in range(0, batch.num_rows, OUT_ROWS):
                     part = batch.slice(at, OUT_ROWS)
-                    texts = [t or "" for t in part.column("__text").to_pylist()]
+                    texts = [t or "" for t in part.column(read).to_pylist()]
                     ids = [codec.packed(t) for t in texts]
-                    columns = {n: part.column(n) for n in part.schema.names if n != "__text"}
+                    columns = {n: part.column(n) for n in part.schema.names if n != read}
                     columns[ids_col] = _ids(ids)
                     if intact_col:
                         columns[intact_col] = pa.array([decoder.feed(np.frombuffer(i, "<u4").tolist()) + decoder.finish() == t for i, t in zip(ids, texts)], pa.bool_())

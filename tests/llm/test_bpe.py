@@ -9,6 +9,7 @@ import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from scenekiln.llm import bpe
 from scenekiln.llm.bpe import NEWER, BpeOperator, Codec, StreamingDecoder, read_ranks
@@ -78,6 +79,9 @@ def test_operator(spark):
     digests = df.select("doc_id", op.digest(op.ids("text")).alias("d")).orderBy("doc_id").collect()
     assert [r.d.decoded_sha256 for r in digests] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
     assert op.encode(df.limit(0)).count() == 0
+    clash = df.select("doc_id", "text", F.lit("mine").alias("__TEXT"), F.lit("too").alias("__text_"))
+    out = op.encode(clash, intact_col="intact").orderBy("doc_id").collect()
+    assert all((r["__TEXT"], r["__text_"], r.intact) == ("mine", "too", True) and r.token_ids == REF.encode_ordinary(t or "") for r, t in zip(out, texts))
 
 
 def test_vocabularies_that_differ_in_two_ranks(spark, tmp_path):

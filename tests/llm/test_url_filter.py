@@ -35,3 +35,18 @@ def test_against_brute_force(spark, monkeypatch):
             rows = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(df, given).collect()}
             assert rows == {i: brute(u, given) for i, u in enumerate(urls)}
     assert filter_urls(df.limit(0), rules).count() == 0
+
+
+def test_a_hot_host_over_many_tasks(spark):
+    """Most pages of one host, repeated rows among them: its rows are judged in several tasks, and rules that open before them count."""
+    rng = random.Random(4)
+    urls = [f"http://hot.example.org{rng.choice(['/es/', '/en/', '/en/1', '/'])}{i % 50}" for i in range(4000)] + [f"http://{h}/x" for h in ("a.org", "z.org", "example.org", "i.example.org", "hot.com")] * 20
+    rules = URL_RULES + [Rule("block", "hot.example.org", "/es/4"), Rule("allow", "hot.example.org", "/")]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(7)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = filter_urls(df, rules).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows} == {i: brute(u, rules) for i, u in enumerate(urls)}
