@@ -140,6 +140,18 @@ def zone_outlines(zone: list[tuple[float, float]]):
     return found.asNondeterministic()  # see convex_hull
 
 
+@F.arrow_udf(OUTLINES)
+def mask_outlines(masks: pa.Array) -> pa.Array:
+    """The outlines of square masks, given as lists of their pixels."""
+    begins = np.r_[0, np.cumsum(np.asarray(masks.value_lengths().fill_null(0)))]
+    pixels = np.asarray(masks.flatten()) != 0
+    sides = np.sqrt(np.diff(begins)).astype(int)
+    return _lists([outlines(pixels[a:b].reshape(n, n)) for a, b, n in zip(begins, begins[1:], sides)])
+
+
+mask_outlines = mask_outlines.asNondeterministic()
+
+
 @F.arrow_udf(OUTLINES)
 def frame_outlines(images: pa.Array) -> pa.Array:
     """The outlines of a whole frame, smoothed before."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenekiln.functions import geometry as g
-from scenekiln.functions import pixels
+from scenekiln.functions import contours, pixels
 from scenekiln.functions.text import padded
 from scenekiln.operators import members as m
 from scenekiln.plans import shapes
@@ -100,6 +100,24 @@ def affine_warp(spark, sf_dir):
     return _each(shapes.grids(spark, sf_dir), "grid", "total long", lambda v: (_total(pixels.warp_affine(_gray(v)[:, :, None], move, 8)),))
 
 
+#: Grays above it stand out.
+STANDS_OUT = 140
+
+
+@query(f"""WITH RECURSIVE {with_shapes('grids')}, cells AS (SELECT vec_id, i, i // 8 AS y, i % 8 AS x FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(grid) AS v FROM grids) WHERE v > {STANDS_OUT}),
+beside AS (SELECT a.vec_id, a.i, b.i AS j FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+reach AS (SELECT vec_id, i, i AS first FROM cells UNION SELECT r.vec_id, j, first FROM reach r JOIN beside n ON r.vec_id = n.vec_id AND r.i = n.i),
+parts AS (SELECT vec_id, i, min(first) AS first FROM reach GROUP BY vec_id, i)
+SELECT p.vec_id, p.first, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM parts p JOIN cells c ON p.vec_id = c.vec_id AND p.i = c.i GROUP BY p.vec_id, p.first""")
+def grid_outlines(spark, sf_dir):
+    """What stands out in each grid: where the outline of every connected part begins, and its box."""
+    masks = shapes.grids(spark, sf_dir).select("vec_id", F.transform("grid", lambda v: (v > STANDS_OUT).cast("int")).alias("mask"))
+    lines = masks.withColumn("lines", contours.mask_outlines("mask")).select("vec_id", F.explode("lines").alias("line"))
+    end = lambda f, c: f(F.transform("line", lambda p: p[c])).cast("long").alias(c + ("min" if f is F.array_min else "max"))
+    first = (F.col("line")[0]["y"] * 8 + F.col("line")[0]["x"]).cast("long")
+    return lines.select("vec_id", first.alias("first"), *[end(f, c) for f in (F.array_min, F.array_max) for c in "xy"])
+
+
 #: A square of side 100 whose corners are moved by up to 20.
 SQUARE = g.rectangle(0, 0, 100, 100)
 _Q = ", ".join(f"{{'x': {float(x)}::DOUBLE + 20 * embedding[{2 * i + 1}]::DOUBLE, 'y': {float(y)}::DOUBLE + 20 * embedding[{2 * i + 2}]::DOUBLE}}" for i, (x, y) in enumerate(SQUARE))
@@ -135,7 +153,12 @@ def feather_rows(spark, sf_dir):
     return spark.range(1, numPartitions=1).mapInPandas(rows, "y long, opaque long")
 
 
-@query(f"WITH {with_shapes('part_members')} SELECT printf('parts-%04d.tar', shard) AS shard, row_number() OVER (PARTITION BY shard ORDER BY ord) - 1 AS ord, key, ext, payload FROM part_members")
+#: Parts of a shard, and lines of a file: shards and files grow in number with the table.
+SHARD_PARTS, FILE_LINES = 128, 16
+PACKED = f"WITH {with_shapes('part_members')}, packed AS (SELECT printf('parts-%04d.tar', key::BIGINT // {SHARD_PARTS}) AS shard, ord, key, ext, payload FROM part_members)"
+
+
+@query(f"{PACKED} SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY ord) - 1 AS ord, key, ext, payload FROM packed")
 def shard_roundtrip(spark, sf_dir):
     """Members written to tar shards and read again, each in its place."""
     members = s.read_members(spark, part_shards(spark, sf_dir))
@@ -146,19 +169,27 @@ def part_shards(spark, sf_dir) -> str:
     """A folder of tar shards with four members a part."""
     folder = shared_path(spark, "shards")
     df = shapes.part_members(spark, sf_dir)
-    file, name = F.concat(F.lit("parts-"), padded(F.col("shard"), 4), F.lit(".tar")), F.concat_ws(".", "key", "ext")
+    number = F.floor(F.col("key").cast("long") / SHARD_PARTS)
+    file, name = F.concat(F.lit("parts-"), padded(number, 4), F.lit(".tar")), F.concat_ws(".", "key", "ext")
     write_files(df.select(file.alias("file"), name.alias("name"), F.col("payload").cast("binary").alias("payload"), "ord"), folder, ["ord"])
     return folder
 
 
-@query(f"WITH {with_shapes('part_members')} SELECT trim(payload, ' ' || chr(9) || chr(10)) AS name, printf('parts-%04d.tar', shard) AS shard, key FROM part_members WHERE ext = 'cls'")
+@query(f"{PACKED} SELECT shard, count(*) AS members, sum(length(payload))::BIGINT AS bytes FROM packed GROUP BY shard")
+def shard_listing(spark, sf_dir):
+    """The shards of a folder in the order of their names, with members and bytes as their headers say."""
+    index = s.member_index(spark, part_shards(spark, sf_dir))
+    return index.groupBy(F.substring_index("shard", "/", -1).alias("shard")).agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))
+
+
+@query(f"{PACKED} SELECT trim(payload, ' ' || chr(9) || chr(10)) AS name, shard, key FROM packed WHERE ext = 'cls'")
 def shard_class_index(spark, sf_dir):
     """Where each class's samples are in real shards, of which only headers and classes are read."""
     index = m.class_index(s.read_members(spark, part_shards(spark, sf_dir), ["cls"]))
     return index.select("name", F.substring_index("shard", "/", -1).alias("shard"), "key")
 
 
-@query("SELECT p_brand AS name, printf('parts-%04d.tar', p_size) AS shard, printf('%08d', p_partkey) AS key, p_name AS png, p_type AS hull_hl FROM part")
+@query(f"SELECT p_brand AS name, printf('parts-%04d.tar', p_partkey // {SHARD_PARTS}) AS shard, printf('%08d', p_partkey) AS key, p_name AS png, p_type AS hull_hl FROM part")
 def shard_sample_lookup(spark, sf_dir):
     """Every sample, each member one read of its byte range."""
     folder = part_shards(spark, sf_dir)
@@ -167,13 +198,13 @@ def shard_sample_lookup(spark, sf_dir):
     return found.select("name", F.substring_index("shard", "/", -1).alias("shard"), "key", F.col("png").cast("string").alias("png"), F.col("`hull_hl.npy`").cast("string").alias("hull_hl"))
 
 
-@query("SELECT p_size AS scene, string_agg(p_name || chr(10), '' ORDER BY p_partkey) AS text FROM part GROUP BY p_size")
+@query(f"SELECT p_partkey // {FILE_LINES} AS scene, string_agg(p_name || chr(10), '' ORDER BY p_partkey) AS text FROM part GROUP BY 1")
 def files_roundtrip(spark, sf_dir):
     """Text files written one a scene and read again."""
     folder = shared_path(spark, "files")
     lines = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
-    texts = table(spark, sf_dir, "part").groupBy("p_size").agg(F.array_join(F.transform(lines, lambda r: F.concat(r["p_name"], F.lit("\n"))), "").alias("text"))
-    file = F.concat(F.lit("scene_"), padded(F.col("p_size"), 6), F.lit(".txt"))
+    texts = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / FILE_LINES).alias("scene")).agg(F.array_join(F.transform(lines, lambda r: F.concat(r["p_name"], F.lit("\n"))), "").alias("text"))
+    file = F.concat(F.lit("scene_"), padded(F.col("scene"), 6), F.lit(".txt"))
     write_files(texts.select(file.alias("file"), F.lit(None).cast("string").alias("name"), F.col("text").cast("binary").alias("payload")), folder, [])
     found = spark.read.format("binaryFile").load(folder)
-    return found.select(F.regexp_extract("path", r"scene_(\d+)\.txt$", 1).cast("int").alias("scene"), F.col("content").cast("string").alias("text"))
+    return found.select(F.regexp_extract("path", r"scene_(\d+)\.txt$", 1).cast("long").alias("scene"), F.col("content").cast("string").alias("text"))
