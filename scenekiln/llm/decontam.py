@@ -1,9 +1,9 @@
 """Benchmark decontamination: an FM-index of words per training shard, searched backward for benchmark phrases.
 
-A phrase is a window of N consecutive words of a benchmark item, or all words of a shorter item. A training shard is a run
-of texts of bounded size that a task holds at once, a longer text cut with N - 1 words in common. Of a shard only stretches
-of words that the benchmark knows, as long as the shortest phrase, can hold one; they are put one after the other, each
-with an end mark of its own, and indexed:
+A phrase is a window of N consecutive words of a benchmark item, or all words of a shorter item. Only stretches of words
+that the benchmark knows, as long as the shortest phrase, can hold one. A training shard is what the texts of a batch have
+of them, up to SHARD_WORDS words (a longer stretch is cut with N - 1 words in common), one after the other, each with an
+end mark of its own. It is indexed:
 
 * suffixes are sorted by packed first words, then by prefix doubling of what is still tied, to a full suffix array;
 * the Burrows-Wheeler transform (the word before each suffix) becomes a wavelet matrix: a bit vector a level, with counts
@@ -21,7 +21,7 @@ Rows: a null text and one without words have no words, no spans and no items; nu
 item without an id marks words but is not listed; repeated rows and equal texts get equal results, whatever their ids; of
 items that repeat an id each has its phrases and the id is listed once; an empty table or benchmark gives rows without
 spans. Of a very long text a worker holds the text and twelve bytes for each of its words, and one shard's index. Columns
-of the input named as the results are replaced; other columns stay.
+of the input named as the results are replaced; other columns stay (but for names that begin with two underscores).
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from scenekiln.llm.worker import kept
 
 #: Words of a phrase; item texts that are broadcast at once, in bytes.
 WINDOW, PASS_BYTES = 10, 8 << 20
-#: Bytes of texts that are tokenised at once, words of a shard.
+#: Bytes of texts that are tokenised at once, words of a shard at most.
 CHUNK_BYTES, SHARD_WORDS = 1 << 22, 1 << 20
 #: Every so many positions of a stretch are kept of the suffix array.
 SAMPLED = 8
@@ -236,91 +236,106 @@ class FmIndex:
         return out
 
 
-def occurrences(symbols: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """Place and number of each occurrence of a phrase among symbols, where 0 is any word that the benchmark lacks."""
-    none = np.empty(0, np.int64), np.empty(0, np.int64)
-    if not len(phrases.words):
-        return none
-    known = np.r_[symbols > 0, False]
-    edges = np.flatnonzero(np.diff(np.r_[False, known].view(np.int8)))
+def stretches(symbols: np.ndarray, least: int, most: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words of stretches without a 0, of `least` words or more, each followed by an end mark (place -1), and
+    how many words and marks they are one after the other; longer ones than `most` are cut with window - 1 words in common."""
+    edges = np.flatnonzero(np.diff(np.r_[False, symbols > 0, False].view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    long = ends - starts >= phrases.sizes.min()
+    long = ends - starts >= least
     starts, ends = starts[long], ends[long]
-    if not len(starts):
-        return none
-    sizes = ends - starts + 1  # with the end mark
-    first = np.r_[0, np.cumsum(sizes)[:-1]]
+    for i in np.flatnonzero(ends - starts > most)[::-1]:
+        cuts = np.arange(starts[i], ends[i] - window + 1, most - window + 1)
+        starts, ends = np.r_[starts[:i], cuts, starts[i + 1 :]], np.r_[ends[:i], np.minimum(cuts + most, ends[i]), ends[i + 1 :]]
+    sizes = ends - starts + 1
+    first = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
     place = np.arange(int(sizes.sum())) - np.repeat(first - starts, sizes)
-    own = np.r_[symbols, 0][place]
-    own[first + sizes - 1] = 0
-    index = FmIndex(own, len(phrases.vocabulary))
-    which, low, high = index.search(phrases.words, phrases.sizes)
-    many = high - low
-    rows = np.arange(int(many.sum())) - np.repeat(np.r_[0, np.cumsum(many)[:-1]] - low, many) if len(which) else none[0]
-    return place[index.locate(rows)], np.repeat(which, many)
+    place[first + sizes - 1] = -1
+    return place, sizes
 
 
-def _shards(begins: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
-    """Ranges of words of at most SHARD_WORDS: of whole texts, or of a longer text with all but one word of a phrase in common."""
-    at, last = 0, int(begins[-1])
-    while at < last:
-        upto = int(begins[np.searchsorted(begins, at + SHARD_WORDS, "right") - 1])
-        if upto > at:
-            yield at, upto
-            at = upto
-            continue
-        end = int(begins[np.searchsorted(begins, at, "right")])
-        while end - at > SHARD_WORDS:
-            yield at, at + SHARD_WORDS
-            at += SHARD_WORDS - window + 1
-        yield at, end
-        at = end
+def occurrences(symbols: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """Place and number of each occurrence of a phrase among stretches, by an index of them."""
+    index = FmIndex(symbols, len(phrases.vocabulary))
+    which, low, high = index.search(phrases.words, phrases.sizes)
+    many = high - low
+    rows = np.arange(int(many.sum())) - np.repeat(np.r_[0, np.cumsum(many)[:-1]] - low, many) if len(which) else np.empty(0, np.int64)
+    return index.locate(rows), np.repeat(which, many)
 
 
 class _Found:
-    """n_words, spans and items of texts that are taken in one after the other."""
+    """n_words, spans and items of texts that are taken in one after the other; their stretches are indexed a shard at a time."""
 
     def __init__(self, phrases: Phrases):
-        self.phrases, self.n, self.spans, self.items = phrases, [], [], []
+        self.phrases, self.n = phrases, []
+        self._least = int(phrases.sizes.min()) if len(phrases.sizes) else 0
+        #: Of the open shard: symbols, and for each the text, the word, and the word's bytes.
+        self._open: list[tuple[np.ndarray, ...]] = []
+        self._size = 0
+        #: Words in phrases (text, word, from, to), and phrases in texts.
+        self._hit: list[np.ndarray] = []
+        self._pairs: list[np.ndarray] = []
 
     def take(self, symbols: np.ndarray, sizes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Some texts: the symbols, byte starts and byte ends of all their words, and how many words each has."""
-        begins = np.r_[0, np.cumsum(sizes)]
+        before = len(self.n)
+        self.n += sizes.tolist()
+        if not self._least:
+            return
         # a 0 between texts parts their stretches
         owner = np.repeat(np.arange(len(sizes)), sizes)
         parted = np.zeros(len(symbols) + len(sizes), symbols.dtype)
         parted[np.arange(len(symbols)) + owner] = symbols
-        depth, hits = np.zeros(len(symbols) + 1, np.int64), []
         window = self.phrases.words.shape[1]
-        for a, b in _shards(begins + np.arange(len(begins)), window):
-            place, which = occurrences(parted[a:b], self.phrases)
-            if len(place):
-                place = place + a
-                text = np.searchsorted(begins + np.arange(len(begins)), place, "right") - 1
-                np.add.at(depth, place - text, 1)
-                np.add.at(depth, place - text + self.phrases.sizes[which], -1)
-                hits.append(np.unique(np.stack([text, which]), axis=1))
-        marked = np.cumsum(depth[:-1]) > 0
-        opens = marked & ~np.r_[False, marked[:-1]]
-        opens[begins[:-1][sizes > 0]] |= marked[begins[:-1][sizes > 0]]
-        first = np.flatnonzero(opens)
-        closes = marked & ~np.r_[marked[1:], False]
-        closes[begins[1:][sizes > 0] - 1] |= marked[begins[1:][sizes > 0] - 1]
-        last = np.flatnonzero(closes)
-        own = owner[first]
-        at = np.searchsorted(own, np.arange(len(sizes) + 1))
-        rows = np.stack([first - begins[own], last + 1 - begins[own], starts[first], ends[last]], axis=1).tolist() if len(first) else []
-        names: list[list[str]] = [[] for _ in sizes]
-        if hits:
-            text, which = np.unique(np.concatenate(hits, axis=1), axis=1)
+        place, run = stretches(parted, self._least, max(SHARD_WORDS, 2 * window), window)
+        if not len(place):
+            return
+        begins = np.r_[0, np.cumsum(sizes)]
+        text = np.searchsorted(begins[1:] + np.arange(len(sizes)), place, "right")
+        text[place < 0] = 0
+        at = np.where(place < 0, 0, place - text)
+        rows = np.where(place < 0, 0, parted[place]), before + text, at - begins[text], starts[at], ends[at]
+        first = 0
+        edges = np.cumsum(run)
+        while first < len(place):  # whole stretches up to the shard's size
+            upto = int(edges[max(np.searchsorted(edges, first + SHARD_WORDS - self._size, "right") - 1, np.searchsorted(edges, first, "right"))])
+            self._open.append(tuple(r[first:upto] for r in rows))
+            self._size += upto - first
+            first = upto
+            if self._size >= SHARD_WORDS:
+                self._index()
+
+    def _index(self) -> None:
+        """Search the open shard and close it."""
+        if not self._open:
+            return
+        symbols, *of = (np.concatenate(p) for p in zip(*self._open))
+        self._open, self._size = [], 0
+        place, which = occurrences(symbols, self.phrases)
+        if len(place):
+            depth = np.zeros(len(symbols) + 1, np.int64)
+            np.add.at(depth, place, 1)
+            np.add.at(depth, place + self.phrases.sizes[which], -1)
+            self._hit.append(np.stack([o[np.cumsum(depth[:-1]) > 0] for o in of]))
+            self._pairs.append(np.unique(np.stack([of[0][place], which]), axis=1))
+
+    def finished(self) -> tuple[list[int], list[list[list[int]]], list[list[str]]]:
+        """n_words, spans and items of all texts."""
+        self._index()
+        spans: list[list[list[int]]] = [[] for _ in self.n]
+        names: list[list[str]] = [[] for _ in self.n]
+        if self._hit:
+            text, word, start, end = np.unique(np.concatenate(self._hit, axis=1), axis=1)
+            new = np.r_[True, (text[1:] != text[:-1]) | (word[1:] != word[:-1] + 1)]
+            first, last = np.flatnonzero(new), np.flatnonzero(np.r_[new[1:], True])
+            for t, *span in np.stack([text[first], word[first], word[last] + 1, start[first], end[last]], axis=1).tolist():
+                spans[t].append(span)
+            text, which = np.unique(np.concatenate(self._pairs, axis=1), axis=1)
             many = self.phrases.starts[which + 1] - self.phrases.starts[which]
             items = self.phrases.items[np.arange(int(many.sum())) - np.repeat(np.r_[0, np.cumsum(many)[:-1]] - self.phrases.starts[which], many)]
             for t, i in np.unique(np.stack([np.repeat(text, many), items]), axis=1).T.tolist():
                 if self.phrases.names[i] is not None:
                     names[t].append(self.phrases.names[i])
-        self.n += sizes.tolist()
-        self.spans += [rows[a:b] for a, b in zip(at, at[1:])]
-        self.items += [sorted(set(x)) for x in names]
+        return self.n, spans, [sorted(set(x)) for x in names]
 
     def _symbols(self, hashes: np.ndarray) -> np.ndarray:
         known = self.phrases.vocabulary
@@ -364,9 +379,10 @@ def _search(docs: DataFrame, text_col: str, rows: list[tuple[str | None, str | N
         out = _Found(shared.value)
         out.take_texts(pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)]))
         of = np.asarray(coded.indices.fill_null(len(coded.dictionary)))
+        counts, all_spans, all_items = out.finished()
         names = ("first", "end", "from_byte", "to_byte")
         kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(c, pa.int64()) for c in names]))), ("items", pa.list_(pa.string()))])
-        made = pa.array([{"n_words": n, "spans": [dict(zip(names, s)) for s in spans], "items": items} for n, spans, items in zip(out.n, out.spans, out.items)], kind)
+        made = pa.array([{"n_words": n, "spans": [dict(zip(names, s)) for s in spans], "items": items} for n, spans, items in zip(counts, all_spans, all_items)], kind)
         return made.take(pa.array(of))
 
     return found.asNondeterministic()(F.col(f"`{text_col}`"))

@@ -55,7 +55,7 @@ def test_index_against_brute_force(monkeypatch):
         monkeypatch.setattr(d, "SHARD_WORDS", rng.choice([8, 16, 1000]))  # and by shards
         found = d._Found(d.Phrases.of(items, window))
         found.take_texts(pa.array(texts, pa.string()))
-        same(zip(found.n, found.spans, found.items), texts, items, window)
+        same(zip(*found.finished()), texts, items, window)
 
 
 def test_suffixes_are_in_order():
@@ -104,8 +104,8 @@ def test_long_text_and_many_copies(spark, monkeypatch):
     long = " ".join(x for p in parts for x in (*p, *item, "tail"))  # the passage 40 times in one text
     found = d._Found(d.Phrases.of([("i", " ".join(item)), ("b", "a b c d")]))
     monkeypatch.setattr(d, "CHUNK_BYTES", 1000)
-    monkeypatch.setattr(d, "SHARD_WORDS", 700)
+    monkeypatch.setattr(d, "SHARD_WORDS", 70)
     found.take_texts(pa.array([long, None, long]))
-    same(zip(found.n, found.spans, found.items), [long, None, long], [("i", " ".join(item)), ("b", "a b c d")], 10)
+    same(zip(*found.finished()), [long, None, long], [("i", " ".join(item)), ("b", "a b c d")], 10)
     copies = spark.createDataFrame([(long[:2000],)] * 300, "text string").repartition(3)
     assert len({str(r) for r in d.decontaminate(copies, spark.createDataFrame([("i", long[500:900])], "item_id string, text string")).collect()}) == 1
